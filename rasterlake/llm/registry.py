@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from rasterlake.llm import binary, url_filter
+from rasterlake.llm import binary, jaccard, quality, url_filter
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
     "op3_packing": binary.op3_packing,
     "op4_token_binary": binary.op4_token_binary,
     "op9_url_filter": url_filter.op9_url_filter,
+    "op10_jaccard_join": jaccard.op10_jaccard_join,
 }
 ORACLES = {"op9_url_filter": url_filter.ORACLE}
