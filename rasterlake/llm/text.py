@@ -12,6 +12,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 BLOCK = 1 << 18
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -34,6 +35,11 @@ def _space(b: np.ndarray) -> np.ndarray:
     return (b == 32) | ((b - np.uint8(9)) < 5)
 
 
+def _sign(b: np.ndarray) -> np.ndarray:
+    """ASCII bytes that are neither letters nor digits."""
+    return ~((b >= 128) | (((b | np.uint8(32)) - np.uint8(97)) < 26) | ((b - np.uint8(48)) < 10))
+
+
 def _lower(b: np.ndarray) -> np.ndarray:
     """A-Z as a-z, as numbers above 0."""
     return (b + (((b - np.uint8(65)) < 26).view(np.uint8) << np.uint8(5))).astype(np.uint64) + np.uint64(1)
@@ -48,10 +54,10 @@ def _powers() -> list[np.ndarray]:
     return _tables
 
 
-def _block(b: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _block(b: np.ndarray, breaks: np.ndarray, gap=_space) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes, starts and ends of the words of ``b``; a word never crosses a break."""
     power, inverse = _powers()
-    filled = ~_space(b)
+    filled = ~gap(b)
     before = np.zeros(len(b), dtype=bool)
     before[1:] = filled[:-1]
     before[breaks] = False
@@ -80,13 +86,13 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def words(column: pa.Array, gap=_space) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words, and for each text the place of its first (one more entry at the end)."""
-    h, _, _, first = spans(column)
+    h, _, _, first = spans(column, gap)
     return h, first
 
 
-def spans(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def spans(column: pa.Array, gap=_space) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """As ``words``, with each word's byte start and end in the concatenated texts."""
     data, offsets = raw(column)
     hashes, starts, ends = [], [], []
@@ -98,14 +104,14 @@ def spans(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
             if near > at:
                 to = int(near)
             else:  # one text is longer than a block: cut it at white space
-                gaps = np.flatnonzero(_space(data[at:to]))
+                gaps = np.flatnonzero(gap(data[at:to]))
                 if len(gaps):
                     to = at + int(gaps[-1]) + 1
                 else:  # one word is longer than a block
                     own_end = int(offsets[np.searchsorted(offsets, at, "right")])
                     to = own_end
                     for p in range(at, own_end, BLOCK):
-                        gaps = np.flatnonzero(_space(data[p : min(p + BLOCK, own_end)]))
+                        gaps = np.flatnonzero(gap(data[p : min(p + BLOCK, own_end)]))
                         if len(gaps):
                             to = p + int(gaps[0])
                             break
@@ -118,7 +124,7 @@ def spans(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
                         continue
         lo, hi = np.searchsorted(offsets, [at, to])
         breaks = np.unique(offsets[lo:hi] - at)
-        h, s, e = _block(data[at:to], breaks[breaks < to - at])
+        h, s, e = _block(data[at:to], breaks[breaks < to - at], gap)
         hashes.append(h)
         starts.append(s + at)
         ends.append(e + at)
@@ -130,6 +136,11 @@ def spans(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return np.concatenate(hashes), start, np.concatenate(ends), np.searchsorted(start, offsets)
 
 
+def plain_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """As ``words``, for runs of ASCII letters, digits and other characters beyond ASCII, all letters lower-cased."""
+    return words(pc.utf8_lower(column), _sign)
+
+
 def kmers(h: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all runs of k words (``len(h) - k + 1`` of them)."""
     n = len(h) - k + 1
