@@ -213,50 +213,41 @@ def _pairs(entries: DataFrame) -> DataFrame:
 
 
 def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
-    """(a, b): the pairs of set classes whose Jaccard similarity is 3/4 or more, on whole sets; stored."""
-    spark = docs.sparkSession
-    pairs = common.stored(pairs, "pairs")
-    nodes = common.stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes, "node").select("node", "low", "s1", "s2"), "nodes")
-    wanted = common.sized(nodes)
+    """(a, b): the pairs of set classes whose Jaccard similarity is 3/4 or more, on whole sets; stored.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for node, s1, s2, s in zip(batch.column("node").to_pylist(), batch.column("s1").to_pylist(), batch.column("s2").to_pylist(), text.shingles(batch.column("text"), k)):
-                if _set_hash(s) == (s1, s2):
-                    out.append((node, s.astype("<u8").tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], names=["node", "items"])
-
-    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("low")))
-    sets = common.stored(joined.select("node", "s1", "s2", "text").mapInArrow(run, "node long, items binary"), "sets", "lz4")
+    Each class of a pair sends the text of one of its documents, once for every block of
+    partners, to where the pair is compared; texts take less room than sets on the way.
+    """
+    pairs = common.stored(pairs, "pairs")
     size = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).alias("blocks"))
-    dealt = pairs.join(size, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"))
-    hubs = dealt.select("a", "block").distinct().join(sets, F.col("a") == F.col("node")).select("a", "block", F.lit(None).cast("long").alias("b"), "items")
-    others = dealt.join(sets, F.col("b") == F.col("node")).select("a", "block", "b", "items")
+    dealt = common.stored(pairs.join(size, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block")), "dealt-pairs")
+    hubs = dealt.select("a", "block").distinct().select(F.col("a").alias("node"), "a", "block", F.lit(None).cast("long").alias("b"))
+    sent = hubs.unionByName(dealt.select(F.col("b").alias("node"), "a", "block", "b"))
+    wanted = common.stored(sent.join(classes, "node").select("low", "s1", "s2", "a", "block", "b"), "wanted")
+    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(common.sized(wanted), F.col("doc_id").eqNullSafe(F.col("low")))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, mine = None, None
+        hub, mine = None, np.zeros(0, np.uint64)
         for batch in batches:
             a_, b_ = [], []
-            for a, b, items in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("items")):
-                s = np.frombuffer(items.as_buffer(), "<u8")
+            for a, b, s1, s2, s in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "s1", "s2")), text.shingles(batch.column("text"), k)):
+                if _set_hash(s) != (s1, s2):  # another row with that doc_id
+                    continue
                 if b is None:
                     hub, mine = a, s
                     continue
                 if a != hub:
                     raise ValueError("a pair's first set is missing")
                 small, large = (s, mine) if len(s) < len(mine) else (mine, s)
-                if not len(small):
-                    continue
                 shared = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
                 if 100 * shared >= 75 * (len(s) + len(mine) - shared):
                     a_.append(a)
                     b_.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(a_, pa.int64()), pa.array(b_, pa.int64())], names=["a", "b"])
 
-    links = hubs.unionByName(others).repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first()).mapInArrow(compare, "a long, b long").distinct()
-    out = common.stored(links, "links")
-    common.discard(pairs, nodes, sets)
+    met = joined.select("a", "block", "b", "s1", "s2", "text").repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
+    out = common.stored(met.mapInArrow(compare, "a long, b long").distinct(), "links")
+    common.discard(pairs, dealt, wanted)
     return out
 
 
@@ -268,6 +259,8 @@ def jaccard_components(docs: DataFrame, k: int = 5) -> DataFrame:
     own = common.stored(features(docs, k, heavy), "features", "lz4")
     groups = own.where("n > 0").groupBy("n", "p1", "p2").agg(F.first("prefix").alias("prefix"))
     groups = common.stored(groups.withColumn("gid", F.monotonically_increasing_id()), "groups", "lz4")
+    full, own = own, common.stored(own.drop("prefix"), "features")
+    common.discard(full)
     classes = own.where("n > 0").groupBy("n", "p1", "p2", "s1", "s2").agg(F.min("doc_id").alias("low")).join(groups.select("n", "p1", "p2", "gid"), ["n", "p1", "p2"])
     classes = common.stored(classes.select("gid", "n", "s1", "s2", "low", F.monotonically_increasing_id().alias("node")), "classes")
     entries = common.stored(_met(postings(groups, heavy).repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "gid")), "entries")
