@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from rasterlake.llm import binary, decontaminate, jaccard, lines, quality, topk, url_filter
+from rasterlake.llm import binary, decontaminate, jaccard, lines, passages, quality, topk, url_filter
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op3_packing": binary.op3_packing,
     "op4_token_binary": binary.op4_token_binary,
     "op5_line_dedup": lines.op5_line_dedup,
+    "op6_passages": passages.op6_passages,
     "op7_exact_topk": topk.op7_exact_topk,
     "op8_decontamination": decontaminate.op8_decontamination,
     "op9_url_filter": url_filter.op9_url_filter,
