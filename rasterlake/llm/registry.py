@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from rasterlake.llm import binary, decontaminate, jaccard, lines, passages, quality, topk, url_filter
+from rasterlake.llm import binary, decontaminate, jaccard, licenses, lines, passages, quality, topk, url_filter
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
+    "op2_licenses": licenses.op2_licenses,
     "op3_packing": binary.op3_packing,
     "op4_token_binary": binary.op4_token_binary,
     "op5_line_dedup": lines.op5_line_dedup,
