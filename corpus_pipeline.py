@@ -1,11 +1,61 @@
-"""The corpus pipeline (stages follow as they are written)."""
+"""The corpus pipeline: documents that are good, without boilerplate, copies and test items, in pieces.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before kept. All
+but the last return the columns of ``documents``. Nulls, empty texts, repeated rows, ties and
+empty tables have the results that the operators' modules define.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rasterlake.llm import binary, common, decontaminate, jaccard, lines, quality
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, trained on the labels, rejects go."""
+    model = quality.train(docs, common.table(spark, sf_dir, "labels"))
+    return quality.scored(docs, model).where(F.col("score") >= quality.THRESHOLD).select(*docs.columns)
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Boilerplate lines go from the texts; ``n_chars`` follows."""
+    out = lines.dedup(docs, count="_removed")
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
+def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    return jaccard.near_duplicates_removed(docs)
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a test item go."""
+    return decontaminate.clean(docs, common.table(spark, sf_dir, "benchmark"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of power-of-two length in sequences."""
+    return binary.pack(docs, binary.tokenizer_path())
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("line dedup", line_stage),
+    ("n-gram Jaccard join", duplicate_stage),
+    ("benchmark decontamination", benchmark_stage),
+    ("packing", packing_stage),
+]
+
+#: The classifier and the tokeniser are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = common.stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -294,12 +294,16 @@ def jaccard_components(docs: DataFrame, k: int = 5) -> DataFrame:
 
 
 def near_duplicates_removed(docs: DataFrame, k: int = 5) -> DataFrame:
-    """The documents of which no linked one has a smaller doc_id; of rows that repeat a kept doc_id, one."""
-    cols = docs.columns
-    comp = jaccard_components(docs, k)
-    kept = comp.where("component_id <=> doc_id").select("doc_id").distinct()
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
-    return out.select(*cols)
+    """Of each component the document of least doc_id, and one row of those that repeat that doc_id."""
+    own = F.col("component_id").eqNullSafe(F.col("doc_id"))
+    ids = common.stored(jaccard_components(docs, k).groupBy("doc_id").agg(F.max(own).alias("stays"), F.count("*").alias("n")), "near-duplicates")
+    gone = common.sized(ids.where("not stays").select(F.col("doc_id").alias("_gone")))
+    left = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")
+    twice = ids.where("stays and n > 1").select(F.col("doc_id").alias("_twice"))
+    if twice.isEmpty():
+        return left
+    again = left["doc_id"].eqNullSafe(F.col("_twice"))
+    return left.join(twice, again, "left_anti").unionByName(left.join(twice, again, "left_semi").dropDuplicates(["doc_id"]))
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
