@@ -5,7 +5,8 @@
    shingle that no task sees twice counts as rare).
 2. Texts with the same prefix in that order and the same size are one group; its prefix is
    posted once. A prefix of ``n - ceil(3n/4) + 1`` shingles meets that of any linked text.
-3. Round one takes, for each group, the partner that it meets under most shingles, verifies
+3. Round one takes, for each group, the partner that it meets under most shingles (of each
+   shingle's groups, the one with the most widely shared shingles), verifies
    these pairs, and joins them to components. Round two takes every pair of groups that meet
    under a shingle, pass the size and position filters and are not yet in one component.
    So a family of thousands of near copies costs pairs in proportion to its size, and no
@@ -141,31 +142,42 @@ def _ok(n1, p1, n2, p2) -> np.ndarray:
 
 
 def _met(posted: DataFrame) -> DataFrame:
-    """Of sorted postings, those whose token some other group may have; with the group that comes first under it."""
+    """Of sorted postings, those whose token some other group may have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head_row, head_given = None, False  # the first row of the run that is still open
+        head, given_head = None, False  # the first row of the run that is still open
         for batch in batches:
             cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            if head_row is not None:
-                cols = [np.concatenate([x, y]) for x, y in zip(head_row, cols)]
+            if head is not None:
+                cols = [np.concatenate([x, y]) for x, y in zip(head, cols)]
             token, salt, gid, n, pos, often = cols
             if not len(token):
                 continue
             new = np.append(True, (token[1:] != token[:-1]) | (salt[1:] != salt[:-1]))
-            start = np.maximum.accumulate(np.where(new, np.arange(len(token)), 0))
             given = ~(new & np.append(new[1:], True)) | often
-            if head_row is not None and head_given:
+            if head is not None and given_head:
                 given[0] = False
-            h = start[-1]
-            head_given = bool(given[h]) or (h == 0 and head_row is not None and head_given)
-            head_row = [c[h : h + 1] for c in cols]
-            at = np.flatnonzero(given)
-            first = start[at]
-            good = (first != at) & _ok(n[at], pos[at], n[first], pos[first])
-            yield pa.RecordBatch.from_arrays([pa.array(token[at]), pa.array(gid[at]), pa.array(n[at]), pa.array(pos[at]), pa.array(gid[first], mask=~good)], names=["token", "gid", "n", "pos", "head"])
+            h = int(np.flatnonzero(new)[-1])
+            given_head = bool(given[h]) or (h == 0 and head is not None and given_head)
+            head = [c[h : h + 1] for c in cols]
+            yield pa.RecordBatch.from_arrays([pa.array(c[given]) for c in (token, gid, n, pos)], names=["token", "gid", "n", "pos"])
 
-    return posted.mapInArrow(run, "token long, gid long, n int, pos int, head long")
+    return posted.mapInArrow(run, "token long, gid long, n int, pos int")
+
+
+def _partners(entries: DataFrame) -> DataFrame:
+    """(gid, head): for each group the partner it meets under most tokens, out of one for each token.
+
+    A token's partner is the group whose tokens are, on average, the most widely shared:
+    in a family of near copies, the text that the others were made from, not one of the others.
+    """
+    spread = entries.groupBy("token").agg(F.floor(F.log2(F.count("*")) * 64).alias("df"))
+    score = entries.join(spread, "token").groupBy("gid").agg(F.floor(F.sum("df") * 4 / F.max("n")).alias("score"))
+    scored = entries.join(score, "gid")
+    head = scored.groupBy("token").agg(F.max(F.struct("score", (-F.col("gid")).alias("g"), F.col("n").alias("hn"), F.col("pos").alias("hp"))).alias("h")).select("token", (-F.col("h.g")).alias("head"), "h.hn", "h.hp", F.col("h.score").alias("hs"))
+    met = entries.join(head, "token").where("gid <> head AND 4 * least(n, hn) >= 3 * greatest(n, hn) AND 1 + least(n - pos, hn - hp) - 1 >= ceil(3 * (n + hn) / 7)")
+    votes = met.groupBy("gid", "head").agg(F.count("*").alias("v"), F.max("hs").alias("hs"))
+    return votes.groupBy("gid").agg(F.max(F.struct("v", "hs", (-F.col("head")).alias("h"))).alias("best")).select("gid", (-F.col("best.h")).alias("head"))
 
 
 def _pairs(entries: DataFrame) -> DataFrame:
@@ -267,16 +279,14 @@ def jaccard_components(docs: DataFrame, k: int = 5) -> DataFrame:
     common.discard(groups)
 
     first = classes.groupBy("gid").agg(F.min("node").alias("rep"))
-    votes = entries.where("head is not null and head <> gid").groupBy("gid", "head").agg(F.count("*").alias("v"))
-    best = votes.groupBy("gid").agg(F.max(F.struct("v", (-F.col("head")).alias("h"))).alias("best")).select("gid", (-F.col("best.h")).alias("head"))
-    across = best.join(first.withColumnRenamed("rep", "b"), "gid").join(first.select(F.col("gid").alias("head"), F.col("rep").alias("a")), "head").select("a", "b")
+    across = _partners(entries).join(first.withColumnRenamed("rep", "b"), "gid").join(first.select(F.col("gid").alias("head"), F.col("rep").alias("a")), "head").select("a", "b")
     within = classes.join(first, "gid").where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
     links = verified(docs, classes, across.unionByName(within), k)
     label = common.stored(common.components(links), "round-one")
 
     named = common.stored(classes.join(label, "node", "left").select("gid", "n", "s1", "s2", "low", "node", F.coalesce("component", "node").alias("label")), "named")
     group_label = named.groupBy("gid").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).select("gid", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(-1 - F.col("gid")).alias("label"))
-    open_pairs = _pairs(entries.select("token", "gid", "n", "pos").distinct().join(group_label, "gid"))
+    open_pairs = _pairs(entries.join(group_label, "gid"))
     a, b = (named.select(F.col("gid").alias(f"g{i}"), F.col("node").alias(x), F.col("label").alias(f"l{i}")) for i, x in ((1, "a"), (2, "b")))
     across = open_pairs.join(a, "g1").join(b, "g2").where("l1 <> l2").select("a", "b")
     torn = named.join(group_label.where("label < 0").select("gid"), "gid", "left_semi")
