@@ -502,3 +502,74 @@ def _(s, d):
 @query("param_grid", "param_id:long epsilon:double delta:double tau:double", "SELECT e.k * 6 + f.k * 2 + t.k AS param_id, epsilon, delta, tau FROM (VALUES (0, 0.1), (1, 0.15), (2, 0.2)) e(k, epsilon), (VALUES (0, 0.1), (1, 0.15), (2, 0.3)) f(k, delta), (VALUES (0, 0.05), (1, 0.1)) t(k, tau)")
 def _(s, d):
     return calibration.param_grid(s, {"epsilon": [0.1, 0.15, 0.2], "delta": [0.1, 0.15, 0.3], "tau": [0.05, 0.1]})
+
+
+# Recipes, streams, kernels and files ---------------------------------------------------------------
+from rasterlake.operators import kernels  # noqa: E402
+from rasterlake.plans import recipe  # noqa: E402
+from rasterlake.sources import palettes  # noqa: E402
+from rasterlake.streaming import watch  # noqa: E402
+
+
+@query("debounce_sessions", "user_id:long start:string last:string n:long", "SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last, count(*) AS n FROM (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS nw FROM events)) GROUP BY user_id, g")
+def _(s, d):
+    b = watch.bursts(s.read.parquet(f"{d}/events.parquet"), "6 hours")
+    return b.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss")).withColumn("last", F.date_format("last", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("event_windows", "start:string event_type:string n:long total:double", "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS start, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2")
+def _(s, d):
+    return watch.windows(s.read.parquet(f"{d}/events.parquet")).withColumn("start", F.date_format("start", "yyyy-MM-dd"))
+
+
+_EDGES = "SELECT 'r' || r_regionkey AS src, 'n' || n_nationkey AS dst FROM region JOIN nation ON n_regionkey = r_regionkey UNION ALL SELECT 'n' || n_nationkey, 's' || s_suppkey FROM nation JOIN supplier ON s_nationkey = n_nationkey UNION ALL SELECT 'r' || r_regionkey, 's' || s_suppkey FROM region JOIN supplier ON s_suppkey % 5 = r_regionkey"
+
+
+def _edges(s, d):
+    r, n, u = (s.read.parquet(f"{d}/{t}.parquet") for t in ("region", "nation", "supplier"))
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    a = r.join(n, F.col("n_regionkey") == F.col("r_regionkey")).select(name("r", "r_regionkey").alias("src"), name("n", "n_nationkey").alias("dst"))
+    b = n.join(u, F.col("s_nationkey") == F.col("n_nationkey")).select(name("n", "n_nationkey").alias("src"), name("s", "s_suppkey").alias("dst"))
+    c = r.join(u, F.col("s_suppkey") % 5 == F.col("r_regionkey")).select(name("r", "r_regionkey").alias("src"), name("s", "s_suppkey").alias("dst"))
+    return a.unionByName(b).unionByName(c)
+
+
+@query("dag_levels", "step:string level:long", f"WITH RECURSIVE e AS ({_EDGES}), w(step, level) AS (SELECT DISTINCT src, 0 FROM e WHERE src NOT IN (SELECT dst FROM e) UNION SELECT e.dst, w.level + 1 FROM w JOIN e ON e.src = w.step) SELECT step, max(level) AS level FROM w GROUP BY 1")
+def _(s, d):
+    from rasterlake.plans import relations
+
+    return relations.levels(_edges(s, d))
+
+
+@query("dag_sinks", "step:string", f"WITH e AS ({_EDGES}) SELECT DISTINCT dst AS step FROM e WHERE dst NOT IN (SELECT src FROM e)")
+def _(s, d):
+    e = _edges(s, d)
+    return e.select(F.col("dst").alias("step")).distinct().join(e.select(F.col("src").alias("step")), "step", "left_anti")
+
+
+@query("dag_ancestry", "step:string ancestor:string", f"WITH RECURSIVE e AS ({_EDGES}), w(step, ancestor) AS (SELECT dst, src FROM e UNION SELECT e.dst, w.ancestor FROM w JOIN e ON e.src = w.step) SELECT step, ancestor FROM w")
+def _(s, d):
+    from rasterlake.plans import relations
+
+    return relations.ancestry(_edges(s, d))
+
+
+@query("recipe_expression", "asset:long x:long y:long v:string", "SELECT asset, x, y, CASE WHEN idx > 2 THEN 'high' || CAST(idx * 2 AS VARCHAR) ELSE 'low' || CAST(x % 3 - 3 AS VARCHAR) END AS v FROM canvases", "canvases")
+def _(s, d):
+    e = recipe.parse("idx > 2 ? 'high' + idx * 2 : 'low' + (x % 3 + -7 / 2)")
+    return canvases(s, d).withColumn("v", recipe.to_column(e, {"idx": "int", "x": "int"}))
+
+
+@query("hex_lines", "idx:long value:string", "SELECT idx, printf('%02x%02x%02x', r, g, b) AS value FROM pal", "pal")
+def _(s, d):
+    return palettes.hex_lines(palette(s))
+
+
+@query("contour_trace", "asset:long seq:long x:long y:long")
+def _(s, d):
+    return kernels.contours(canvases(s, d))
+
+
+@query("error_diffusion", "asset:long x:long y:long idx:long")
+def _(s, d):
+    return kernels.diffuse(canvases(s, d).withColumn("v", F.col("idx") / 4.0), [0.0, 0.5, 1.0])
