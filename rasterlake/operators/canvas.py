@@ -81,9 +81,11 @@ def inverted(px: DataFrame, mask: DataFrame, key=KEY) -> DataFrame:
 
 def diff(a: DataFrame, b: DataFrame, key=KEY) -> DataFrame:
     """Pixels that differ, with both indices; canvases of other sizes are an error."""
-    j = a.select(*key, "x", "y", F.col("idx").alias("before")).join(b.select(*key, "x", "y", F.col("idx").alias("after")), [*key, "x", "y"], "full")
-    met = F.when(F.col("before").isNull() | F.col("after").isNull(), F.raise_error(F.lit("canvases of different sizes"))).otherwise(F.lit(True)).cast("boolean")
-    return j.where(met & (F.col("before") != F.col("after")))
+    none = F.lit(None).cast("int")
+    both = a.select(*key, "x", "y", F.col("idx").alias("before"), none.alias("after")).unionByName(b.select(*key, "x", "y", none.alias("before"), F.col("idx").alias("after")))
+    met = both.groupBy(*key, "x", "y").agg(F.max("before").alias("before"), F.max("after").alias("after"))
+    alone = F.col("before").isNull() | F.col("after").isNull()
+    return met.where(F.when(alone, F.raise_error(F.lit("canvases of different sizes")).cast("boolean")).otherwise(F.col("before") != F.col("after")))
 
 
 def mirror(px: DataFrame, width: int) -> DataFrame:
