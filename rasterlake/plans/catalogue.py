@@ -573,3 +573,66 @@ def _(s, d):
 @query("error_diffusion", "asset:long x:long y:long idx:long")
 def _(s, d):
     return kernels.diffuse(canvases(s, d).withColumn("v", F.col("idx") / 4.0), [0.0, 0.5, 1.0])
+
+
+# Composition, shading and air ----------------------------------------------------------------------
+from rasterlake.operators import compose  # noqa: E402
+
+_LAYERS = "SELECT asset % 50 AS asset, CAST(asset // 50 AS INTEGER) AS layer, x, y, idx FROM canvases WHERE asset < 200"
+
+
+def _layers(s, d):
+    return canvases(s, d).where("asset < 200").selectExpr("asset % 50 AS asset", "cast(asset div 50 as int) AS layer", "x", "y", "idx")
+
+
+@query("compose_stack", "asset:long x:long y:long idx:long", f"SELECT asset, x, y, max_by(idx, layer) AS idx FROM (SELECT asset, layer, x - layer AS x, y - layer AS y, idx FROM ({_LAYERS}) WHERE idx <> 0) WHERE x BETWEEN 0 AND 7 AND y BETWEEN 0 AND 7 GROUP BY 1, 2, 3", "canvases")
+def _(s, d):
+    l = _layers(s, d)  # noqa: E741
+    anchors = l.select("asset", "layer").distinct().withColumn("ax", F.col("layer") + 2).withColumn("ay", F.col("layer") + 1)
+    return compose.stack(l, anchors, 8, 8)
+
+
+_HAVE = "SELECT DISTINCT c_custkey % 40 AS asset, ['n', 'ne', 'e', 'se', 's', 'sw', 'w', 'nw'][CAST(c_custkey // 40 % 8 AS INTEGER) + 1] AS direction FROM customer WHERE c_custkey % 3 = 0"
+
+
+@query("missing_directions", "asset:long direction:string source:string", f"WITH have AS ({_HAVE}), m(direction, source) AS (VALUES ('ne', 'nw'), ('e', 'w'), ('se', 'sw'), ('nw', 'ne'), ('w', 'e'), ('sw', 'se'), ('n', NULL), ('s', NULL)) SELECT a.asset, m.direction, h.direction AS source FROM (SELECT DISTINCT asset FROM have) a CROSS JOIN m LEFT JOIN have h ON h.asset = a.asset AND h.direction = m.source WHERE NOT EXISTS (SELECT 1 FROM have x WHERE x.asset = a.asset AND x.direction = m.direction)")
+def _(s, d):
+    c = s.read.parquet(f"{d}/customer.parquet").where("c_custkey % 3 = 0")
+    names = F.array(*map(F.lit, compose.DIRECTIONS))
+    return compose.missing_directions(c.select((F.col("c_custkey") % 40).alias("asset"), F.element_at(names, (F.floor(F.col("c_custkey") / 40) % 8 + 1).cast("int")).alias("direction")).distinct())
+
+
+@query("box_blur", "asset:long x:long y:long d:double", "SELECT c.asset, c.x, c.y, sum(s.d) / 9 AS d FROM canvases c, (SELECT unnest([-1, 0, 1]) AS dx) p, (SELECT unnest([-1, 0, 1]) AS dy) q, signed s WHERE s.asset = c.asset AND s.x = least(greatest(c.x + dx, 0), 7) AND s.y = least(greatest(c.y + dy, 0), 7) GROUP BY 1, 2, 3", "canvases signed")
+def _(s, d):
+    return compose.box_blur(geometry.signed_distance(canvases(s, d), 8, 8), 8, 8)
+
+
+@query("bounce_distance", "asset:long x:long y:long bounce:long", "SELECT m.asset, m.x, m.y, min(k) FILTER (WHERE b.asset IS NULL) - 1 AS bounce FROM (SELECT * FROM canvases WHERE idx <> 0) m CROSS JOIN (SELECT unnest([1, 2, 3]) AS k) t LEFT JOIN (SELECT * FROM canvases WHERE idx <> 0) b ON b.asset = m.asset AND b.x = m.x AND b.y = m.y + k GROUP BY 1, 2, 3", "canvases")
+def _(s, d):
+    return compose.bounce_distance(canvases(s, d), 3)
+
+
+@query("outline", "asset:long x:long y:long idx:long", "SELECT asset, x, y, CASE WHEN idx = 0 AND EXISTS (SELECT 1 FROM canvases o WHERE o.asset = c.asset AND o.idx <> 0 AND abs(o.x - c.x) + abs(o.y - c.y) = 1) THEN 9 ELSE idx END AS idx FROM canvases c", "canvases")
+def _(s, d):
+    return compose.outline(canvases(s, d), 9, 8, 8)
+
+
+@query("atmosphere", "idx:long to_idx:long", "WITH m AS (SELECT p.idx, p.l * 0.6 + s.l * 0.4 AS l, p.a_ * 0.6 + s.a_ * 0.4 AS a_, p.b_ * 0.6 + s.b_ * 0.4 AS b_ FROM lab_pal p, lab_pal s WHERE s.idx = 12) SELECT idx, to_idx FROM (SELECT m.idx, p.idx AS to_idx, row_number() OVER (PARTITION BY m.idx ORDER BY round((m.l - p.l) * (m.l - p.l) + (m.a_ - p.a_) * (m.a_ - p.a_) + (m.b_ - p.b_) * (m.b_ - p.b_), 12), p.idx) AS k FROM m, lab_pal p) WHERE k = 1", "pal lab_pal")
+def _(s, d):
+    return compose.atmosphere(palette(s), 12, 0.4)
+
+
+@query("dimetric_wall", "asset:long x:long y:long idx:long", "SELECT asset, x, y + x // 2 AS y, idx FROM canvases", "canvases")
+def _(s, d):
+    return compose.dimetric(canvases(s, d), 8, 8)
+
+
+@query("hold_last", "asset:long frame:long x:long y:long held:long", "SELECT asset, frame, x, y, last_value(CASE WHEN idx <> 0 THEN idx END IGNORE NULLS) OVER (PARTITION BY asset, x, y ORDER BY frame ROWS UNBOUNDED PRECEDING) AS held FROM frames", "frames")
+def _(s, d):
+    return compose.hold_last(frames(s, d))
+
+
+@query("shade_index", "asset:long x:long y:long step:long", f"SELECT asset, x, y, least(floor(t * 3 + 1e-9), 3) AS step FROM (SELECT asset, x, y, CASE WHEN n > 1e-6 THEN greatest(gx / n * 0.6 + gy / n * 0.8, 0.0) END AS t FROM (SELECT *, (rr - l) / 2 AS gx, (dn - u) / 2 AS gy, sqrt(pow((rr - l) / 2, 2) + pow((dn - u) / 2, 2)) AS n FROM ({_NC}))) WHERE t IS NOT NULL", "canvases signed")
+def _(s, d):
+    n = geometry.normal_and_curvature(geometry.signed_distance(canvases(s, d), 8, 8)).where("nx is not null")
+    return n.withColumn("step", compose.ramp_index(compose.incidence(F.col("nx"), F.col("ny"), 0.6, 0.8), 4))

@@ -1,8 +1,11 @@
 """Every query runs on the smallest tables; those with SQL give what DuckDB gives."""
 
+import numbers
 import os
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -13,10 +16,16 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="the given tables aren't here")
 
 
+def clean(v):
+    if v is None or v is pd.NA or v is pd.NaT or v != v:
+        return None
+    if isinstance(v, (bool, np.bool_)):
+        return bool(v)
+    return round(float(v), 5) + 0.0 if isinstance(v, numbers.Number) else str(v)
+
+
 def rows(df):
-    cols = sorted(df.columns)
-    clean = lambda v: None if v is None or v != v else round(v, 5) + 0.0 if isinstance(v, float) else str(v)
-    return sorted((tuple(clean(v) for v in r) for r in df[cols].itertuples(index=False)), key=str)
+    return sorted((tuple(map(clean, r)) for r in df[sorted(df.columns)].itertuples(index=False)), key=str)
 
 
 @pytest.fixture(scope="module")
