@@ -134,8 +134,8 @@ bbb
 
 
 def test_sprites(spark, tmp_path):
-    (tmp_path / "dot.px.toml").write_text(SPRITE)
-    df = sprites.read(spark, f"file://{tmp_path}/dot.px.toml")
+    (tmp_path / "dot.toml").write_text(SPRITE)
+    df = sprites.read(spark, f"file://{tmp_path}/dot.toml")
     got = sorted((r["frame"], r["kind"], r["duration_ms"], r["y"], r["x"], r["idx"]) for r in df.collect())
     assert len(got) == 12 and got[0] == (1, "key", 80, 0, 0, 0) and got[-1] == (2, "inbetween", 100, 1, 2, 2)
     text = sprites.to_text(df).first()["value"]
