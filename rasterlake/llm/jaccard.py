@@ -37,7 +37,7 @@ from rasterlake.llm import common, text
 #: Frequent shingles in the order at most; how often one must be seen to be frequent.
 HEAVY, SEEN = 1 << 17, 12
 #: Shingles counted together before rare ones are let go; entries of a block of pairs; partners in a verified block.
-COUNTED, BLOCK, PARTNERS = 1 << 22, 1 << 15, 256
+COUNTED, BLOCK, PARTNERS = 1 << 21, 1 << 15, 256
 
 
 def _i(a: np.ndarray) -> pa.Array:

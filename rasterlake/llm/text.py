@@ -18,10 +18,27 @@ BLOCK = 1 << 18
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _tables: list[np.ndarray] = []
+_lean: list[bool] = []
 #: Multipliers for the words of a shingle by place, and a seed for short texts by length.
 _PLACE = np.array([pow(0xD1342543DE82EF95, i + 1, 1 << 64) for i in range(64)], dtype=np.uint64)
 
 
+def lean() -> None:
+    """Let a worker that is used again give large arrays back to the system when they are freed (glibc; else nothing)."""
+    if not _lean:
+        _lean.append(True)
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            import ctypes
+
+            c = ctypes.CDLL("libc.so.6")
+            c.mallopt(-3, 2 << 20)  # M_MMAP_THRESHOLD: larger arrays are mapped, and unmapped when freed
+            c.mallopt(-8, 2)  # M_ARENA_MAX
+            c.malloc_trim(0)
+        except (OSError, AttributeError):
+            pass
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     h = h ^ (h >> np.uint64(33))
@@ -47,6 +64,7 @@ def _lower(b: np.ndarray) -> np.ndarray:
 
 def _powers() -> list[np.ndarray]:
     if not _tables:
+        lean()
         for p in (_P, _P_INV):
             t = np.full(BLOCK + 1, p, dtype=np.uint64)
             t[0] = 1

@@ -25,7 +25,8 @@ from rasterlake.llm import text as tx
 
 #: Slots of a worker's table of known pieces (refilled from empty when over half full),
 #: parts of pieces kept as strings, and the longest piece (bytes) that is kept.
-SLOTS, KEPT_PARTS, LONGEST = 1 << 21, 600_000, 64
+SLOT_BITS, KEPT_PARTS, LONGEST = 20, 250_000, 64
+SLOTS = 1 << SLOT_BITS
 #: ASCII and Latin-1 letters, digits and signs: there all Unicode versions agree on the classes.
 _PLAIN = re.compile("[ -~¡-¬®-ÿ\\n]*").fullmatch
 _PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
@@ -91,6 +92,8 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        tx.lean()
+
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.merge = self.tokenizer.model.tokenize
@@ -101,12 +104,12 @@ class Encoder:
         self.keys = np.zeros(SLOTS, dtype=np.uint64)
         self.at = np.zeros(SLOTS, dtype=np.int64)
         self.n = np.zeros(SLOTS, dtype=np.int32)
-        self.pool, self.used, self.filled = np.zeros(1 << 20, dtype=np.uint32), 0, 0
+        self.pool, self.used, self.filled = np.zeros(1 << 18, dtype=np.uint32), 0, 0
 
     def _find(self, h: np.ndarray) -> np.ndarray:
         """The slot of each hash, or -1."""
         out = np.full(len(h), -1, dtype=np.int64)
-        slot = ((h * _MULT) >> np.uint64(64 - 21)).astype(np.int64)
+        slot = ((h * _MULT) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
         left = np.arange(len(h))
         while len(left):
             key = self.keys[slot]
@@ -118,7 +121,7 @@ class Encoder:
 
     def _put(self, h: np.ndarray, at: np.ndarray, n: np.ndarray) -> None:
         """Distinct hashes that aren't there."""
-        slot = ((h * _MULT) >> np.uint64(64 - 21)).astype(np.int64)
+        slot = ((h * _MULT) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
         left = np.arange(len(h))
         while len(left):
             free = self.keys[slot] == 0
