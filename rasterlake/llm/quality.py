@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from rasterlake.llm import common, text
 
 SAMPLE, SAMPLE_BYTES, EPOCHS = 2000, 32768, 8
+#: Steps of training at least, so that a small sample is gone through more often.
+LEAST_STEPS = 600
 CHUNK, OVERLAP = 512, 64
 STEP = CHUNK - OVERLAP
 DIM, FILTERS, WIDTH, STRIDE = 8, 32, 8, 4
@@ -98,6 +100,7 @@ class Model:
 
     def fit(self, texts: list[bytes], labels: np.ndarray, weights: np.ndarray, epochs: int = EPOCHS, batch: int = 24, rate: float = 0.01, seed: int = 11) -> Model:
         r = np.random.default_rng(seed)
+        epochs = max(epochs, -(-LEAST_STEPS * batch // len(texts)))
         share = float((labels * weights).sum() / weights.sum())
         self.p["c"][0] = np.log(share / (1 - share))
         self.p["v"] = r.normal(0, 0.1, 2 * FILTERS).astype(np.float32)
