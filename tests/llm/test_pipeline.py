@@ -9,7 +9,7 @@ import corpus_pipeline
 from rasterlake.llm import binary
 from tests.llm.test_operators import brute
 
-DATA = "/root/testdata/sf0.001"
+DATA = "/root/testdata/sf0.01"  # enough labelled rows of both classes to learn from
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="the given tables aren't here")
 
 
