@@ -204,6 +204,54 @@ def test_chains_are_the_best_by_brute_force():
         assert math.isclose(value(got.tolist()), best)
 
 
+def test_all_chains_of_long_texts_by_brute_force():
+    """Every chain, one after the other, against all predecessors tried one by one."""
+
+    def brute(s):
+        s, out = sorted(s.tolist(), key=lambda x: (x[1], x[0])), []
+        while s:
+            best = []
+            for x in s:
+                own = (float(x[2]), [x])
+                for value, c in best:
+                    ga, gb = x[0] - c[-1][0] - c[-1][2], x[1] - c[-1][1] - c[-1][2]
+                    if min(ga, gb) >= 0 and max(ga, gb) <= passages.MAX_GAP:
+                        own = max(own, (value + x[2] - passages.GAP_COST * (ga + gb), [*c, x]), key=lambda v: round(v[0], 6))
+                best.append(own)
+            top = max(best, key=lambda v: round(v[0], 6))
+            out.append(top)
+            s = [x for x in s if x not in top[1]]
+        return out
+
+    r = np.random.default_rng(6)
+    for _ in range(20):
+        # A long exact passage, then short segments on either side, most of them on diagonals near its own.
+        b = np.unique(r.integers(0, 3000, 60))
+        n = r.integers(8, 24, len(b))
+        s = np.stack([np.maximum(0, b + r.integers(-3, 4, len(b)) * r.integers(0, 9, len(b))), b, n], axis=1)
+        s = np.concatenate([[[1000, 1000, 400]], s[(s[:, 1] > 1400) | (s[:, 1] + s[:, 2] < 1000)]])
+        wanted = []
+        for value, c in brute(s):
+            box = (c[0][0], c[0][1], c[-1][0] + c[-1][2], c[-1][1] + c[-1][2])
+            if not any(box[0] >= o[0] and box[1] >= o[1] and box[2] <= o[2] and box[3] <= o[3] for _, o in wanted):
+                wanted.append((value, box))
+        got = passages.chains(s)
+
+        def value(c):
+            return c[:, 2].sum() - passages.GAP_COST * sum(y[0] - x[0] - x[2] + y[1] - x[1] - x[2] for x, y in zip(c.tolist(), c.tolist()[1:]))
+
+        assert np.allclose([value(c) for c in got], [v for v, _ in wanted])
+
+
+def test_a_long_passage_does_not_shadow_what_follows(spark):
+    long, fuzzy = prose(400, 700), prose(96, 701).split()
+    edited = " ".join(x for i in range(0, 96, 24) for x in [*fuzzy[i : i + 24], f"new{i}"])
+    rows = [(1, f"{long} {prose(500, 702)} {' '.join(fuzzy)} {prose(60, 703)}", "s"), (2, f"{long} {prose(300, 704)} {edited} {prose(60, 705)}", "s")]
+    got = passages.passages(make(spark, rows)).collect()
+    spans = sorted((r["end"] - r["start"]) if r["doc_id"] == 1 else (r["other_end"] - r["other_start"]) for r in got)
+    assert len(spans) == 2 and spans[0] >= 90 and spans[1] >= 400
+
+
 # 7 ------------------------------------------------------------------------------------------------
 def test_topk(spark, monkeypatch):
     monkeypatch.setattr(topk, "SHARD_ROWS", 60)
