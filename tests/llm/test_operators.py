@@ -252,6 +252,37 @@ def test_a_long_passage_does_not_shadow_what_follows(spark):
     assert len(spans) == 2 and spans[0] >= 90 and spans[1] >= 400
 
 
+def test_every_shared_run_is_reported(spark):
+    """Texts that overlap in part, in all orders of their keys, against brute force."""
+    n = passages.MIN_WORDS
+    rows = []
+    for f in range(8):
+        p, q = prose(60, 800 + f).split(), prose(64, 820 + f).split()
+        at = [f"{prose(40, 1000 + 10 * f + i)} {' '.join(x)} {prose(50, 2000 + 10 * f + i)}" for i, x in enumerate([p[:35], p, p, q[:34], q[30:], q, q[2:]])]
+        # The passage twice in a text, the first time in part.
+        r = prose(70, 840 + f).split()
+        at += [f"{' '.join(r[:40])} {prose(30, 3000 + f)} {' '.join(r)} {prose(20, 3100 + f)} {' '.join(r[10:])}", f"{prose(25, 3200 + f)} {' '.join(r)}"]
+        rows += [(100 * f + i, t, "s") for i, t in enumerate(at)]
+    got = passages.passages(make(spark, rows)).collect()
+    said = {}
+    for r in got:
+        said.setdefault(r["doc_id"], []).append((r["start"], r["end"]))
+        said.setdefault(r["other_doc_id"], []).append((r["other_start"], r["other_end"]))
+    where = {}
+    for i, t, _ in rows:
+        w = t.split()
+        for k in range(len(w) - n + 1):
+            where.setdefault(tuple(w[k : k + n]), []).append((i, k))
+    shared = [x for v in where.values() if len({i for i, _ in v}) > 1 for x in v]
+    assert len(shared) > 300
+    missing = [(i, k) for i, k in shared if not any(a <= k and k + n <= z for a, z in said.get(i, []))]
+    assert not missing
+    words = {i: t.split() for i, t, _ in rows}
+    for r in got:
+        if r["identity"] == 1:
+            assert words[r["doc_id"]][r["start"] : r["end"]] == words[r["other_doc_id"]][r["other_start"] : r["other_end"]]
+
+
 # 7 ------------------------------------------------------------------------------------------------
 def test_topk(spark, monkeypatch):
     monkeypatch.setattr(topk, "SHARD_ROWS", 60)
