@@ -263,8 +263,8 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int) -> D
     return out
 
 
-def jaccard_components(docs: DataFrame, k: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
+def _components(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, s1, s2) of every row, and (n, s1, s2, component_id, c) of every distinct set; ``c`` is the component's own key."""
     spark = docs.sparkSession
     common.ready(spark)
     heavy = spark.sparkContext.broadcast(heavy_shingles(docs, k))
@@ -299,21 +299,61 @@ def jaccard_components(docs: DataFrame, k: int = 5) -> DataFrame:
     # A component's name is its smallest doc_id; few rows have one that is not their class's own.
     member = classes.join(last, "node", "left").select("n", "s1", "s2", "low", F.coalesce("component", "node").alias("c"))
     name = member.groupBy("c").agg(F.min("low").alias("component_id"))
-    named = common.stored(member.join(name, "c").select("n", "s1", "s2", "component_id"), "components")
-    return own.select("doc_id", "n", "s1", "s2").join(named, ["n", "s1", "s2"], "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return own, common.stored(member.join(name, "c").select("n", "s1", "s2", "component_id", "c"), "components")
+
+
+def jaccard_components(docs: DataFrame, k: int = 5) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row."""
+    own, named = _components(docs, k)
+    return own.select("doc_id", "n", "s1", "s2").join(named.drop("c"), ["n", "s1", "s2"], "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def near_duplicates_removed(docs: DataFrame, k: int = 5) -> DataFrame:
-    """Of each component the document of least doc_id, and one row of those that repeat that doc_id."""
-    own = F.col("component_id").eqNullSafe(F.col("doc_id"))
-    ids = common.stored(jaccard_components(docs, k).groupBy("doc_id").agg(F.max(own).alias("stays"), F.count("*").alias("n")), "near-duplicates")
-    gone = common.sized(ids.where("not stays").select(F.col("doc_id").alias("_gone")))
-    left = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")
-    twice = ids.where("stays and n > 1").select(F.col("doc_id").alias("_twice"))
+    """Of each component one row of least doc_id (null last), whatever other rows bear that doc_id.
+
+    A row is told by its doc_id and its text's hash; of rows that have both alike one stays. A
+    row without words stays if no other row of its doc_id does.
+    """
+    _, named = _components(docs, k)
+    rows = common.stored(_keyed(docs, k), "rows")
+    each = rows.join(named.select("n", "s1", "s2", "c"), ["n", "s1", "s2"], "left")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "x1", "x2")).alias("m")
+    best = common.stored(each.where("c is not null").groupBy("c").agg(first).select("m.doc_id", "m.x1", "m.x2"), "staying")
+    bare = rows.where("n = 0").groupBy("doc_id").agg(F.min(F.struct("x1", "x2")).alias("m")).select("doc_id", "m.x1", "m.x2")
+    own = best.select(F.col("doc_id").alias("_id")).distinct()
+    bare = bare.join(own, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    stay = best.unionByName(bare)
+    names = [F.col(c).alias(f"_{c}") for c in ("doc_id", "x1", "x2")]
+    kept = stay.select(*names)
+    other = rows.select("doc_id", "x1", "x2").distinct()
+    gone = other.join(kept, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("x1") == F.col("_x1")) & (F.col("x2") == F.col("_x2")), "left_anti")
+    gone = common.sized(common.stored(gone.select(*names), "near-duplicates"))
+    x1, x2 = _text_hashes()
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_doc_id")) & (x1 == F.col("_x1")) & (x2 == F.col("_x2"))
+    left = docs.join(gone, same, "left_anti")
+    twice = common.stored(rows.groupBy("doc_id", "x1", "x2").count().where("count > 1").select(*names), "repeated")
     if twice.isEmpty():
         return left
-    again = left["doc_id"].eqNullSafe(F.col("_twice"))
-    return left.join(twice, again, "left_anti").unionByName(left.join(twice, again, "left_semi").dropDuplicates(["doc_id"]))
+    return left.join(twice, same, "left_anti").unionByName(left.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
+def _text_hashes() -> tuple:
+    """128 bits of a text; null is a text of its own."""
+    return F.xxhash64("text", F.col("text").isNull()), F.xxhash64(F.lit("second"), F.col("text"), F.col("text").isNull())
+
+
+def _keyed(docs: DataFrame, k: int) -> DataFrame:
+    """doc_id, text hashes, and size and hash of the shingle set of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = text.shingles(batch.column("text"), k)
+            both = [_set_hash(s) for s in sets]
+            cols = [pa.array([len(s) for s in sets], pa.int32()), *(pa.array([b[i] for b in both], pa.int64()) for i in (0, 1))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("x1"), batch.column("x2"), *cols], names=["doc_id", "x1", "x2", "n", "s1", "s2"])
+
+    x1, x2 = _text_hashes()
+    return docs.select(F.col("doc_id").cast("long"), x1.alias("x1"), x2.alias("x2"), "text").mapInArrow(run, "doc_id long, x1 long, x2 long, n int, s1 long, s2 long")
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -410,6 +410,14 @@ def test_jaccard_edges(spark, odd, empty):
     assert sorted(str(r["doc_id"]) for r in left.collect()) == sorted(["1", "2", "3", "4", "6", "7", "8", "None"])
 
 
+def test_near_duplicates_go_by_row(spark):
+    """Different texts under a null and a repeated doc_id stay, each group's one row."""
+    x, y, z, p, q = (prose(80, 900 + i) for i in range(5))
+    rows = [(None, p, "s"), (None, q, "s"), (None, z, "s"), (1, x, "s"), (1, y, "s"), (5, y, "s"), (6, z, "s"), (7, q, "s"), (7, q, "s"), (8, "", "s"), (8, None, "s")]
+    left = jaccard.near_duplicates_removed(make(spark, rows)).collect()
+    assert sorted((str(r["doc_id"]), r["text"] or "") for r in left) == sorted([("None", p), ("1", x), ("1", y), ("6", z), ("7", q), ("8", "")])
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (8, 7), (7, 6), (6, 5), (4, 4), (3, 1)], "a long, b long")
     got = {r["node"]: r["component"] for r in common.components(edges).collect()}
