@@ -13,8 +13,9 @@ runs of three words of each stand in it. The answer is what follows the last ``?
 the last sentence; an item of one sentence is all question.
 
 The index is sent to all tasks if the items have at most ``INDEX_BYTES`` bytes; else the items
-are dealt into parts of that size by hash, and each text asks part after part (an item's
-weights then rest on the statistics of its part).
+are dealt into parts of that size by hash, and each text asks part after part. Document
+frequencies, the number and mean length of items and the longest item are counted over all
+items before, so parts and one index give equal hits.
 
 Defined cases: null or empty texts have no passage of interest and no hit; items without words
 are never hit; items that repeat are each hit; rows that repeat a doc_id are each judged; an
@@ -53,7 +54,9 @@ def _runs(h: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    def __init__(self, ids: list[int | None], texts: list[str | None]):
+    """``whole``: items, their mean and largest length, the sorted terms and each term's items of the whole benchmark, if this is a part."""
+
+    def __init__(self, ids: list[int | None], texts: list[str | None], whole: tuple | None = None):
         h, first = text.plain_words(pa.array(texts, pa.string()))
         own = [h[a:z] for a, z in zip(first[:-1], first[1:])]
         order = sorted((i for i in range(len(ids)) if len(own[i])), key=lambda i: (len(own[i]), i))  # alike lengths share a block
@@ -72,8 +75,11 @@ class Index:
         item = np.repeat(np.arange(len(own)), [len(t) for t, _ in counted])
         df = np.bincount(term, minlength=len(self.terms))
         size = np.array([len(x) for x in own], dtype=np.float64)
-        idf = np.log(1 + (len(own) - df + 0.5) / (df + 0.5))
-        mean = size.mean() if len(size) else 1
+        total, mean, often = len(own), size.mean() if len(size) else 1, df
+        if whole is not None:
+            total, mean, self.longest, every, counts = whole
+            often = counts[np.searchsorted(every, self.terms)]
+        idf = np.log(1 + (total - often + 0.5) / (often + 0.5))
         weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[item] / mean))
         weight /= np.bincount(item, weight, minlength=len(own))[item]
         by = np.lexsort((item, term))
@@ -160,14 +166,49 @@ def indexes(benchmark: DataFrame, limit: int = INDEX_BYTES) -> list:
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = size // limit + 1
+    whole = _statistics(items) if parts > 1 else (None, None)
     out = []
     for p in range(parts):
         rows = items.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == p).collect()
         rows.sort(key=lambda r: (r["item_id"] is None, r["item_id"] or 0, r["text"] or ""))
-        out.append(spark.sparkContext.broadcast(Index([r["item_id"] for r in rows], [r["text"] for r in rows])))
+        ids, texts = [r["item_id"] for r in rows], [r["text"] for r in rows]
+        out.append(spark.sparkContext.broadcast(Index(ids, texts, _of_part(whole, texts) if parts > 1 else None)))
     return out
 
 
+def _statistics(items: DataFrame) -> tuple[tuple, DataFrame]:
+    """Number, mean and largest length of items with words, and (t, df) of all their terms (stored)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, first = text.plain_words(batch.column("text"))
+            own = [np.unique(h[a:z]) for a, z in zip(first[:-1], first[1:]) if z > a]
+            size = np.diff(first)
+            terms = np.concatenate(own) if own else np.zeros(0, np.uint64)
+            # A row for each term of each item, and one without a term for each item.
+            size = size[size > 0]
+            t = pa.concat_arrays([pa.array(terms.view(np.int64)), pa.nulls(len(size), pa.int64())])
+            n = pa.concat_arrays([pa.array(np.ones(len(terms), np.int64)), pa.array(size.astype(np.int64))])
+            yield pa.RecordBatch.from_arrays([t, n], names=["t", "n"])
+
+    counted = common.stored(items.select("text").mapInArrow(run, "t long, n long").groupBy("t").agg(F.count("*").alias("df"), F.sum("n").alias("words"), F.max("n").alias("longest")), "terms")
+    one = counted.where("t is null").first()
+    of = (one["df"], one["words"] / one["df"], one["longest"]) if one else (0, 1, 0)
+    return of, counted.where("t is not null").select("t", "df")
+
+
+def _of_part(whole: tuple[tuple, DataFrame], texts: list[str | None]) -> tuple:
+    """The whole benchmark's statistics with the terms of a part only, which bounds them as the part is."""
+    of, counted = whole
+    own = np.unique(text.plain_words(pa.array(texts, pa.string()))[0]).view(np.int64)
+    spark = counted.sparkSession
+    want = spark.createDataFrame(pa.table({"t": own}))
+    got = counted.join(want, "t", "left_semi").toPandas()
+    t = got["t"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(t)
+    return (*of, t[order], got["df"].to_numpy(np.int64)[order])
+
+
 def with_hits(docs: DataFrame, benchmark: DataFrame, name: str = "hits") -> DataFrame:
     """The documents with a column of their verified hits."""
     common.ready(docs.sparkSession)

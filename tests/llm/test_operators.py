@@ -337,6 +337,26 @@ def test_decontamination(spark, odd, empty):
     assert len(decontaminate.indexes(bench, 100)) > 1
 
 
+def test_parts_and_one_index_give_equal_hits(spark, monkeypatch):
+    items = [f"{prose(6 + i % 23, 5000 + i)}? {prose(4 + i % 7, 5100 + i)}." for i in range(60)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    r = random.Random(8)
+
+    def worn(t):
+        return " ".join(w for w in t.split() if r.random() > 0.12)
+
+    docs = make(spark, [(i, f"{prose(70, 6000 + i)} {worn(items[i % 60])} {prose(80, 7000 + i)}", "s") for i in range(240)])
+
+    def hits():
+        return sorted((x["doc_id"], h["item_id"], round(h["score"], 9)) for x in decontaminate.with_hits(docs, bench).collect() for h in x["hits"])
+
+    whole = hits()
+    parts = decontaminate.indexes(bench, 1500)
+    assert len(parts) > 3 and len(whole) > 60
+    monkeypatch.setattr(decontaminate, "indexes", lambda _: parts)
+    assert hits() == whole
+
+
 # 9 ------------------------------------------------------------------------------------------------
 URLS = [None, "", "no scheme", "http://EXAMPLE.net/en/x", "https://a.b.Example.NET/en", "http://example.net", "http://example.net/?q", "http://x.org/fr/#a", "http://org/fr/", "http://badexample.net/en/", "http://example.com/de/a?b", "http://example.com/en/", "ftp://net/x://y/", "http://.net/", "http://a..net/z", "x\n://q.net/\nb", "http://net:80/a", "://net/a", "http://é.org/fr/é"]
 
