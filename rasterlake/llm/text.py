@@ -2,8 +2,9 @@
 
 Words are maximal runs of bytes outside ``[\\x20\\x09-\\x0D]`` with A-Z lower-cased.
 All work is vectorised over the UTF-8 buffer; a text is never truncated. Working
-memory is bounded by ``BLOCK`` bytes times a small constant, whatever a text's size.
-A null text has no words.
+memory is bounded by ``BLOCK`` bytes (or the longest word) times a small constant,
+whatever a text's size. Words are told apart by a keyed 64-bit hash (SipHash, BLAKE2b),
+which no pattern in the bytes makes collide. A null text has no words.
 """
 
 from __future__ import annotations
@@ -15,9 +16,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK = 1 << 18
-_P = np.uint64(0x9E3779B97F4A7C15)
-_P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_tables: list[np.ndarray] = []
+#: Words of up to this many bytes are hashed together by SipHash; longer ones by BLAKE2b, each for itself.
+LONGEST = 71
+#: The key of the words' hash: fixed, so that all tasks and runs agree.
+_KEY = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _lean: list[bool] = []
 #: Multipliers for the words of a shingle by place, and a seed for short texts by length.
 _PLACE = np.array([pow(0xD1342543DE82EF95, i + 1, 1 << 64) for i in range(64)], dtype=np.uint64)
@@ -58,23 +60,62 @@ def _sign(b: np.ndarray) -> np.ndarray:
 
 
 def _lower(b: np.ndarray) -> np.ndarray:
-    """A-Z as a-z, as numbers above 0."""
-    return (b + (((b - np.uint8(65)) < 26).view(np.uint8) << np.uint8(5))).astype(np.uint64) + np.uint64(1)
-
-
-def _powers() -> list[np.ndarray]:
-    if not _tables:
-        lean()
-        for p in (_P, _P_INV):
-            t = np.full(BLOCK + 1, p, dtype=np.uint64)
-            t[0] = 1
-            _tables.append(np.multiply.accumulate(t))
-    return _tables
+    """A-Z as a-z."""
+    return b + (((b - np.uint8(65)) < 26).view(np.uint8) << np.uint8(5))
+
+
+def _turn(x: np.ndarray, n: int) -> np.ndarray:
+    return (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+
+
+def _sip_round(v: list[np.ndarray]) -> None:
+    a, b, c, d = v
+    a = a + b
+    b = _turn(b, 13) ^ a
+    a = _turn(a, 32)
+    c = c + d
+    d = _turn(d, 16) ^ c
+    a = a + d
+    d = _turn(d, 21) ^ a
+    c = c + b
+    b = _turn(b, 17) ^ c
+    v[:] = a, b, _turn(c, 32), d
+
+
+def digests(b: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: tuple[int, int] = _KEY) -> np.ndarray:
+    """64-bit hashes of spans of bytes: SipHash-1-3, all spans of one number of 8-byte blocks at a time; BLAKE2b beyond ``LONGEST`` bytes."""
+    out = np.empty(len(starts), dtype=np.uint64)
+    padded = np.zeros(len(b) + 8, dtype=np.uint8)
+    padded[: len(b)] = b
+    at_byte = np.ndarray((len(b) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    size = ends - starts
+    blocks = size >> 3
+    first = [np.uint64(c ^ key[i % 2]) for i, c in enumerate((0x736F6D6570736575, 0x646F72616E646F6D, 0x6C7967656E657261, 0x7465646279746573))]
+    for n in range(min(int(blocks.max(initial=-1)), LONGEST >> 3) + 1):
+        own = np.flatnonzero(blocks == n)
+        if not len(own):
+            continue
+        begin, spare = starts[own], (size[own] & 7).astype(np.uint64)
+        v = [np.full(len(own), x) for x in first]
+        for k in range(n + 1):
+            m = at_byte[begin + 8 * k]
+            if k == n:
+                m = (m & ((np.uint64(1) << (spare << np.uint64(3))) - np.uint64(1))) | (np.uint64(8 * n << 56 & (1 << 64) - 1) + (spare << np.uint64(56)))
+            v[3] = v[3] ^ m
+            _sip_round(v)
+            v[0] = v[0] ^ m
+        v[2] = v[2] ^ np.uint64(0xFF)
+        for _ in range(3):
+            _sip_round(v)
+        out[own] = v[0] ^ v[1] ^ v[2] ^ v[3]
+    secret = b"".join(k.to_bytes(8, "little") for k in key)
+    for i in np.flatnonzero(blocks > LONGEST >> 3):
+        out[i] = int.from_bytes(hashlib.blake2b(b[starts[i] : ends[i]].tobytes(), digest_size=8, key=secret).digest(), "little")
+    return out
 
 
 def _block(b: np.ndarray, breaks: np.ndarray, gap=_space) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes, starts and ends of the words of ``b``; a word never crosses a break."""
-    power, inverse = _powers()
     filled = ~gap(b)
     before = np.zeros(len(b), dtype=bool)
     before[1:] = filled[:-1]
@@ -84,9 +125,7 @@ def _block(b: np.ndarray, breaks: np.ndarray, gap=_space) -> tuple[np.ndarray, n
     after[:-1] = filled[1:]
     after[breaks[breaks > 0] - 1] = False
     ends = np.flatnonzero(filled & ~after) + 1
-    total = np.zeros(len(b) + 1, dtype=np.uint64)
-    np.cumsum(_lower(b) * power[: len(b)], out=total[1:])
-    return mix((total[ends] - total[starts]) * inverse[starts]), starts, ends
+    return digests(_lower(b), starts, ends), starts, ends
 
 
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -112,6 +151,7 @@ def words(column: pa.Array, gap=_space) -> tuple[np.ndarray, np.ndarray]:
 
 def spans(column: pa.Array, gap=_space) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """As ``words``, with each word's byte start and end in the concatenated texts."""
+    lean()
     data, offsets = raw(column)
     hashes, starts, ends = [], [], []
     at, n = 0, len(data)
@@ -133,13 +173,6 @@ def spans(column: pa.Array, gap=_space) -> tuple[np.ndarray, np.ndarray, np.ndar
                         if len(gaps):
                             to = p + int(gaps[0])
                             break
-                    if to - at > BLOCK:
-                        whole = hashlib.blake2b(data[at:to].tobytes().lower(), digest_size=8).digest()
-                        hashes.append(np.frombuffer(whole, np.uint64))
-                        starts.append(np.array([at]))
-                        ends.append(np.array([to]))
-                        at = to
-                        continue
         lo, hi = np.searchsorted(offsets, [at, to])
         breaks = np.unique(offsets[lo:hi] - at)
         h, s, e = _block(data[at:to], breaks[breaks < to - at], gap)

@@ -5,16 +5,19 @@ between two characters that are not white space: a match that starts there takes
 space with it, and a match from before holds no white space to reach past it. So a text
 is cut before each such space (where in doubt about a character, it isn't cut), each
 distinct piece is encoded once by the library, and the ids are put together. They equal
-those of the whole text; a test holds them against it. Pieces are known again by a 64-bit
-hash of their bytes. A piece of common characters is split by the pre-tokeniser's published
-pattern and goes straight to the library's merge model; any other goes through the whole
-tokeniser. Strings of special tokens in a text are ordinary text.
+those of the whole text; a test holds them against it. Pieces of at most ``LONGEST`` bytes are
+known again by a 64-bit hash of their bytes under a key that each worker draws at random, so
+no text can make two pieces collide; longer ones are encoded each time. A piece of common
+characters is split by the pre-tokeniser's published pattern and goes straight to the library's
+merge model; any other, and any that holds the string of a special token, goes through the
+whole tokeniser, which gives such a string the special token's id.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import secrets
 import struct
 
 import numpy as np
@@ -26,6 +29,8 @@ from rasterlake.llm import text as tx
 #: Slots of a worker's table of known pieces (refilled from empty when over half full),
 #: parts of pieces kept as strings, and the longest piece (bytes) that is kept.
 SLOT_BITS, KEPT_PARTS, LONGEST = 20, 250_000, 64
+#: Pieces hashed together.
+_TOGETHER = 1 << 15
 SLOTS = 1 << SLOT_BITS
 #: ASCII and Latin-1 letters, digits and signs: there all Unicode versions agree on the classes.
 _PLAIN = re.compile("[ -~¡-¬®-ÿ\\n]*").fullmatch
@@ -68,25 +73,6 @@ def cuts(b: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.searchsorted(starts, offsets)
 
 
-def hashes(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Of the bytes of each piece; 0 for a piece longer than a block."""
-    power, inverse = tx._powers()
-    out = np.zeros(len(starts), dtype=np.uint64)
-    total = np.zeros(tx.BLOCK + 1, dtype=np.uint64)
-    i = 0
-    while i < len(starts):
-        at = starts[i]
-        j = int(np.searchsorted(ends, at + tx.BLOCK, "right"))
-        if j <= i:
-            i += 1
-            continue
-        to = ends[j - 1]
-        np.cumsum((b[at:to].astype(np.uint64) + np.uint64(1)) * power[: to - at], out=total[1 : to - at + 1])
-        out[i:j] = tx.mix((total[ends[i:j] - at] - total[starts[i:j] - at]) * inverse[starts[i:j] - at]) | np.uint64(1)
-        i = j
-    return out
-
-
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -95,8 +81,12 @@ class Encoder:
         tx.lean()
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.merge = self.tokenizer.model.tokenize
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        if any(re.search(r"\s", t) for t in added):
+            raise ValueError("an added token with white space could reach across pieces")
+        self.added = re.compile("|".join(map(re.escape, added)) or "(?!)").search
+        self.key = (secrets.randbits(64), secrets.randbits(64))
         self.parts: dict[str, bytes] = {}
         self._clear()
 
@@ -152,7 +142,7 @@ class Encoder:
             self.parts.clear()
         out, part = [], self._part
         for p in pieces:
-            if not _PLAIN(p):
+            if not _PLAIN(p) or self.added(p):
                 out.append(np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, dtype="<u4").tobytes())
             elif p[:1] == " " and p[1:].isalpha():
                 out.append(part(p))
@@ -167,14 +157,19 @@ class Encoder:
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         ends = np.append(starts[1:], len(b))
-        h = hashes(b, starts, ends)
+        h = np.zeros(len(starts), dtype=np.uint64)  # 0: a long piece, that isn't kept
+        short = np.flatnonzero(ends - starts <= LONGEST)
+        for i in range(0, len(short), _TOGETHER):
+            own = short[i : i + _TOGETHER]
+            lo, hi = starts[own[0]], ends[own[-1]]
+            h[own] = tx.digests(b[lo:hi], starts[own] - lo, ends[own] - lo, self.key) | np.uint64(1)
         if self.filled > SLOTS // 2:
             self._clear()
         slot = self._find(h)
         at, n = self.at[slot], self.n[slot].astype(np.int64)
         if len(missing := np.flatnonzero(slot < 0)):
             seen, one, back = np.unique(h[missing], return_index=True, return_inverse=True)
-            if seen[0] == 0:  # pieces longer than a block: each for itself
+            if seen[0] == 0:  # long pieces: each for itself
                 giants = missing[h[missing] == 0]
                 one, back = np.append(one[1:], np.flatnonzero(h[missing] == 0)), back - 1
                 back[h[missing] == 0] = len(seen) - 1 + np.arange(len(giants))
@@ -182,7 +177,7 @@ class Encoder:
             which, data = missing[one], b.tobytes()
             ids = self._learn([data[s:e].decode() for s, e in zip(starts[which].tolist(), ends[which].tolist())])
             size = np.array([len(x) // 4 for x in ids], dtype=np.int64)
-            kept = (ends[which] - starts[which] <= LONGEST) & (seen != 0)
+            kept = seen != 0
             order = np.argsort(~kept, kind="stable")
             place = np.empty(len(ids), dtype=np.int64)
             place[order] = self.used + np.cumsum(size[order]) - size[order]

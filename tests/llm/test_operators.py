@@ -1,5 +1,6 @@
 """Operators on small tables: against brute force, and on nulls, empties, repeats, ties and clashing columns."""
 
+import functools
 import math
 import random
 import zlib
@@ -9,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from rasterlake.llm import binary, common, decontaminate, jaccard, licenses, lines, passages, quality, text, topk, url_filter
 from tests.llm.test_text import plain
@@ -96,11 +98,13 @@ def test_licences(spark, odd, empty):
 
 
 # 3 and 4 --------------------------------------------------------------------------------------------
-def whole_ids(t):
-    from rasterlake.llm import tokens
+@functools.cache
+def fresh():
+    return Tokenizer.from_file(binary.tokenizer_path())
+
 
-    e = tokens.encoder(binary.tokenizer_path())
-    return e.tokenizer.encode(t or "", add_special_tokens=False).ids + [0]
+def whole_ids(t):
+    return fresh().encode(t or "", add_special_tokens=False).ids + [0]
 
 
 def crc(ids):

@@ -1,10 +1,12 @@
 """Word hashing and token ids against plain Python and the whole tokeniser."""
 
+import random
 import re
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from tokenizers import Tokenizer
 
 from rasterlake.llm import binary, text, tokens
 
@@ -14,9 +16,7 @@ ODD = [None, "", " ", "  a\tB  ", "x", "a  b", " y ", "z\n q", "\n \n", "a\u3000
 @pytest.fixture(params=[1 << 18, 64])
 def block(request, monkeypatch):
     monkeypatch.setattr(text, "BLOCK", request.param)
-    text._tables.clear()
-    yield request.param
-    text._tables.clear()
+    return request.param
 
 
 def plain(t):
@@ -43,12 +43,69 @@ def test_shingles():
     assert text.shingles(pa.array(["A b c"]))[0].tolist() == text.shingles(pa.array([" a B\nC "]))[0].tolist()
 
 
+def thue_morse(n, a="a", b="b"):
+    """A word on which polynomial hashes modulo powers of two collide with its mirror image."""
+    return "".join(b if i.bit_count() % 2 else a for i in range(n))
+
+
+CRAFTED = [thue_morse(n, *p) for n in (64, 1024, 4096) for p in ("ab", "ba")]
+SPECIAL = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>y z", " <|endoftext|>", "<|endoftext|> ", "<|endoftext|", "é <|endoftext|>é", "a\n<|endoftext|>\n b", "<<|endoftext|>>  c"]
+
+
 def test_ids_are_those_of_whole_texts(block):
-    e = tokens.Encoder(binary.tokenizer_path())
-    for some in (ODD, ODD[::-1] * 2):
+    e, fresh = tokens.Encoder(binary.tokenizer_path()), Tokenizer.from_file(binary.tokenizer_path())
+    r = random.Random(5)
+    some_unicode = ["".join(chr(r.choice([r.randrange(32, 127), 32, r.randrange(160, 0x2FFF), r.randrange(0x1F300, 0x1F700)])) for _ in range(60)) for _ in range(60)]
+    for some in (ODD, ODD[::-1] * 2, SPECIAL, CRAFTED, [" ".join(CRAFTED), *CRAFTED[::-1]], some_unicode):
         ids, first = e.encode(pa.array(some, pa.string()))
         for t, a, z in zip(some, first[:-1], first[1:]):
-            assert ids[a:z].tolist() == e.tokenizer.encode(t or "", add_special_tokens=False).ids, t
+            assert ids[a:z].tolist() == fresh.encode(t or "", add_special_tokens=False).ids, t
+
+
+def test_words_with_patterns_do_not_collide(block):
+    h, _ = text.words(pa.array(CRAFTED))
+    assert len(set(h.tolist())) == len(CRAFTED)
+    a, b = text.shingles(pa.array([f"one {CRAFTED[4]} two three four", f"one {CRAFTED[5]} two three four"]))
+    assert not set(a.tolist()) & set(b.tolist())
+
+
+def test_digests_are_siphash_1_3():
+    """Against a plain implementation, at all lengths."""
+
+    def sip(data, k0, k1):
+        m64 = (1 << 64) - 1
+        turn = lambda x, n: (x << n | x >> 64 - n) & m64
+        v = [k0 ^ 0x736F6D6570736575, k1 ^ 0x646F72616E646F6D, k0 ^ 0x6C7967656E657261, k1 ^ 0x7465646279746573]
+
+        def mix():
+            a, b, c, d = v
+            a = (a + b) & m64
+            b = turn(b, 13) ^ a
+            a = turn(a, 32)
+            c = (c + d) & m64
+            d = turn(d, 16) ^ c
+            a = (a + d) & m64
+            d = turn(d, 21) ^ a
+            c = (c + b) & m64
+            b = turn(b, 17) ^ c
+            v[:] = a, b, turn(c, 32), d
+
+        tail = data + b"\0" * (7 - len(data) % 8) + bytes([len(data) & 255])
+        for i in range(0, len(tail), 8):
+            m = int.from_bytes(tail[i : i + 8], "little")
+            v[3] ^= m
+            mix()
+            v[0] ^= m
+        v[2] ^= 255
+        for _ in range(3):
+            mix()
+        return v[0] ^ v[1] ^ v[2] ^ v[3]
+
+    data = np.random.default_rng(3).integers(0, 256, 4000).astype(np.uint8)
+    starts = np.cumsum(np.arange(72))
+    ends = starts + np.arange(72)
+    key = (123, 2**63 + 5)
+    assert text.digests(data, starts, ends, key).tolist() == [sip(data[a:z].tobytes(), *key) for a, z in zip(starts, ends)]
 
 
 def test_memory_is_refilled(monkeypatch):
