@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 #: Rows of (long) keys up to which a key table is broadcast; beyond it joins shuffle.
 BROADCAST_KEYS = 500_000
 #: Rows and bytes in one Arrow batch at most.
-BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
+#: Copies of a key in a salted join.
+SALTS = 16
 
 
 def ready(spark: SparkSession) -> None:
@@ -73,30 +75,55 @@ def lower_ascii(c):
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
-    """(node, component) of all nodes with an edge; the component is its smallest node.
+def salted_join(big: DataFrame, keyed: DataFrame, key: str, spread: str, how: str = "inner") -> DataFrame:
+    """Join of a table in which one key may hold any share of the rows with a stored table of one row for each key.
 
-    Each round sends the smallest label over all edges, then follows labels to the labels'
-    own labels. Only minima are aggregated, so a node of any degree needs no list of its neighbours.
+    The keyed side is broadcast if it is small; else every key of it is copied ``SALTS`` times and
+    the big side's rows are dealt over the copies by their column ``spread``.
     """
-    both = stored(
-        edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
-        .where("u <> v")
-        .select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e"))
-        .select("e.u", "e.v")
-        .distinct(),
-        "edges",
-    )
-    labels = stored(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("label")), "labels")
-    for _ in range(max_rounds):
-        sent = both.join(labels, F.col("u") == F.col("node")).groupBy(F.col("v").alias("node")).agg(F.min("label").alias("got"))
-        step = labels.join(sent, "node").select("node", F.col("label").alias("old"), F.least("label", "got").alias("low"))
-        own = labels.select(F.col("node").alias("low"), F.col("label").alias("next"))
-        after = stored(step.join(own, "low", "left").select("node", "old", F.least("low", F.coalesce("next", "low")).alias("label")), "labels")
-        changed = after.where("label <> old").limit(1).count()
-        discard(labels)
-        labels = after
-        if not changed:
-            discard(both)
-            return labels.select("node", F.col("label").alias("component"))
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    if keyed.count() <= BROADCAST_KEYS:
+        return big.join(F.broadcast(keyed), key, how)
+    dealt = big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)))
+    copies = keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return dealt.join(copies, [key, "_salt"], how).drop("_salt")
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, component) of all nodes with an edge; the component is its smallest node. Stored.
+
+    Each round hooks every node to its smallest neighbour, if that is smaller; follows the hooks to
+    their ends, doubling the way at each step; and makes each end one node of the next round, whose
+    edges join different ends. In two rounds every end left has taken in another node, so rounds grow
+    with the logarithm of the nodes, whatever the shape, and none is the last by a cap. Nodes with
+    any number of neighbours only meet minima and joins that are salted.
+    """
+    left = stored(edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u <> v").distinct(), "edges")
+    labels = None
+    while True:
+        ends = F.explode(F.array(F.struct(F.col("u").alias("node"), "u"), F.struct(F.col("v").alias("node"), "u"))).alias("e")
+        up = stored(left.select(ends).groupBy("e.node").agg(F.min("e.u").alias("up")), "hooks")
+        while True:
+            used = up.select("up").distinct()
+            on = stored(up.where("up <> node").select(F.col("node").alias("up"), F.col("up").alias("top")).join(used, "up", "left_semi"), "hooked-hooks")
+            if on.isEmpty():
+                discard(on)
+                break
+            further = stored(salted_join(up, on, "up", "node", "left").select("node", F.coalesce("top", "up").alias("up")), "hooks")
+            discard(up, on)
+            up = further
+        own = up.select(F.col("node").alias("label"), "up")
+        if labels is None:
+            labels, old = stored(up.select("node", F.col("up").alias("label")), "labels"), None
+        else:
+            old = labels
+            labels = stored(salted_join(labels, own, "label", "node", "left").select("node", F.coalesce("up", "label").alias("label")), "labels")
+        first = salted_join(left, up.select(F.col("node").alias("u"), F.col("up").alias("x")), "u", "v")
+        both = salted_join(first, up.select(F.col("node").alias("v"), F.col("up").alias("y")), "v", "u")
+        after = stored(both.where("x <> y").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct(), "edges")
+        discard(left, up, *([old] if old is not None else []))
+        left = after
+        if left.isEmpty():
+            discard(left)
+            out = labels.select("node", F.col("label").alias("component"))
+            out.rasterlake_path = labels.rasterlake_path
+            return out

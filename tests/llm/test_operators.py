@@ -442,8 +442,39 @@ def test_near_duplicates_go_by_row(spark):
     assert sorted((str(r["doc_id"]), r["text"] or "") for r in left) == sorted([("None", p), ("1", x), ("1", y), ("6", z), ("7", q), ("8", "")])
 
 
-def test_components(spark):
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_components(spark, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(common, "BROADCAST_KEYS", 0)
     edges = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (8, 7), (7, 6), (6, 5), (4, 4), (3, 1)], "a long, b long")
     got = {r["node"]: r["component"] for r in common.components(edges).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 5: 5, 6: 5, 7: 5, 8: 5, 9: 5}
     assert common.components(edges.where("false")).count() == 0
+
+
+def test_components_of_any_shape(spark):
+    """Paths, sorted and shuffled, a star about its largest node, and random graphs, all in one table; no cap on rounds."""
+    r = random.Random(12)
+    links = [(2, 100), *((i, i + 1) for i in range(100, 199)), (199, 1)]  # a path whose ends are the least
+    links += [(i, i + 1) for i in range(1000, 1700)]
+    names = r.sample(range(20_000, 90_000), 10_000)
+    links += list(zip(names, names[1:]))
+    links += [(9_999, i) for i in range(5_000, 6_000)]
+    links += [(r.randrange(200_000, 200_400), r.randrange(200_000, 200_400)) for _ in range(260)]
+    want = union_find({x for e in links for x in e}, links)
+    got = {x["node"]: x["component"] for x in common.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {i: c for i, c in want.items() if any(i in e and e[0] != e[1] for e in links if i >= 200_000) or i < 200_000}
+
+
+def test_jaccard_follows_a_long_chain_of_versions(spark):
+    base = prose(400, 77).split()
+    new = prose(160 * 16, 78).split()
+    rows = []
+    for i in range(160):  # each version has 16 further words changed: links to its neighbours alone
+        rows.append((i, " ".join(base), "s"))
+        base = new[16 * i : 16 * i + 16] + base[:-16]
+    r = random.Random(4)
+    ids = r.sample(range(1000), 160)
+    rows = [(ids[i], t, s) for i, t, s in rows]
+    got = {x["component_id"] for x in jaccard.jaccard_components(make(spark, rows)).collect()}
+    assert got == {min(ids)}
