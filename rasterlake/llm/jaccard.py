@@ -11,7 +11,9 @@
    under a shingle, pass the size and position filters and are not yet in one component.
    So a family of thousands of near copies costs pairs in proportion to its size, and no
    pair of texts that could add a link is left out.
-4. Verifying expands groups to their distinct sets and compares whole sets.
+4. Verifying expands groups to their distinct sets and compares whole sets. Sets of one group
+   that round one left apart meet under the shingles that come next after their common prefix,
+   in the same way, not all with all.
 
 Keys that many rows share are dealt out by salt (postings) or in blocks (pairs); exact copies
 are one set throughout. Nothing of the corpus goes to the driver but the list of the most
@@ -81,6 +83,18 @@ def _set_hash(s: np.ndarray) -> tuple[int, int]:
     return int(text.mix(a).view(np.int64)[0]), int(text.mix(b).view(np.int64)[0])
 
 
+def _ordered(s: np.ndarray, heavy: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """A set in the one order of all: rare shingles, then frequent ones by their counts."""
+    value, times = heavy
+    if not len(value) or not len(s):
+        return s
+    at = np.minimum(np.searchsorted(value, s), len(value) - 1)
+    often = value[at] == s
+    if not often.any():
+        return s
+    return np.concatenate([s[~often], s[often][np.argsort(times[at[often]], kind="stable")]])
+
+
 FEATURES = "doc_id long, n int, s1 long, s2 long, p1 long, p2 long, prefix binary"
 
 
@@ -88,21 +102,10 @@ def features(docs: DataFrame, k: int, heavy) -> DataFrame:
     """Each document's set size, set hash, prefix hash and prefix (frequent shingles last)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        value, times = heavy.value
         for batch in batches:
             cols: list[list] = [[] for _ in range(6)]
             for s in text.shingles(batch.column("text"), k):
-                n = len(s)
-                if len(value) and n:
-                    at = np.minimum(np.searchsorted(value, s), len(value) - 1)
-                    often = value[at] == s
-                    if often.any():
-                        late = s[often][np.argsort(times[at[often]], kind="stable")]
-                        ordered = np.concatenate([s[~often], late])
-                    else:
-                        ordered = s
-                else:
-                    ordered = s
+                n, ordered = len(s), _ordered(s, heavy.value)
                 prefix = ordered[: _prefix_length(n)] if n else s
                 row = (n, *_set_hash(s), *_set_hash(prefix * np.uint64(3)), prefix.astype("<u8").tobytes())
                 for c, v in zip(cols, row):
@@ -224,6 +227,35 @@ def _pairs(entries: DataFrame) -> DataFrame:
     return dealt.repartition("token", "b1", "b2").sortWithinPartitions("token", "b1", "b2").mapInArrow(run, "g1 long, g2 long").distinct()
 
 
+def _torn_entries(docs: DataFrame, torn: DataFrame, k: int, heavy) -> DataFrame:
+    """(token, gid, n, pos, label) for sets of one group whose labels differ; torn: gid, node, label, low, s1, s2; ``gid`` of a row is the node.
+
+    Sets of a group share their prefix and size, so two that are linked share a shingle in the
+    prefix of what is left, which is as long as the shared shingles that are still needed ask for.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            token, pos, of, size = [], [], [], []
+            own = zip(text.shingles(batch.column("text"), k), *(batch.column(c).to_pylist() for c in ("s1", "s2", "gid")))
+            for i, (s, s1, s2, gid) in enumerate(own):
+                if _set_hash(s) != (s1, s2):  # another row with that doc_id
+                    continue
+                n = len(s)
+                p = _prefix_length(n)
+                m, needed = n - p, -(-6 * n // 7) - p
+                rest = _ordered(s, heavy.value)[p : p + m - needed + 1]
+                token.append(text.mix(rest ^ text.mix(np.array([gid]).astype(np.uint64))))
+                pos.append(np.arange(len(rest), dtype=np.int32))
+                of.append(np.full(len(rest), i))
+                size.append(np.full(len(rest), n, dtype=np.int32))
+            token, pos, of, size = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((token, np.uint64), (pos, np.int32), (of, np.int64), (size, np.int32)))
+            yield pa.RecordBatch.from_arrays([_i(token), batch.column("node").take(pa.array(of)), pa.array(size), pa.array(pos), batch.column("label").take(pa.array(of))], names=["token", "gid", "n", "pos", "label"])
+
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(common.sized(torn), F.col("doc_id").eqNullSafe(F.col("low")))
+    return own.select("text", "s1", "s2", "gid", "node", "label").mapInArrow(run, "token long, gid long, n int, pos int, label long").distinct()
+
+
 def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     """(a, b): the pairs of set classes whose Jaccard similarity is 3/4 or more, on whole sets; stored.
 
@@ -231,8 +263,8 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int) -> D
     partners, to where the pair is compared; texts take less room than sets on the way.
     """
     pairs = common.stored(pairs, "pairs")
-    size = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).alias("blocks"))
-    dealt = common.stored(pairs.join(size, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block")), "dealt-pairs")
+    size = common.stored(pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).alias("blocks")), "pair-blocks")
+    dealt = common.stored(common.salted_join(pairs, size, "a", "b").select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block")), "dealt-pairs")
     hubs = dealt.select("a", "block").distinct().select(F.col("a").alias("node"), "a", "block", F.lit(None).cast("long").alias("b"))
     sent = hubs.unionByName(dealt.select(F.col("b").alias("node"), "a", "block", "b"))
     wanted = common.stored(sent.join(classes, "node").select("low", "s1", "s2", "a", "block", "b"), "wanted")
@@ -259,7 +291,7 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int) -> D
 
     met = joined.select("a", "block", "b", "s1", "s2", "text").repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
     out = common.stored(met.mapInArrow(compare, "a long, b long").distinct(), "links")
-    common.discard(pairs, dealt, wanted)
+    common.discard(pairs, size, dealt, wanted)
     return out
 
 
@@ -289,11 +321,13 @@ def _components(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     open_pairs = _pairs(entries.join(group_label, "gid"))
     a, b = (named.select(F.col("gid").alias(f"g{i}"), F.col("node").alias(x), F.col("label").alias(f"l{i}")) for i, x in ((1, "a"), (2, "b")))
     across = open_pairs.join(a, "g1").join(b, "g2").where("l1 <> l2").select("a", "b")
-    torn = named.join(group_label.where("label < 0").select("gid"), "gid", "left_semi")
-    x, y = (torn.select("gid", F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in "ab")
-    within = x.join(y, "gid").where("a < b and la <> lb").select("a", "b")
+    torn = common.stored(named.join(group_label.where("label < 0").select("gid"), "gid", "left_semi"), "torn")
+    if torn.isEmpty():
+        within = across.where("false")
+    else:
+        within = _pairs(_torn_entries(docs, torn, k, heavy)).select(F.col("g1").alias("a"), F.col("g2").alias("b"))
     more = verified(docs, classes, across.unionByName(within), k)
-    common.discard(entries)
+    common.discard(entries, torn)
     last = common.stored(common.components(links.unionByName(more)), "round-two")
 
     # A component's name is its smallest doc_id; few rows have one that is not their class's own.

@@ -423,6 +423,23 @@ def test_jaccard_second_round_alone_is_exact(spark, monkeypatch):
     assert got == brute(rows)
 
 
+def test_sets_of_one_group_meet_without_round_one(spark, monkeypatch):
+    """Nothing comes from round one, so sets that share a prefix must meet by what follows it."""
+    calls, real = [], jaccard.verified
+
+    def verified(docs, classes, pairs, k):
+        calls.append(pairs.count())
+        return real(docs, classes, pairs.where("false") if len(calls) == 1 else pairs, k)
+
+    monkeypatch.setattr(jaccard, "verified", verified)
+    monkeypatch.setattr(jaccard, "SEEN", 10**9)  # all shingles count as rare, so that near copies share prefixes
+    monkeypatch.setattr(jaccard, "_partners", lambda entries: entries.select("gid", F.col("gid").alias("head")).where("false"))
+    texts = near_family(150, 60, 1, 31) + near_family(60, 40, 1, 32) + near_family(40, 20, 2, 33) + near_family(60, 7, 1, 34)
+    rows = list(enumerate(texts))
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(make(spark, [(i, t, "s") for i, t in rows])).collect()}
+    assert calls[0] > 10 and got == brute(rows)
+
+
 def test_jaccard_edges(spark, odd, empty):
     got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in jaccard.jaccard_components(odd).collect())
     assert ("1", 0, "1") in got and ("2", 0, "2") in got and ("3", 0, "3") in got
