@@ -75,7 +75,7 @@ def lower_ascii(c):
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def salted_join(big: DataFrame, keyed: DataFrame, key: str, spread: str, how: str = "inner") -> DataFrame:
+def salted_join(big: DataFrame, keyed: DataFrame, key: str | list[str], spread: str, how: str = "inner") -> DataFrame:
     """Join of a table in which one key may hold any share of the rows with a stored table of one row for each key.
 
     The keyed side is broadcast if it is small; else every key of it is copied ``SALTS`` times and
@@ -85,7 +85,7 @@ def salted_join(big: DataFrame, keyed: DataFrame, key: str, spread: str, how: st
         return big.join(F.broadcast(keyed), key, how)
     dealt = big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)))
     copies = keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    return dealt.join(copies, [key, "_salt"], how).drop("_salt")
+    return dealt.join(copies, [*([key] if isinstance(key, str) else key), "_salt"], how).drop("_salt")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -288,25 +288,39 @@ def test_every_shared_run_is_reported(spark):
 
 
 # 7 ------------------------------------------------------------------------------------------------
-def test_topk(spark, monkeypatch):
-    monkeypatch.setattr(topk, "SHARD_ROWS", 60)
-    monkeypatch.setattr(topk, "QUERY_BLOCK", 7)
+@pytest.mark.parametrize("parts", [1, 3])
+def test_topk(spark, monkeypatch, parts):
+    """Against brute force over rows, where ids repeat, scores tie and a third of all vectors are one."""
+    for name, value in (("SHARD_ROWS", 60), ("QUERY_BLOCK", 7), ("TOGETHER", 2), ("LEAF", 8)):
+        monkeypatch.setattr(topk, name, value)
+    if parts > 1:
+        monkeypatch.setattr(topk, "ROOT_BYTES", 300)
     r = np.random.default_rng(2)
     rows = [(i, r.normal(0, 0.3, 5).tolist()) for i in range(300)]
-    rows += [(i, [0.5] * 5) for i in range(300, 400)]  # ties
-    rows += [(400, None), (401, [1.0, None, 1.0, 1.0, 1.0]), (402, [float("nan")] * 5), (403, [float("inf")] * 5), (404, []), (405, [1.0, 2.0]), (None, [1.0] * 5), (0, rows[0][1])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"label": F.lit(1), "v": F.lit(2), "dim": F.lit(3), "score": F.lit(4)})
-    whole = topk.whole(df, "vec_id", "embedding")
-    got = {}
-    for x in topk.search(whole, whole.where("vec_id % 20 = 0")).collect():
-        got.setdefault(x["query_id"], []).append((x["rank"], x["vec_id"], x["score"]))
-    v = {i: [math.floor(1024 * c) for c in x] for i, x in rows[:400]}
-    for q in range(0, 400, 20):
-        s = sorted(((sum(a * b for a, b in zip(v[q], v[i])), i) for i in v if i != q), key=lambda t: (-t[0], t[1]))[:10]
-        assert sorted(got[q]) == [(k + 1, i, x) for k, (x, i) in enumerate(s)]
-    assert set(got) == set(range(0, 400, 20))
-    none = whole.where("false")
-    assert topk.search(none, none).count() == 0
+    rows += [(i, [0.5] * 5) for i in range(300, 450)]  # ties
+    rows += [(0, rows[0][1]), (20, rows[7][1]), (20, [0.5] * 5), (777, [2.0, 3.0]), (780, [1.0, -2.0])]
+    out = [(500, None), (501, [1.0, None, 1.0, 1.0, 1.0]), (502, [float("nan")] * 5), (503, [float("inf")] * 5), (504, []), (None, [1.0] * 5)]
+    df = spark.createDataFrame(rows + out, "vec_id long, embedding array<double>").withColumns({x: F.lit(1) for x in ("label", "v", "dim", "score", "row", "cell", "asked")})
+    got = sorted(map(tuple, topk.search(topk.whole(df, "vec_id", "embedding"), F.col("vec_id") % 20 == 0).collect()))
+    v = [(i, [math.floor(1024 * c) for c in x]) for i, x in rows]
+    want = []
+    for a, (i, x) in enumerate(v):
+        if i % 20 == 0:
+            s = sorted((-sum(p * q for p, q in zip(x, y)), j) for b, (j, y) in enumerate(v) if b != a and len(x) == len(y))[:10]
+            want += [(i, n + 1, j, -p) for n, (p, j) in enumerate(s)]
+    assert got == sorted(want)
+    none = topk.whole(df.where("false"), "vec_id", "embedding")
+    assert topk.search(none, F.lit(True)).count() == 0
+
+
+def test_topk_of_large_components(spark):
+    big = [(1, [3e5, -3e5]), (2, [3e5, 3e5 + 1]), (3, [-3e5, 3e5])]  # beyond 2^53, within 63 bits
+    got = topk.search(topk.whole(spark.createDataFrame(big, "vec_id long, e array<double>"), "vec_id", "e"), F.col("vec_id") == 2).collect()
+    x = {i: [math.floor(1024 * c) for c in v] for i, v in big}
+    assert {r["vec_id"]: r["score"] for r in got} == {i: sum(a * b for a, b in zip(x[i], x[2])) for i in (1, 3)}
+    for bad in (1e10, 1e30):
+        with pytest.raises(Exception, match="63 bits|2\\^62"):
+            topk.search(topk.whole(spark.createDataFrame([(1, [bad] * 3), (2, [bad] * 3)], "vec_id long, e array<double>"), "vec_id", "e"), F.lit(True)).collect()
 
 
 # 8 ------------------------------------------------------------------------------------------------
