@@ -140,6 +140,7 @@ def test_lines_against_sql(spark, odd):
     foot = "this is the footer of every page here"
     rows = [(i, f"{prose(20, i)}\n{foot}\n  near threshold line {i % 2} \n{prose(9, i + 1)}", f"s{i % 7}") for i in range(30)]
     rows += [(100 + i, "a copied line that is long\nand another copied line too", f"s{i}") for i in range(8)]
+    rows += [(200 + i, f"{foot}\n\n\tMenu\r\nMenu\n{prose(2, i)} {i}\r", f"s{i}") for i in range(9)]  # more boilerplate than text
     docs = make(spark, rows, clash=False)
     got = {(r["doc_id"], r["text"], r["_n"]) for r in lines.dedup(docs, count="_n").collect()}
     c = duckdb.connect()
@@ -147,7 +148,16 @@ def test_lines_against_sql(spark, odd):
     want = set(map(tuple, c.sql(lines.oracle("documents", "doc_id, text, removed")).fetchall()))
     assert got == want
     assert all(foot not in t for i, t, _ in got if i < 100)
-    assert all(t.startswith("a copied") for i, t, _ in got if i >= 100)  # copies stay whole
+    assert all(t.startswith("a copied") for i, t, _ in got if 100 <= i < 200)  # copies stay whole
+    assert {(i, t, n) for i, t, n in got if i >= 200} == {(200 + i, f"\n{prose(2, i)} {i}\r", 3) for i in range(9)}
+
+
+def test_lines_with_other_settings_and_clashing_names(spark):
+    rows = [(i, f"one shared line\nown {i}", f"s{i}") for i in range(7)] + [(50 + i, "one shared line", f"s{i}") for i in range(3)]
+    docs = make(spark, rows, clash=False).withColumns({c: F.lit(-1) for c in ("key0", "text_key0", "n0", "chars0", "h", "pos", "line", "rows", "_n")})
+    got = {r["doc_id"]: (r["text"], r["n0"], r["gone1"]) for r in lines.dedup(docs, max_share=2, count="gone1").collect()}
+    assert got == {**{i: (f"own {i}", -1, 1) for i in range(7)}, **{50 + i: ("", -1, 1) for i in range(3)}}
+    assert all(r["text"] == t for r, (_, t, _) in zip(sorted(lines.dedup(docs, min_chars=16).collect(), key=lambda r: r["doc_id"]), rows))
 
 
 def test_lines_edges(spark, odd, empty):
@@ -376,10 +386,13 @@ def test_parts_and_one_index_give_equal_hits(spark, monkeypatch):
 
 
 # 9 ------------------------------------------------------------------------------------------------
-URLS = [None, "", "no scheme", "http://EXAMPLE.net/en/x", "https://a.b.Example.NET/en", "http://example.net", "http://example.net/?q", "http://x.org/fr/#a", "http://org/fr/", "http://badexample.net/en/", "http://example.com/de/a?b", "http://example.com/en/", "ftp://net/x://y/", "http://.net/", "http://a..net/z", "x\n://q.net/\nb", "http://net:80/a", "://net/a", "http://é.org/fr/é"]
+URLS = [None, "", "no scheme", "http://EXAMPLE.net/en/x", "https://a.b.Example.NET/en", "http://example.net", "http://example.net/?q", "http://x.org/fr/#a", "http://org/fr/", "http://badexample.net/en/", "http://example.com/de/a?b", "http://example.com/en/", "ftp://net/x://y/", "http://.net/", "http://a..net/z", "x\n://q.net/\nb", "http://net:80/a", "://net/a", "http://é.org/fr/é", "http://" + "a." * 20_000 + "net/x", "http://example.net/en/" + "p/" * 50_000, "http://.", "http://net./a"]
 
 
-def test_url_rules(spark):
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_url_rules(spark, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(common, "BROADCAST_KEYS", 0)
     pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(URLS)] + [(3, URLS[3], "h"), (None, URLS[7], "h")], "page_id long, url string, html string").withColumns({"host": F.lit("z"), "path": F.lit("z"), "rule": F.lit("z")})
     rules = spark.createDataFrame(url_filter.RULES, "host string, path string, verdict string")
     got = sorted(map(str, (tuple(r) for r in url_filter.judge(pages, rules).collect())))
