@@ -71,6 +71,14 @@ def sized(df: DataFrame, bound: int = BROADCAST_KEYS) -> DataFrame:
     return F.broadcast(df) if df.count() <= bound else df
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or one like it that is no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def lower_ascii(c):
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

@@ -73,8 +73,7 @@ def removals(docs: DataFrame, site: str, min_sites: int, min_chars: int) -> Data
 
 def dedup(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, max_share: float = MAX_SHARE, count: str | None = None, min_chars: int = MIN_CHARS) -> DataFrame:
     """The documents without boilerplate lines; ``count`` names a column for the number removed."""
-    taken = {c.lower() for c in docs.columns}
-    own_key, key, id_, chars, gone, n = (next(f"{c}{i}" for i in range(len(taken) + 1) if f"{c}{i}" not in taken) for c in ("key", "text_key", "id", "chars", "gone", "n"))
+    own_key, key, id_, chars, gone, n = (common.free_name(docs, c) for c in ("own_key", "text_key", "id", "chars", "gone", "n"))
     own = docs.withColumn(own_key, F.xxhash64("text"))
     going = removals(docs, site, min_sites, min_chars).select(F.col("doc_id").alias(id_), F.col("text_key").alias(key), F.expr("chars * size(gone) / rows").alias(chars), F.col("gone").alias(gone))
     both = own.join(going, own["doc_id"].eqNullSafe(F.col(id_)) & (F.col(own_key) == F.col(key)), "left")

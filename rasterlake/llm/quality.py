@@ -172,8 +172,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int
     return model.fit([t.encode() for _, (_, t) in rows], y, weight / weight.mean(), epochs)
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents with a column ``score``, whatever other columns there are."""
+def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """The documents with a column of their scores, in place of any column of that name."""
     common.ready(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model.p)  # some tens of kB
 
@@ -184,7 +184,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
         for t in texts:
             yield pa.array(own.score(*text.raw(t)), pa.float64())
 
-    return docs.withColumn("score", score(F.col("text")))
+    return docs.withColumn(name, score(F.col("text")))
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

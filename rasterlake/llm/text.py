@@ -192,6 +192,17 @@ def plain_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return words(pc.utf8_lower(column), _sign)
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The different values, sorted."""
+    if len(x) < 2:
+        return x
+    x = np.sort(x)
+    keep = np.empty(len(x), dtype=bool)
+    keep[0] = True
+    np.not_equal(x[1:], x[:-1], out=keep[1:])
+    return x[keep]
+
+
 def kmers(h: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all runs of k words (``len(h) - k + 1`` of them)."""
     n = len(h) - k + 1
@@ -211,7 +222,7 @@ def shingles(column: pa.Array, k: int = 5) -> list[np.ndarray]:
     for a, b in zip(first[:-1], first[1:]):
         n = b - a
         if n >= k:
-            out.append(np.unique(runs[a : b - k + 1]))
+            out.append(distinct(runs[a : b - k + 1]))
         elif n:
             out.append(mix((h[a:b] * _PLACE[:n]).sum(keepdims=True) + _PLACE[40 + n : 41 + n]))
         else:

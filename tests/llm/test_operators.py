@@ -3,7 +3,9 @@
 import functools
 import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -334,20 +336,64 @@ def test_topk_of_large_components(spark):
 
 
 # 8 ------------------------------------------------------------------------------------------------
-def test_retrieval_is_exact():
-    items = [prose(n, 900 + n) for n in range(12, 60, 3)]
+@pytest.mark.parametrize("together", [1 << 20, 40])
+def test_retrieval_is_exact_and_skips(monkeypatch, together):
+    monkeypatch.setattr(decontaminate, "_TOGETHER", together)
+    r = random.Random(1)
+    items = [" ".join([*prose(n, 900 + n + 50 * k).split(), *(f"own{r.randrange(3000)}" for _ in range(n))]) for n in range(12, 60, 3) for k in range(6)]
     index = decontaminate.Index(list(range(len(items))), items)
     dense = np.zeros((len(index.ids), len(index.terms)))
-    for t in range(len(index.terms)):
-        at = slice(index.start[t], index.start[t + 1])
-        dense[index.item[at], t] = index.weight[at]
-    assert np.allclose(dense.sum(axis=1), 1)
+    dense[index.item, index.term] = index.weight
+    assert np.allclose(dense.sum(axis=1), 1) and sum(len(c.items) for c in index.classes) == len(items)
+    every = read = 0
     for seed in range(40):
-        h, _ = text.plain_words(pa.array([prose(80, seed) + " " + items[seed % len(items)][:90]]))
+        h, _ = text.plain_words(pa.array([prose(80, seed) + " " + items[seed % len(items)]]))
         terms = np.unique(np.searchsorted(index.terms, h)[np.isin(h, index.terms)])
         score = dense[:, terms].sum(axis=1)
         for limit in (0.3, 0.6):
+            start = index.read
             assert [i for i, _ in index.retrieve(terms, limit)] == np.flatnonzero(score >= limit).tolist()
+            if limit == 0.6:
+                read += index.read - start
+                every += (dense[:, terms] > 0).sum()
+    assert 0 < read < every / 2
+
+
+def windows_by_hand(t, items):
+    """(item, score) of every item and window of its class, with all items as BM25 documents; plain Python."""
+    words = lambda x: re.findall(r"(?:[^\W_]|[^\x00-\x7f])+", (x or "").lower())
+    own = {i: words(x) for i, x in enumerate(items) if words(x)}
+    mean = sum(map(len, own.values())) / len(own)
+    df = Counter(w for x in own.values() for w in set(x))
+    weigh = lambda x: {w: math.log(1 + (len(own) - df[w] + 0.5) / (df[w] + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(x) / mean)) for w, c in Counter(x).items()}
+    out, text_words = {}, words(t)
+    for i, x in own.items():
+        step = 16
+        while step < len(x):
+            step *= 2
+        weight = weigh(x)
+        part = items[i].rfind("?") + 1
+        sides = [words(items[i][:part]), words(items[i][part:])]
+        for a in range(0, max(1, len(text_words) - step), step):
+            seen = text_words[a : a + 2 * step]
+            score = sum(v for w, v in weight.items() if w in set(seen)) / sum(weight.values())
+            runs = lambda y: {tuple(y[j : j + 3]) for j in range(len(y) - 2)}
+            q, s = (len(runs(y) & runs(seen)) / len(runs(y)) for y in sides)
+            if score >= 0.6 and q >= 0.6 and s >= 0.5:
+                out[i] = max(out.get(i, ()), (round(score, 6), round(q, 6), round(s, 6)))
+    return out
+
+
+def test_hits_against_plain_python(spark):
+    """The whole operator: windows, scores, overlaps; a very long item changes nothing for the others."""
+    items = [f"{prose(5 + i % 30, 5000 + i)}? {prose(4 + i % 9, 5100 + i)}." for i in range(40)] + [f"{prose(700, 5999)}? {prose(40, 5998)}"]
+    r = random.Random(18)
+    worn = lambda t: " ".join(w for w in t.split() if r.random() > 0.12)
+    texts = [f"{prose(r.randrange(120), 6000 + i)} {worn(items[i % 41])} {prose(r.randrange(150), 7000 + i)}" for i in range(90)] + [items[0], "", prose(40, 3)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {x["doc_id"]: {h["item_id"]: tuple(round(h[c], 6) for c in ("score", "question", "answer")) for h in x["hits"]} for x in decontaminate.with_hits(make(spark, [(i, t, "s") for i, t in enumerate(texts)]), bench).collect()}
+    want = {i: windows_by_hand(t, items) for i, t in enumerate(texts)}
+    assert got == want and sum(map(len, want.values())) > 40
 
 
 def test_decontamination(spark, odd, empty):
@@ -362,7 +408,7 @@ def test_decontamination(spark, odd, empty):
     assert decontaminate.clean(odd, bench).count() == odd.count()
     assert decontaminate.clean(empty, bench).count() == 0
     assert decontaminate.clean(docs, bench.where("false")).count() == 5
-    assert len(decontaminate.indexes(bench, 100)) > 1
+    assert len(list(decontaminate.indexes(bench, 100))) > 1
 
 
 def test_parts_and_one_index_give_equal_hits(spark, monkeypatch):
@@ -379,7 +425,7 @@ def test_parts_and_one_index_give_equal_hits(spark, monkeypatch):
         return sorted((x["doc_id"], h["item_id"], round(h["score"], 9)) for x in decontaminate.with_hits(docs, bench).collect() for h in x["hits"])
 
     whole = hits()
-    parts = decontaminate.indexes(bench, 1500)
+    parts = list(decontaminate.indexes(bench, 1500))
     assert len(parts) > 3 and len(whole) > 60
     monkeypatch.setattr(decontaminate, "indexes", lambda _: parts)
     assert hits() == whole
