@@ -16,14 +16,16 @@ from rasterlake.llm import binary, common, decontaminate, jaccard, lines, qualit
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the labels, rejects go."""
     model = quality.train(docs, common.table(spark, sf_dir, "labels"))
-    return quality.scored(docs, model).where(F.col("score") >= quality.THRESHOLD).select(*docs.columns)
+    name = common.free_name(docs, "score")
+    return quality.scored(docs, model, name).where(F.col(name) >= quality.THRESHOLD).select(*docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines go from the texts; ``n_chars`` follows."""
-    out = lines.dedup(docs, count="_removed")
+    removed = common.free_name(docs, "removed")
+    out = lines.dedup(docs, count=removed)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(F.col(removed) > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
 
 
