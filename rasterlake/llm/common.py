@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 BROADCAST_KEYS = 500_000
 #: Rows and bytes in one Arrow batch at most.
 BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
-#: Copies of a key in a salted join.
-SALTS = 16
+#: Copies of a key in a salted join; rows of a key, and number of keys, from which a skewed join broadcasts keys.
+SALTS, HOT_ROWS, HOT_KEYS = 16, 2000, 100_000
 
 
 def ready(spark: SparkSession) -> None:
@@ -96,6 +96,20 @@ def salted_join(big: DataFrame, keyed: DataFrame, key: str | list[str], spread:
     return dealt.join(copies, [*([key] if isinstance(key, str) else key), "_salt"], how).drop("_salt")
 
 
+def skew_join(big: DataFrame, keyed: DataFrame, key: str, rows: str) -> DataFrame:
+    """Inner join with a stored table of one row for each key that knows the big side's rows of the key (column ``rows``, dropped).
+
+    Keys with many rows, of which there can only be ``HOT_KEYS``, are broadcast; all other keys are shuffled.
+    """
+    total = keyed.agg(F.sum(rows)).first()[0] or 0
+    often = F.col(rows) > max(HOT_ROWS, total // HOT_KEYS)
+    hot, cold = keyed.where(often).drop(rows), keyed.where(~often).drop(rows)
+    if hot.isEmpty():
+        return big.join(cold, key)
+    hot = F.broadcast(hot)
+    return big.join(hot, key).unionByName(big.join(hot.select(key), key, "left_anti").join(cold, key))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of all nodes with an edge; the component is its smallest node. Stored.
 
