@@ -66,6 +66,11 @@ def discard(*frames: DataFrame) -> None:
             p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver forget finished queries, so that Spark removes their shuffle files."""
+    spark._jvm.System.gc()
+
+
 def sized(df: DataFrame, bound: int = BROADCAST_KEYS) -> DataFrame:
     """A stored table of narrow keys, marked for broadcast if it has at most ``bound`` rows."""
     return F.broadcast(df) if df.count() <= bound else df

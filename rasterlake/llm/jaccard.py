@@ -292,6 +292,8 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int) -> D
     met = joined.select("a", "block", "b", "s1", "s2", "text").repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
     out = common.stored(met.mapInArrow(compare, "a long, b long").distinct(), "links")
     common.discard(pairs, size, dealt, wanted)
+    del joined, met
+    common.release(docs.sparkSession)
     return out
 
 
