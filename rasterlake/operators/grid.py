@@ -8,11 +8,9 @@ from pyspark.sql import functions as F
 
 def cell_variance(px: DataFrame, largest: int, key=("asset",)) -> DataFrame:
     """(keys, s, dx, dy, v): mean variance of the whole cells of each size and phase."""
-    size = Window.partitionBy(*key)
     p = px.withColumn("s", F.explode(F.sequence(F.lit(2), F.lit(largest)))).withColumn("dx", F.explode(F.sequence(F.lit(0), F.col("s") - 1))).withColumn("dy", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
     cell = p.groupBy(*key, "s", "dx", "dy", F.floor((F.col("x") - F.col("dx")) / F.col("s")).alias("cx"), F.floor((F.col("y") - F.col("dy")) / F.col("s")).alias("cy"))
     c = cell.agg(F.count("*").alias("n"), F.sum("idx").alias("a"), F.sum(F.col("idx") * F.col("idx")).alias("b")).where("n = s * s")
-    del size
     return c.groupBy(*key, "s", "dx", "dy").agg(F.avg(F.col("b") / F.col("n") - (F.col("a") / F.col("n")) * (F.col("a") / F.col("n"))).alias("v"))
 
 
@@ -23,12 +21,12 @@ def best_phase(variance: DataFrame, key=("asset",)) -> DataFrame:
 
 
 def confidence(best: DataFrame, image: DataFrame, share: float = 0.9, key=("asset",)) -> DataFrame:
-    """The largest size whose variance is below a share of the image's, and its margin over larger sizes that are neither multiple nor divisor."""
+    """The largest size whose variance is below a share of the image's, and its margin over larger sizes that are neither multiple nor divisor (0 without any)."""
     b = best.join(image, list(key))
     hat = b.where(F.col("v") <= share * F.col("iv")).groupBy(*key).agg(F.max(F.struct("s", "v", "iv")).alias("h")).select(*key, F.col("h.s").alias("hat"), F.col("h.v").alias("hv"), F.col("h.iv").alias("iv"))
     other = best.join(hat, list(key)).where("s > hat AND s % hat <> 0")
     rival = other.groupBy(*key).agg(F.min("v").alias("rival"))
-    margin = (F.coalesce("rival", "iv") - F.col("hv")) / F.when(F.col("iv") > 0, F.col("iv"))
+    margin = F.coalesce((F.col("rival") - F.col("hv")) / F.when(F.col("iv") > 0, F.col("iv")), F.lit(0.0))
     return hat.join(rival, list(key), "left").select(*key, "hat", F.least(F.greatest(margin, F.lit(0.0)), F.lit(1.0)).alias("confidence"))
 
 

@@ -9,43 +9,134 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+#: Neighbours clockwise from the east (y grows downwards).
 _AROUND = [(1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1)]
 
 
-def trace(mask: np.ndarray) -> list[tuple[int, int]]:
-    """The outer border of the component of the first set pixel, clockwise by its eight neighbours."""
-    at = np.argwhere(mask)
-    if not len(at):
-        return []
-    y, x = map(int, at[0])
+def trace(mask: np.ndarray, start: tuple[int, int], came: tuple[int, int]) -> list[tuple[int, int]]:
+    """A border (points x, y), clockwise by eight neighbours, from a set pixel and the clear neighbour that it is looked at from.
+
+    It ends when the start is left again towards the second point, not when the start is met first:
+    a thin shape passes it more than once.
+    """
     h, w = mask.shape
-    inside = lambda p: 0 <= p[0] < w and 0 <= p[1] < h and mask[p[1], p[0]]
-    start, here, back, out = (x, y), (x, y), 4, []
-    for _ in range(8 * mask.size):
-        out.append(here)
-        for i in range(1, 9):
-            d = (back + i) % 8
-            p = (here[0] + _AROUND[d][0], here[1] + _AROUND[d][1])
-            if inside(p):
+    inside = lambda x, y: 0 <= x < w and 0 <= y < h and mask[y, x]
+    (x, y), back = start, _AROUND.index((came[0] - start[0], came[1] - start[1]))
+    out = [start]
+    while True:
+        for turn in range(1, 9):
+            d = (back + turn) % 8
+            nx, ny = x + _AROUND[d][0], y + _AROUND[d][1]
+            if inside(nx, ny):
                 break
         else:
-            return out
-        here, back = p, (d + 4) % 8
-        if here == start and len(out) > 1 or here == start and len(out) == 1:
-            return out
+            return out  # a single pixel
+        if len(out) > 1 and (x, y) == start and (nx, ny) == out[1]:
+            return out[:-1]
+        # The last clear neighbour looked at, as seen from the new place.
+        px, py = x + _AROUND[d - 1][0], y + _AROUND[d - 1][1]
+        x, y, back = nx, ny, _AROUND.index((px - nx, py - ny))
+        out.append((x, y))
+
+
+def borders(mask: np.ndarray) -> list[tuple[bool, list[tuple[int, int]]]]:
+    """(hole, points) of each component's outer border and of each hole, by eight neighbours, in raster order of their starts."""
+    from rasterlake.operators.regions import NEAR8, label_arrays
+
+    out = []
+    h, w = mask.shape
+    for hole in (False, True):
+        lab = label_arrays(np.where(mask != hole, 0, -1)[None], NEAR8)[0]
+        for root in np.unique(lab[lab >= 0]).tolist():
+            y, x = divmod(root, w)
+            if not hole:
+                out.append((False, trace(mask, (x, y), (x - 1, y))))
+                continue
+            ys, xs = np.nonzero(lab == root)
+            if ys.min() > 0 and xs.min() > 0 and ys.max() < h - 1 and xs.max() < w - 1 and mask[y - 1, x]:
+                out.append((True, trace(mask, (x, y - 1), (x, y))))
     return out
 
 
+def monotone(points: list[tuple[int, int]], closed: bool = True) -> list[list[tuple[int, int]]]:
+    """Chains of a border that turn back on neither axis and leave their main axis for one step at most."""
+    if len(points) < 2:
+        return [points] if points else []
+    parts = _cut([*points, points[0]] if closed else points)
+    if closed and len(parts) > 1 and len(_cut(parts[-1] + parts[0][1:])) == 1:
+        parts = [parts[-1] + parts[0][1:], *parts[1:-1]]  # the seam is no turn
+    return parts
+
+
+def _cut(points: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
+    out, own = [], [points[0]]
+    sign, main, aside = [0, 0], None, 0
+    for a, b in zip(points, points[1:]):
+        step = (int(np.sign(b[0] - a[0])), int(np.sign(b[1] - a[1])))
+        axis = None if step[0] and step[1] else 0 if step[0] else 1  # none: diagonal
+        if any(s and t and s != t for s, t in zip(step, sign)):
+            out.append(own)
+            own, sign, main, aside = [a], [0, 0], None, 0
+        elif main is not None and axis is not None and axis != main and aside:
+            last = own.pop()
+            out.append(own)
+            own, sign, main, aside = [own[-1], last], [0, 0], None, 0
+        sign = [t or s for s, t in zip(sign, step)]
+        if main is None:
+            main = axis
+        aside = aside + 1 if axis is not None and axis != main else 0
+        own.append(b)
+    return [*out, own] if len(own) > 1 else out
+
+
+def chain_runs(chain: list[tuple[int, int]]) -> tuple[bool, list[list[tuple[int, int]]]]:
+    """Whether a chain is horizontal, and its points by runs along its main axis."""
+    (x0, y0), (x1, y1) = chain[0], chain[-1]
+    flat = abs(x1 - x0) >= abs(y1 - y0)
+    runs: list[list[tuple[int, int]]] = []
+    for p in chain:
+        if runs and runs[-1][-1][flat] == p[flat]:
+            runs[-1].append(p)
+        else:
+            runs.append([p])
+    return flat, runs
+
+
+def _grids(p: pd.DataFrame) -> np.ndarray:
+    v = np.zeros((p.y.max() + 1, p.x.max() + 1), dtype=np.int64)
+    v[p.y, p.x] = p.idx
+    return v
+
+
 def contours(px: DataFrame, key: str = "asset") -> DataFrame:
-    """(key, seq, x, y): the border of each canvas's first opaque component."""
+    """(key, contour, hole, seq, x, y): the borders of each canvas's opaque components and of their holes."""
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
-        m = np.zeros((p.y.max() + 1, p.x.max() + 1), dtype=bool)
-        m[p.y, p.x] = p.idx != 0
-        pts = trace(m)
-        return pd.DataFrame({key: [p[key].iloc[0]] * len(pts), "seq": range(len(pts)), "x": [a for a, _ in pts], "y": [b for _, b in pts]})
+        rows = [(i, hole, n, x, y) for i, (hole, pts) in enumerate(borders(_grids(p) != 0)) for n, (x, y) in enumerate(pts)]
+        out = pd.DataFrame(rows, columns=["contour", "hole", "seq", "x", "y"])
+        out.insert(0, key, p[key].iloc[0])
+        return out
+
+    return px.groupBy(key).applyInPandas(run, f"{key} {dict(px.dtypes)[key]}, contour int, hole boolean, seq int, x int, y int")
 
-    return px.groupBy(key).applyInPandas(run, f"{key} {dict(px.dtypes)[key]}, seq int, x int, y int")
+
+def colour_runs(px: DataFrame, key: str = "asset") -> DataFrame:
+    """Runs of the monotone chains of every opaque colour's borders: key, idx, chain, run, horizontal, straight, len, x, y (middle), ax, ay (first), bx, by (last)."""
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        v, rows, n = _grids(p), [], 0
+        for idx in np.unique(v[v != 0]).tolist():
+            for _, pts in borders(v == idx):
+                for chain in monotone(pts):
+                    flat, parts = chain_runs(chain)
+                    line = straight([len(q) for q in parts])
+                    rows += [(idx, n, i, flat, line, len(q), *q[len(q) // 2], *q[0], *q[-1]) for i, q in enumerate(parts)]
+                    n += 1
+        out = pd.DataFrame(rows, columns=["idx", "chain", "run", "horizontal", "straight", "len", "x", "y", "ax", "ay", "bx", "by"])
+        out.insert(0, key, p[key].iloc[0])
+        return out
+
+    return px.groupBy(key).applyInPandas(run, f"{key} {dict(px.dtypes)[key]}, idx int, chain int, run int, horizontal boolean, straight boolean, len int, x int, y int, ax int, ay int, bx int, by int")
 
 
 def diffuse(px: DataFrame, levels: list[float], key: str = "asset", value: str = "v") -> DataFrame:

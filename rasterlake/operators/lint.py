@@ -32,14 +32,17 @@ def rule_1(px: DataFrame, pal: DataFrame, key=("asset",)) -> DataFrame:
     return _violations(px.join(F.broadcast(pal), "idx", "left_anti").groupBy(*key).agg(F.count("*").alias("n")), 1, key)
 
 
-def rule_3(lab: DataFrame, max_area: int = 2, key=("asset",)) -> DataFrame:
-    """Small regions of a colour used nowhere else in the canvas, with one neighbouring colour."""
+def rule_3(lab: DataFrame, pal: DataFrame, max_area: int = 2, stray: float = 0.22, key=("asset",)) -> DataFrame:
+    """Small regions of a colour used nowhere else in the canvas, with one opaque neighbouring colour, which is no shade of theirs."""
     s = regions.stats(lab, key)
     only = s.groupBy(*key, "idx").agg(F.count("*").alias("regions"))
     adj = regions.adjacency(lab, key)
     both = adj.select(*key, F.col("a").alias("root"), F.col("b_idx").alias("near")).unionByName(adj.select(*key, F.col("b").alias("root"), F.col("a_idx").alias("near")))
-    near = both.groupBy(*key, "root").agg(F.count_distinct("near").alias("colours"))
-    bad = s.where((F.col("area") < max_area) & (F.col("idx") != 0)).join(only.where("regions = 1"), [*key, "idx"]).join(near.where("colours = 1"), [*key, "root"])
+    near = both.where("near <> 0").groupBy(*key, "root").agg(F.count_distinct("near").alias("colours"), F.min("near").alias("near")).where("colours = 1")
+    bad = s.where((F.col("area") < max_area) & (F.col("idx") != 0)).join(only.where("regions = 1"), [*key, "idx"]).join(near, [*key, "root"])
+    lab_ = color.with_oklab(pal)
+    bad = bad.join(F.broadcast(color.named(lab_, "x_")), F.col("idx") == F.col("x_idx")).join(F.broadcast(color.named(lab_, "y_")), F.col("near") == F.col("y_idx"))
+    bad = bad.where(F.sqrt(color.distance_sq("x_", "y_")) >= stray)
     return _violations(bad.groupBy(*key).agg(F.count("*").alias("n")), 3, key)
 
 
@@ -118,8 +121,8 @@ def rule_16(px: DataFrame, pal: DataFrame, share: float = 0.25, chroma: float =
 
 
 def rule_18(pal: DataFrame, light: float = 0.06, chroma: float = 0.01) -> DataFrame:
-    """Entries that are pure black."""
-    p = color.with_oklab(pal)
+    """Entries that are pure black; entry 0 is transparent and no colour."""
+    p = color.with_oklab(pal).where("idx <> 0")
     return p.where((F.col("l") <= light) & (F.sqrt(F.col("a_") * F.col("a_") + F.col("b_") * F.col("b_")) <= chroma)).select("idx", "l")
 
 

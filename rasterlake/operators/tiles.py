@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MODES = {"exact": (0,), "flip": (0, 1, 2, 3), "flip-rotate": tuple(range(8))}
-#: Limits of the target profiles: colours in a tile, colours in all, tile size.
-PROFILES = {"gb": (4, 4, 8), "nes": (4, 25, 8), "snes": (16, 256, 8), "gba": (16, 256, 8), "pico8": (16, 16, 8)}
+#: Limits of the target profiles: entries of the palette (or none), colours in a tile, tile size, largest width and height, display frames a second.
+PROFILES = {"gb": (4, 4, 8, 160, 144, 59.73), "nes": (None, 4, 8, 256, 240, 60.0988), "snes": (None, 16, 8, 256, 224, 60.0988), "gba": (None, 16, 8, 240, 160, 59.7275), "pico8": (16, 16, 8, 128, 128, 30.0)}
+#: What no profile can judge from canvases alone.
+UNCHECKED = ("sprites on a scan line", "assignment of palettes", "number of tiles in video memory")
 N, E, S, W, NE, SE, SW, NW = (1 << i for i in range(8))
 
 
@@ -59,19 +61,52 @@ def mirror_reliant(px: DataFrame, size: int, key=("asset",)) -> DataFrame:
 
 
 def colours_per_tile(px: DataFrame, size: int, limit: int, key=("asset",)) -> DataFrame:
-    """Tiles with more colours than the limit."""
-    t = px.where("idx <> 0").withColumn("tx", F.expr(f"cast(x div {size} as int)")).withColumn("ty", F.expr(f"cast(y div {size} as int)"))
+    """Tiles with more colours (the transparent one too) than the limit."""
+    t = px.withColumn("tx", F.expr(f"cast(x div {size} as int)")).withColumn("ty", F.expr(f"cast(y div {size} as int)"))
     return t.groupBy(*key, "tx", "ty").agg(F.count_distinct("idx").alias("colours")).where(F.col("colours") > limit)
 
 
-def validate(px: DataFrame, key=("asset",)) -> DataFrame:
-    """Violations of each target profile: too many colours in a tile or in all."""
-    out = None
-    for name, (per_tile, total, size) in PROFILES.items():
-        a = colours_per_tile(px, size, per_tile, key).groupBy(*key).agg(F.count("*").alias("n")).select(*key, F.lit(name).alias("profile"), F.lit("tile_colours").alias("constraint"), "n")
-        b = px.where("idx <> 0").groupBy(*key).agg(F.count_distinct("idx").alias("n")).where(F.col("n") > total).select(*key, F.lit(name).alias("profile"), F.lit("total_colours").alias("constraint"), "n")
-        both = a.unionByName(b)
-        out = both if out is None else out.unionByName(both)
+def sizes(px: DataFrame, key=("asset",)) -> DataFrame:
+    """Width and height of each canvas."""
+    return px.groupBy(*key).agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
+
+
+def check_sizes(size: DataFrame, key=("asset",)) -> DataFrame:
+    """Canvases that aren't whole tiles, or too large, by profile; size: w, h. Profiles are few and broadcast."""
+    spark = size.sparkSession
+    p = spark.createDataFrame([(n, v[2], v[3], v[4]) for n, v in PROFILES.items()], "profile string, tile int, mw int, mh int")
+    j = size.join(F.broadcast(p), F.lit(True))
+    bad = F.array_compact(F.array(F.when((F.col("w") % F.col("tile") != 0) | (F.col("h") % F.col("tile") != 0), "tile_size"), F.when((F.col("w") > F.col("mw")) | (F.col("h") > F.col("mh")), "size")))
+    return j.select(*key, "profile", F.explode(bad).alias("constraint"), F.lit(1).cast("long").alias("n"))
+
+
+def check_timing(frames: DataFrame, tolerance: float = 1.0, key=("asset",)) -> DataFrame:
+    """How many frames last no whole number of display frames (within a tolerance in ms), by profile; frames: ms."""
+    spark = frames.sparkSession
+    p = spark.createDataFrame([(n, 1000.0 / v[5]) for n, v in PROFILES.items()], "profile string, period double")
+    j = frames.where("ms > 0").join(F.broadcast(p), F.lit(True))
+    gap = F.abs(F.col("ms") - F.greatest(F.round(F.col("ms") / F.col("period")), F.lit(1.0)) * F.col("period"))
+    return j.where(F.round(gap, 9) > tolerance).groupBy(*key, "profile").agg(F.count("*").alias("n")).select(*key, "profile", F.lit("frame_ms").alias("constraint"), "n")
+
+
+def check_palette(pal: DataFrame, transparent: int | None = 0) -> DataFrame:
+    """(profile, constraint): palettes with too many entries, or whose transparent entry isn't the first."""
+    spark = pal.sparkSession
+    p = spark.createDataFrame([(n, v[0]) for n, v in PROFILES.items()], "profile string, most int")
+    n = F.broadcast(pal.agg(F.count("*").alias("n")))  # one row
+    late = F.lit(transparent is not None and transparent != 0)
+    bad = F.array_compact(F.array(F.when(F.col("n") > F.col("most"), "colours"), F.when(late, "transparent_index")))
+    return p.join(n, F.lit(True)).select("profile", F.explode(bad).alias("constraint"), "n")
+
+
+def validate(px: DataFrame, pal: DataFrame, key=("asset",)) -> DataFrame:
+    """Violations of each target profile: palette, colours in a tile, size."""
+    assets = px.select(*key).distinct()
+    out = check_sizes(sizes(px, key), key).unionByName(assets.join(F.broadcast(check_palette(pal)), F.lit(True)).select(*key, "profile", "constraint", F.lit(1).cast("long").alias("n")))
+    for limit, size in sorted({(v[1], v[2]) for v in PROFILES.values()}):
+        names = F.array(*(F.lit(n) for n, v in PROFILES.items() if (v[1], v[2]) == (limit, size)))
+        t = colours_per_tile(px, size, limit, key).groupBy(*key).agg(F.count("*").alias("n"))
+        out = out.unionByName(t.select(*key, F.explode(names).alias("profile"), F.lit("tile_colours").alias("constraint"), "n"))
     return out
 
 

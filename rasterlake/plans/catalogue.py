@@ -233,7 +233,7 @@ _COLOURS = "SELECT DISTINCT j.asset, least(j.a_idx, j.b_idx) AS i, greatest(j.a_
 _R = "canvases reach labels region_stats adjacent diagonal pal lab_pal"
 LINT = {
     1: (_lint(1, "SELECT asset, count(*) AS n FROM canvases WHERE idx NOT IN (SELECT idx FROM pal WHERE idx < 4) GROUP BY asset"), "canvases pal", lambda s, d: lint.rule_1(canvases(s, d), palette(s).where("idx < 4"))),
-    3: (_lint(3, "SELECT t.asset, count(*) AS n FROM region_stats t JOIN (SELECT asset, idx FROM region_stats GROUP BY 1, 2 HAVING count(*) = 1) o ON o.asset = t.asset AND o.idx = t.idx JOIN (SELECT asset, root FROM (SELECT asset, a AS root, b_idx AS near FROM adjacent UNION ALL SELECT asset, b, a_idx FROM adjacent) GROUP BY 1, 2 HAVING count(DISTINCT near) = 1) z ON z.asset = t.asset AND z.root = t.root WHERE t.area < 2 AND t.idx <> 0 GROUP BY t.asset"), _R, lambda s, d: lint.rule_3(regions.label(canvases(s, d)))),
+    3: (_lint(3, "SELECT t.asset, count(*) AS n FROM region_stats t JOIN (SELECT asset, idx FROM region_stats GROUP BY 1, 2 HAVING count(*) = 1) o ON o.asset = t.asset AND o.idx = t.idx JOIN (SELECT asset, root, min(near) AS near FROM (SELECT asset, a AS root, b_idx AS near FROM adjacent UNION ALL SELECT asset, b, a_idx FROM adjacent) WHERE near <> 0 GROUP BY 1, 2 HAVING count(DISTINCT near) = 1) z ON z.asset = t.asset AND z.root = t.root JOIN lab_pal x ON x.idx = t.idx JOIN lab_pal y ON y.idx = z.near WHERE t.area < 2 AND t.idx <> 0 AND sqrt(pow(x.l - y.l, 2) + pow(x.a_ - y.a_, 2) + pow(x.b_ - y.b_, 2)) >= 0.22 GROUP BY t.asset"), _R, lambda s, d: lint.rule_3(regions.label(canvases(s, d)), palette(s))),
     6: (_lint(6, f"SELECT c.asset, count(*) AS n FROM ({_COLOURS.format(big=_BIG.format(n=1))}) c JOIN lab_pal x ON x.idx = c.i JOIN lab_pal y ON y.idx = c.k WHERE abs(x.l - y.l) >= 0.15 AND sqrt(x.a_ * x.a_ + x.b_ * x.b_) >= 0.02 AND sqrt(y.a_ * y.a_ + y.b_ * y.b_) >= 0.02 AND least(fmod(abs(degrees(atan2(x.b_, x.a_)) - degrees(atan2(y.b_, y.a_))), 360), 360 - fmod(abs(degrees(atan2(x.b_, x.a_)) - degrees(atan2(y.b_, y.a_))), 360)) < 90 GROUP BY 1"), _R, lambda s, d: lint.rule_6(regions.label(canvases(s, d)), palette(s), gap=90.0)),
     11: (_lint(11, f"SELECT c.asset, count(*) AS n FROM ({_COLOURS.format(big=_BIG.format(n=2))}) c JOIN lab_pal x ON x.idx = c.i JOIN lab_pal y ON y.idx = c.k WHERE abs(x.l - y.l) < 0.15 GROUP BY 1"), _R, lambda s, d: lint.rule_11(regions.label(canvases(s, d)), palette(s), 2, 0.15)),
     16: (_lint(16, "SELECT t.asset, count(*) AS n FROM shares t JOIN lab_pal p ON p.idx = t.idx WHERE t.area / t.total >= 0.25 AND (sqrt(p.a_ * p.a_ + p.b_ * p.b_) > 0.16 OR p.l > 0.85) GROUP BY 1"), "canvases areas shares pal lab_pal", lambda s, d: lint.rule_16(canvases(s, d), palette(s))),
@@ -249,7 +249,7 @@ def _(s, d):
     return lint.report([make(s, d) for _, _, make in LINT.values()])
 
 
-@query("lint_rule_18", "idx:long l:double", "SELECT idx, l FROM lab_pal WHERE l <= 0.06 AND sqrt(a_ * a_ + b_ * b_) <= 0.01", "pal lab_pal")
+@query("lint_rule_18", "idx:long l:double", "SELECT idx, l FROM lab_pal WHERE idx <> 0 AND l <= 0.06 AND sqrt(a_ * a_ + b_ * b_) <= 0.01", "pal lab_pal")
 def _(s, d):
     return lint.rule_18(palette(s))
 
@@ -377,15 +377,22 @@ def _(s, d):
     return tiles.colours_per_tile(dense(s, d), 8, 4)
 
 
-_VALID = " UNION ALL ".join(
-    f"SELECT asset, '{p}' AS profile, 'tile_colours' AS constraint_name, count(*) AS n FROM (SELECT asset, x // {z}, y // {z} FROM dense WHERE idx <> 0 GROUP BY ALL HAVING count(DISTINCT idx) > {a}) GROUP BY 1 UNION ALL SELECT asset, '{p}', 'total_colours', count(DISTINCT idx) FROM dense WHERE idx <> 0 GROUP BY 1 HAVING count(DISTINCT idx) > {b}"
-    for p, (a, b, z) in tiles.PROFILES.items()
+_PROFILES = "SELECT * FROM (VALUES " + ", ".join(f"('{n}', {v[0] or 'NULL'}, {v[1]}, {v[2]}, {v[3]}, {v[4]}, {1000.0 / v[5]!r})" for n, v in tiles.PROFILES.items()) + ") AS t(profile, most, per_tile, tile, mw, mh, period)"
+_VALID = (
+    f"WITH p AS ({_PROFILES}), z AS (SELECT asset, max(x) + 1 AS w, max(y) + 1 AS h FROM dense GROUP BY 1) SELECT asset, profile, 'tile_size' AS constraint_name, 1 AS n FROM z, p WHERE w % tile <> 0 OR h % tile <> 0 UNION ALL SELECT asset, profile, 'size', 1 FROM z, p WHERE w > mw OR h > mh "
+    "UNION ALL SELECT asset, profile, 'colours', 1 FROM z, p WHERE (SELECT count(*) FROM pal) > most UNION ALL SELECT asset, profile, 'tile_colours', count(*) FROM (SELECT asset, profile FROM dense, p GROUP BY asset, profile, x // tile, y // tile, per_tile HAVING count(DISTINCT idx) > per_tile) GROUP BY 1, 2"
 )
 
 
-@query("validate_profiles", "asset:long profile:string constraint_name:string n:long", _VALID, "dense")
+@query("validate_profiles", "asset:long profile:string constraint_name:string n:long", _VALID, "dense pal")
 def _(s, d):
-    return tiles.validate(dense(s, d)).withColumnRenamed("constraint", "constraint_name")
+    return tiles.validate(dense(s, d), palette(s)).withColumnRenamed("constraint", "constraint_name")
+
+
+@query("validate_timing", "asset:long profile:string constraint_name:string n:long", f"SELECT user_id AS asset, profile, 'frame_ms' AS constraint_name, count(*) AS n FROM (SELECT user_id, CAST(floor(abs(value)) AS BIGINT) AS ms FROM events) e, ({_PROFILES}) p WHERE ms > 0 AND round(abs(ms - greatest(round(ms / period), 1) * period), 9) > 1 GROUP BY 1, 2")
+def _(s, d):
+    e = s.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("asset"), F.floor(F.abs("value")).cast("long").alias("ms"))
+    return tiles.check_timing(e).withColumnRenamed("constraint", "constraint_name")
 
 
 @query("downscale_modal", "asset:long x:long y:long idx:long", "SELECT asset, x, y, idx FROM (SELECT *, row_number() OVER (PARTITION BY asset, x, y ORDER BY n DESC, idx DESC) AS k, sum(n) OVER (PARTITION BY asset, x, y) AS cells FROM (SELECT asset, x // 4 AS x, y // 4 AS y, idx, count(*) AS n FROM dense GROUP BY 1, 2, 3, 4)) WHERE k = 1 AND cells = 16", "dense")
@@ -438,7 +445,7 @@ def _(s, d):
     return grid.best_phase(grid.cell_variance(canvases(s, d), 4))
 
 
-@query("grid_confidence", "asset:long hat:long confidence:double", f"WITH best AS ({_BEST}), iv AS (SELECT asset, var_pop(idx) AS iv FROM canvases GROUP BY 1), hat AS (SELECT asset, max(s) AS hat, max_by(v, s) AS hv, any_value(iv) AS iv FROM best JOIN iv USING (asset) WHERE v <= 0.9 * iv GROUP BY 1), r AS (SELECT h.asset, min(v) AS rival FROM hat h JOIN best b ON b.asset = h.asset AND b.s > h.hat AND b.s % h.hat <> 0 GROUP BY 1) SELECT asset, hat, least(greatest((coalesce(rival, iv) - hv) / iv, 0.0), 1.0) AS confidence FROM hat LEFT JOIN r USING (asset)", "canvases")
+@query("grid_confidence", "asset:long hat:long confidence:double", f"WITH best AS ({_BEST}), iv AS (SELECT asset, var_pop(idx) AS iv FROM canvases GROUP BY 1), hat AS (SELECT asset, max(s) AS hat, max_by(v, s) AS hv, any_value(iv) AS iv FROM best JOIN iv USING (asset) WHERE v <= 0.9 * iv GROUP BY 1), r AS (SELECT h.asset, min(v) AS rival FROM hat h JOIN best b ON b.asset = h.asset AND b.s > h.hat AND b.s % h.hat <> 0 GROUP BY 1) SELECT asset, hat, least(greatest(coalesce((rival - hv) / iv, 0.0), 0.0), 1.0) AS confidence FROM hat LEFT JOIN r USING (asset)", "canvases")
 def _(s, d):
     c = canvases(s, d)
     return grid.confidence(grid.best_phase(grid.cell_variance(c, 4)), grid.image_variance(c))
@@ -565,7 +572,7 @@ def _(s, d):
     return palettes.hex_lines(palette(s))
 
 
-@query("contour_trace", "asset:long seq:long x:long y:long")
+@query("contour_trace", "asset:long contour:long hole:boolean seq:long x:long y:long")
 def _(s, d):
     return kernels.contours(canvases(s, d))
 
@@ -578,11 +585,11 @@ def _(s, d):
 # Composition, shading and air ----------------------------------------------------------------------
 from rasterlake.operators import compose  # noqa: E402
 
-_LAYERS = "SELECT asset % 50 AS asset, CAST(asset // 50 AS INTEGER) AS layer, x, y, idx FROM canvases WHERE asset < 200"
+_LAYERS = "SELECT asset // 4 AS asset, CAST(asset % 4 AS INTEGER) AS layer, x, y, idx FROM canvases"
 
 
 def _layers(s, d):
-    return canvases(s, d).where("asset < 200").selectExpr("asset % 50 AS asset", "cast(asset div 50 as int) AS layer", "x", "y", "idx")
+    return canvases(s, d).selectExpr("asset div 4 AS asset", "cast(asset % 4 as int) AS layer", "x", "y", "idx")
 
 
 @query("compose_stack", "asset:long x:long y:long idx:long", f"SELECT asset, x, y, max_by(idx, layer) AS idx FROM (SELECT asset, layer, x - layer AS x, y - layer AS y, idx FROM ({_LAYERS}) WHERE idx <> 0) WHERE x BETWEEN 0 AND 7 AND y BETWEEN 0 AND 7 GROUP BY 1, 2, 3", "canvases")
@@ -592,14 +599,15 @@ def _(s, d):
     return compose.stack(l, anchors, 8, 8)
 
 
-_HAVE = "SELECT DISTINCT c_custkey % 40 AS asset, ['n', 'ne', 'e', 'se', 's', 'sw', 'w', 'nw'][CAST(c_custkey // 40 % 8 AS INTEGER) + 1] AS direction FROM customer WHERE c_custkey % 3 = 0"
+_HAVE = "SELECT DISTINCT c_nationkey AS asset, ['n', 'ne', 'e', 'se', 's', 'sw', 'w', 'nw'][CAST(CAST(floor(abs(c_acctbal)) AS BIGINT) % 13 AS INTEGER) + 1] AS direction FROM customer WHERE CAST(floor(abs(c_acctbal)) AS BIGINT) % 13 < 8 AND c_acctbal < 1000 * (c_nationkey % 4)"
 
 
 @query("missing_directions", "asset:long direction:string source:string", f"WITH have AS ({_HAVE}), m(direction, source) AS (VALUES ('ne', 'nw'), ('e', 'w'), ('se', 'sw'), ('nw', 'ne'), ('w', 'e'), ('sw', 'se'), ('n', NULL), ('s', NULL)) SELECT a.asset, m.direction, h.direction AS source FROM (SELECT DISTINCT asset FROM have) a CROSS JOIN m LEFT JOIN have h ON h.asset = a.asset AND h.direction = m.source WHERE NOT EXISTS (SELECT 1 FROM have x WHERE x.asset = a.asset AND x.direction = m.direction)")
 def _(s, d):
-    c = s.read.parquet(f"{d}/customer.parquet").where("c_custkey % 3 = 0")
+    # A customer's balance stands for a drawn direction; some balances stand for none.
+    c = s.read.parquet(f"{d}/customer.parquet").withColumn("n", F.floor(F.abs("c_acctbal")).cast("long") % 13).where("n < 8 AND c_acctbal < 1000 * (c_nationkey % 4)")
     names = F.array(*map(F.lit, compose.DIRECTIONS))
-    return compose.missing_directions(c.select((F.col("c_custkey") % 40).alias("asset"), F.element_at(names, (F.floor(F.col("c_custkey") / 40) % 8 + 1).cast("int")).alias("direction")).distinct())
+    return compose.missing_directions(c.select(F.col("c_nationkey").alias("asset"), F.element_at(names, (F.col("n") + 1).cast("int")).alias("direction")).distinct())
 
 
 @query("box_blur", "asset:long x:long y:long d:double", "SELECT c.asset, c.x, c.y, sum(s.d) / 9 AS d FROM canvases c, (SELECT unnest([-1, 0, 1]) AS dx) p, (SELECT unnest([-1, 0, 1]) AS dy) q, signed s WHERE s.asset = c.asset AND s.x = least(greatest(c.x + dx, 0), 7) AND s.y = least(greatest(c.y + dy, 0), 7) GROUP BY 1, 2, 3", "canvases signed")

@@ -335,11 +335,23 @@ class Cache:
         return len(gone)
 
 
+def source_digest(df: DataFrame) -> str:
+    """Of a table's schema and rows, whatever their order: their number and two sums of row hashes, by one aggregation."""
+    row = [F.col(f"`{c}`") for c in df.columns]
+    total = lambda seed: F.sum(F.xxhash64(F.lit(seed), *row).cast("decimal(38,0)"))
+    n, a, b = df.agg(F.count("*"), total("a"), total("b")).first()
+    return hashlib.sha256(f"{df.schema.json()}|{n}|{a}|{b}".encode()).hexdigest()
+
+
 def run(recipe: dict | str, operators: dict[str, Callable], sources: dict[str, DataFrame], cache: Cache, digests: dict[str, str] | None = None, predicates=None) -> tuple[dict[str, DataFrame], dict[str, int]]:
-    """Results by output name, and counts of steps run and found; operators take (inputs, params)."""
+    """Results by output name, and counts of steps run and found; operators take (inputs, params).
+
+    A source is known by its digest: the one given, or else one of its content (``source_digest``).
+    """
     steps = resolve(tomllib.loads(recipe) if isinstance(recipe, str) else recipe, predicates)
     graph = Graph(steps, set(sources))
-    digest = lambda n: (digests or {}).get(n) or hashlib.sha256(sources[n].schema.json().encode()).hexdigest()
+    known = {n: (digests or {}).get(n) or source_digest(df) for n, df in sources.items()}
+    digest = known.__getitem__
     have, count = dict(sources), {"run": 0, "found": 0}
     key = keys(graph, digest)
     for i in graph.order:

@@ -8,9 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A palette of 16 colours of our own; entry 0 stands for transparent pixels.
+#: A well-known public palette of 16 colours; entry 0 stands for transparent pixels.
 PALETTE = ["000000", "1d2b53", "7e2553", "008751", "ab5236", "5f574f", "c2c3c7", "fff1e8", "ff004d", "ffa300", "ffec27", "00e436", "29adff", "83769c", "ff77a8", "ffccaa"]
-#: A palette of a second asset, which shares some colours with the first.
+#: The palette of a second asset, with some of those colours and some of another public palette.
 PALETTE_B = ["000000", "1d2b53", "222034", "45283c", "663931", "8f563b", "df7126", "ffec27", "99e550", "6abe30"]
 LEVELS = "CASE WHEN v < 0 THEN 0 WHEN v < 0.06 THEN 1 WHEN v < 0.12 THEN 2 WHEN v < 0.2 THEN 3 ELSE 4 END"
 
