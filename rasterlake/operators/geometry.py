@@ -1,23 +1,29 @@
-"""Distances and derivatives on pixel relations. Canvases are small, so a canvas's pixels meet on its key."""
+"""Distances and derivatives on pixel relations; distances go through whole canvases, two passes for a stack of them."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rasterlake.operators import stacks
+
 
 def signed_distance(px: DataFrame, w: int, h: int, key=("asset",)) -> DataFrame:
     """Chamfer 3-4 distance in pixels to the other side of the mask, above 0 inside.
 
     The outside of the canvas counts as the other side for both sides of the mask.
     """
-    m = px.select(*key, "x", "y", (F.col("idx") != 0).alias("inside"))
-    o = m.select(*key, F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("inside").alias("_in"))
-    dx, dy = F.abs(F.col("x") - F.col("_x")), F.abs(F.col("y") - F.col("_y"))
-    d = m.join(o, list(key)).where("inside <> _in").groupBy(*key, "x", "y", "inside").agg(F.min(3 * F.greatest(dx, dy) + F.least(dx, dy)).alias("d"))
-    edge = 3 * F.least(F.col("x") + 1, F.col("y") + 1, w - F.col("x"), h - F.col("y"))
-    j = m.join(d.select(*key, "x", "y", "d"), [*key, "x", "y"], "left")
-    return j.select(*key, "x", "y", (F.when(F.col("inside"), 1).otherwise(-1) * F.least(F.coalesce("d", edge), edge) / 3).alias("d"))
+
+    def work(v: np.ndarray) -> np.ndarray:
+        inside = v == 1
+        to_clear, to_set = stacks.chamfer(~inside), stacks.chamfer(inside)
+        y, x = np.mgrid[: v.shape[1], : v.shape[2]]
+        edge = 3.0 * np.minimum(np.minimum(x + 1, y + 1), np.minimum(w - x, h - y))
+        return np.where(inside, 1, -1) * np.minimum(np.where(inside, to_clear, to_set), edge) / 3
+
+    mask = px.withColumn("_in", (F.col("idx") != 0).cast("int"))
+    return stacks.on_stacks(mask, work, "d", "double", key, "_in", 0).drop("idx")
 
 
 def normal_and_curvature(field: DataFrame, key=("asset",), value: str = "d") -> DataFrame:

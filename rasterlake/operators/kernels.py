@@ -120,23 +120,40 @@ def contours(px: DataFrame, key: str = "asset") -> DataFrame:
     return px.groupBy(key).applyInPandas(run, f"{key} {dict(px.dtypes)[key]}, contour int, hole boolean, seq int, x int, y int")
 
 
+def _bend(mask: np.ndarray, chamfer) -> np.ndarray:
+    """Sign of the curvature (minus the Laplacian of the signed distance, edges repeated) of each pixel."""
+    h, w = mask.shape
+    y, x = np.mgrid[:h, :w]
+    edge = 3.0 * np.minimum(np.minimum(x + 1, y + 1), np.minimum(w - x, h - y))
+    far = np.where(mask, chamfer(~mask[None])[0], chamfer(mask[None])[0])
+    d = np.pad(np.where(mask, 1, -1) * np.minimum(far, edge) / 3, 1, mode="edge")
+    k = 4 * d[1:-1, 1:-1] - d[:-2, 1:-1] - d[2:, 1:-1] - d[1:-1, :-2] - d[1:-1, 2:]
+    return np.where(np.abs(k) > 1e-3, np.sign(k), 0).astype(int)
+
+
 def colour_runs(px: DataFrame, key: str = "asset") -> DataFrame:
-    """Runs of the monotone chains of every opaque colour's borders: key, idx, chain, run, horizontal, straight, len, x, y (middle), ax, ay (first), bx, by (last)."""
+    """Runs of the monotone chains of every opaque colour's borders.
+
+    key, idx, chain, run, horizontal, straight (the chain), len, bend (sign of the curvature of the
+    colour's distance field at the run's middle), x, y (middle), ax, ay (first), bx, by (last).
+    """
+    from rasterlake.operators.stacks import chamfer
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         v, rows, n = _grids(p), [], 0
         for idx in np.unique(v[v != 0]).tolist():
+            bend = _bend(v == idx, chamfer)
             for _, pts in borders(v == idx):
                 for chain in monotone(pts):
                     flat, parts = chain_runs(chain)
                     line = straight([len(q) for q in parts])
-                    rows += [(idx, n, i, flat, line, len(q), *q[len(q) // 2], *q[0], *q[-1]) for i, q in enumerate(parts)]
+                    rows += [(idx, n, i, flat, line, len(q), bend[q[len(q) // 2][::-1]], *q[len(q) // 2], *q[0], *q[-1]) for i, q in enumerate(parts)]
                     n += 1
-        out = pd.DataFrame(rows, columns=["idx", "chain", "run", "horizontal", "straight", "len", "x", "y", "ax", "ay", "bx", "by"])
+        out = pd.DataFrame(rows, columns=["idx", "chain", "run", "horizontal", "straight", "len", "bend", "x", "y", "ax", "ay", "bx", "by"])
         out.insert(0, key, p[key].iloc[0])
         return out
 
-    return px.groupBy(key).applyInPandas(run, f"{key} {dict(px.dtypes)[key]}, idx int, chain int, run int, horizontal boolean, straight boolean, len int, x int, y int, ax int, ay int, bx int, by int")
+    return px.groupBy(key).applyInPandas(run, f"{key} {dict(px.dtypes)[key]}, idx int, chain int, run int, horizontal boolean, straight boolean, len int, bend int, x int, y int, ax int, ay int, bx int, by int")
 
 
 def diffuse(px: DataFrame, levels: list[float], key: str = "asset", value: str = "v") -> DataFrame:

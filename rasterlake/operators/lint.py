@@ -5,7 +5,7 @@ Violations: asset, rule, severity, scope, n (how many places). What a rule could
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterlake.operators import color, geometry, regions
@@ -149,6 +149,178 @@ def rule_21(lab: DataFrame, least: int = 16, key=("asset",)) -> DataFrame:
     return _violations(p.groupBy(*key).agg(F.count("*").alias("n")), 21, key)
 
 
+def around(px: DataFrame, key=("asset",), value: str = "idx") -> DataFrame:
+    """Adds l, r, u, d: the value of each of the four neighbours, null where there is none."""
+    row, col = Window.partitionBy(*key, "y").orderBy("x"), Window.partitionBy(*key, "x").orderBy("y")
+
+    def side(move, w, at: str, step: int):
+        return F.when(move(at).over(w) == F.col(at) + step, move(value).over(w))
+
+    return px.withColumns({"l": side(F.lag, row, "x", -1), "r": side(F.lead, row, "x", 1), "u": side(F.lag, col, "y", -1), "d": side(F.lead, col, "y", 1)})
+
+
+def outline_index(near: DataFrame, share: float = 0.6, interior: float = 0.05, key=("asset",)) -> DataFrame:
+    """(keys, outline): the colour that most pixels next to clear ones have, if it is a line (hardly any pixel among its own); near: ``around``."""
+    n = near.where("idx <> 0").groupBy(*key, "idx").agg(F.count_if(F.expr("l = 0 OR r = 0 OR u = 0 OR d = 0")).alias("ring"), F.count_if(F.expr("l = idx AND r = idx AND u = idx AND d = idx")).alias("inner"), F.count("*").alias("area"))
+    top = n.where("ring > 0").groupBy(*key).agg(F.max(F.struct("ring", (-F.col("idx")).alias("i"), "inner", "area")).alias("m"), F.sum("ring").alias("all"))
+    return top.where((F.col("m.ring") >= share * F.col("all")) & (F.col("m.inner") <= interior * F.col("m.area"))).select(*key, (-F.col("m.i")).alias("outline"), F.col("m.area").alias("area"))
+
+
+def rule_4(px: DataFrame, share: float = 0.6, interior: float = 0.05, least: int = 2, low: float = 0.06, high: float = 0.7, key=("asset",)) -> DataFrame:
+    """Outlines that are doubled at corners: squares of 2 x 2 outline pixels, next to clear ones, but not between clear ones on opposite sides."""
+    near = around(px, key)
+    line = near.join(outline_index(near, share, interior, key), list(key)).where("idx = outline")
+    origin = F.explode(F.array(*(F.struct((F.col("x") - i).alias("sx"), (F.col("y") - j).alias("sy")) for i in (0, 1) for j in (0, 1)))).alias("s")
+    clear = {c: F.max(F.coalesce(F.col(c) == 0, F.lit(False))).alias(c) for c in "lrud"}
+    square = line.select(*key, "x", "y", "area", *"lrud", origin).groupBy(*key, "s.sx", "s.sy").agg(F.count("*").alias("n"), F.max("area").alias("area"), *clear.values()).where("n = 4 AND (l OR r OR u OR d) AND NOT (l AND r) AND NOT (u AND d)")
+    own = F.explode(F.array(*(F.struct((F.col("sx") + i).alias("x"), (F.col("sy") + j).alias("y")) for i in (0, 1) for j in (0, 1)))).alias("p")
+    held = square.select(*key, "sx", "sy", "area", own).groupBy(*key).agg(F.count_distinct("p").alias("held"), F.count_distinct("sx", "sy").alias("n"), F.max("area").alias("area"))
+    return _violations(held.where((F.col("n") >= least) & F.expr("held / area").between(low, high)), 4, key)
+
+
+def rule_5(ramps: DataFrame, pal: DataFrame) -> DataFrame:
+    """(ramp, rising): ramps of three colours or more whose chroma only rises or only falls; ramps: ramp, pos, idx."""
+    c = ramps.join(F.broadcast(color.with_oklab(pal)), "idx").withColumn("c", F.round(F.hypot("a_", "b_"), 9))
+    step = c.withColumn("up", F.col("c") - F.lag("c").over(Window.partitionBy("ramp").orderBy("pos")))
+    g = step.groupBy("ramp").agg(F.count("*").alias("n"), F.min("up").alias("lo"), F.max("up").alias("hi")).where("n >= 3")
+    return g.where("lo >= 0 OR hi <= 0").select("ramp", (F.col("lo") >= 0).alias("rising"))
+
+
+def shading(px: DataFrame, pal: DataFrame, key=("asset",)) -> DataFrame:
+    """(keys, samples, gx, gy): opaque pixels with four opaque neighbours, and the direction in which they grow lighter (null: none)."""
+    l = px.join(F.broadcast(color.with_oklab(pal).select("idx", F.col("l").alias("light"))), "idx").withColumn("light", F.when(F.col("idx") != 0, F.col("light")))  # noqa: E741
+    n = around(l, key, "light").where("light is not null AND l is not null AND r is not null AND u is not null AND d is not null")
+    g = n.groupBy(*key).agg(F.count("*").alias("samples"), F.sum((F.col("r") - F.col("l")) / 2).alias("sx"), F.sum((F.col("d") - F.col("u")) / 2).alias("sy"))
+    size = F.sqrt(F.col("sx") * F.col("sx") + F.col("sy") * F.col("sy"))
+    unit = lambda c: F.when(F.round(size, 12) > 0, F.col(c) / size)
+    return g.select(*key, "samples", unit("sx").alias("gx"), unit("sy").alias("gy"))
+
+
+def agreement(px: DataFrame, pal: DataFrame, light: tuple[float, float], least: int = 64, key=("asset",)) -> DataFrame:
+    """(keys, agreement): cosine between the shading and the way to a distant light, where there are samples enough."""
+    return shading(px, pal, key).where((F.col("samples") >= least) & F.col("gx").isNotNull()).select(*key, (F.col("gx") * light[0] + F.col("gy") * light[1]).alias("agreement"))
+
+
+def rule_7(px: DataFrame, pal: DataFrame, light: tuple[float, float], limit: float = 0.55, least: int = 64, key=("asset",)) -> DataFrame:
+    """Shading that doesn't agree with the declared light."""
+    return _violations(agreement(px, pal, light, least, key).where(F.col("agreement") < limit).withColumn("n", F.lit(1)), 7, key)
+
+
+def jaggies(runs_: DataFrame, most: int = 1, key=("asset",)) -> DataFrame:
+    """Runs of a chain shorter than both neighbours, but for turns and for valleys of a lasting slope; runs_: ``kernels.colour_runs``.
+
+    target: the shorter neighbour; within: whether the gap is at most ``most``.
+    """
+    w = Window.partitionBy(*key, "chain").orderBy("run")
+    at = lambda n, c="len": F.lag(c, n).over(w) if n > 0 else F.lead(c, -n).over(w)
+    r = runs_.withColumns({"p": at(1), "n": at(-1), "p2": at(2), "n2": at(-2), "before": at(1, "bend"), "after": at(-1, "bend")})
+    valley = (F.col("p") > F.col("len")) & (F.col("len") < F.col("n"))
+    lasting = F.coalesce((F.col("p2") > F.col("p")) & (F.col("n2") > F.col("n")), F.lit(False))
+    j = r.where(valley & ~lasting & ~(F.col("before") * F.col("after") < 0)).withColumn("target", F.least("p", "n"))
+    return j.select(*key, "idx", "chain", "run", "len", "target", (F.col("target") - F.col("len") <= most).alias("within"), "straight", "x", "y")
+
+
+def jaggy_report(runs_: DataFrame, key=("asset",)) -> DataFrame:
+    """(keys, chains, runs, jaggies, fixable, rate)."""
+    j = jaggies(runs_, key=key).groupBy(*key).agg(F.count("*").alias("jaggies"), F.count_if("within").alias("fixable"))
+    all_ = runs_.groupBy(*key).agg(F.count_distinct("chain").alias("chains"), F.count("*").alias("runs"))
+    none = F.lit(0)
+    out = all_.join(j, list(key), "left").withColumns({"jaggies": F.coalesce("jaggies", none), "fixable": F.coalesce("fixable", none)})
+    return out.withColumn("rate", F.col("jaggies") / F.col("runs"))
+
+
+def rule_8(runs_: DataFrame, key=("asset",)) -> DataFrame:
+    return _violations(jaggies(runs_, key=key).groupBy(*key).agg(F.count("*").alias("n")), 8, key)
+
+
+def rule_9(votes: DataFrame, key=("asset",)) -> DataFrame:
+    """Cells of several sizes, one of them single pixels; votes: k of each window (null: flat)."""
+    v = votes.where("k is not null").groupBy(*key).agg(F.count_distinct("k").alias("n"), F.min("k").alias("least"))
+    return _violations(v.where("n >= 2 AND least = 1"), 9, key)
+
+
+def mixel_coverage(votes: DataFrame, key=("asset",)) -> DataFrame:
+    """(keys, windows, pinned, flat, judged): whether two windows or more could say something."""
+    return votes.groupBy(*key).agg(F.count("*").alias("windows"), F.count("k").alias("pinned"), F.count_if(F.col("k").isNull()).alias("flat")).withColumn("judged", F.col("pinned") >= 2)
+
+
+def _windowed(px: DataFrame, opts: dict) -> DataFrame:
+    s = opts["window"]
+    return px.withColumn("wx", F.expr(f"cast(x div {s} as int)")).withColumn("wy", F.expr(f"cast(y div {s} as int)"))
+
+
+def rule_10(px: DataFrame, opts: dict = DITHER, clump: int = 6, key=("asset",)) -> DataFrame:
+    """Dither windows in which one colour runs on."""
+    k = [*key, "wx", "wy"]
+    inside = _windowed(px, opts).join(dither_windows(px, opts, key).select(*k), k)
+    low = inside.groupBy(*k).agg(F.min("x").alias("x0"), F.min("y").alias("y0"))
+    own = inside.join(low, k).withColumn("x", F.col("x") - F.col("x0")).withColumn("y", F.col("y") - F.col("y0"))
+    s = regions.label(own, k).groupBy(*k, "root").agg(F.count("*").alias("area"), F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("far"))
+    bad = s.where((F.col("area") > 1) & (F.col("far") + 1 > clump)).select(*k).distinct()
+    return _violations(bad.groupBy(*key).agg(F.count("*").alias("n")), 10, key)
+
+
+def rule_12(runs_: DataFrame, gap: int = 3, least: int = 8, key=("asset",)) -> DataFrame:
+    """Chains that run side by side with the same run lengths, within some pixels; a canvas's chains are few and meet on its key."""
+    c = runs_.groupBy(*key, "chain", "horizontal").agg(F.transform(F.array_sort(F.collect_list(F.struct("run", "len"))), lambda s: s["len"]).alias("lens"), F.min_by(F.struct("ax", "ay"), "run").alias("a"), F.max_by(F.struct("bx", "by"), "run").alias("b"))
+    flat = F.col("horizontal")
+    c = c.where(F.size("lens") >= least).select(*key, "chain", "horizontal", "lens", F.when(flat, F.least("a.ax", "b.bx")).otherwise(F.least("a.ay", "b.by")).alias("lo"), F.when(flat, F.greatest("a.ax", "b.bx")).otherwise(F.greatest("a.ay", "b.by")).alias("hi"), F.when(flat, F.col("a.ay")).otherwise(F.col("a.ax")).alias("across"))
+    o = c.select(*key, F.col("chain").alias("chain2"), "horizontal", F.col("lens").alias("lens2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("across").alias("across2"))
+    p = c.join(o, [*key, "horizontal"]).where("chain < chain2").where(F.abs(F.col("across") - F.col("across2")).between(1, gap) & (F.col("hi") >= F.col("lo2")) & (F.col("hi2") >= F.col("lo")))
+    bad = p.where(shared_runs(F.col("lens"), F.col("lens2")) >= least).select(*key, "horizontal", "lo", "across").distinct()
+    return _violations(bad.groupBy(*key).agg(F.count("*").alias("n")), 12, key)
+
+
+def shared_runs(a: Column, b: Column) -> Column:
+    """The most leading values of one array that the other holds in a row from some place on."""
+
+    def from_(x: Column, y: Column) -> Column:
+        def leading(offset: Column) -> Column:
+            n = F.least(F.size(x) - offset, F.size(y))
+            same = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.get(x, offset + i - 1) == F.get(y, i - 1))
+            first = F.array_position(same, F.lit(False))
+            return F.when(first > 0, first - 1).otherwise(n)
+
+        return F.array_max(F.transform(F.sequence(F.lit(0), F.size(x) - 1), leading))
+
+    return F.greatest(from_(a, b), from_(b, a))
+
+
+def rule_14(px: DataFrame, pal: DataFrame, limit: float = 0.55, tolerance: float = 0.05, key=("asset",)) -> DataFrame:
+    """Too many pixels in colours between others."""
+    n = px.where("idx <> 0").groupBy(*key).agg(F.count("*").alias("all"))
+    bad = color.intermediates(px, pal, tolerance, key).join(n, list(key)).where(F.col("pixels") > limit * F.col("all"))
+    return _violations(bad.withColumn("n", F.col("pixels")), 14, key)
+
+
+def rule_17(px: DataFrame, pal: DataFrame, opts: dict = DITHER, limit: float = 0.35, key=("asset",)) -> DataFrame:
+    """Dither windows of two colours far apart in lightness."""
+    l = color.with_oklab(pal).select("idx", "l")  # noqa: E741
+    x, y = (F.broadcast(l.select(F.col("idx").alias(c), F.col("l").alias(f"l{c}"))) for c in "ab")
+    bad = dither_windows(px, opts, key).join(x, "a").join(y, "b").where(F.abs(F.col("la") - F.col("lb")) > limit)
+    return _violations(bad.groupBy(*key).agg(F.count("*").alias("n")), 17, key)
+
+
+def rule_2(best: DataFrame, image: DataFrame, found: DataFrame, like: float = 0.05, least: float = 0.1, key=("asset",)) -> DataFrame:
+    """Canvases with a size whose cells are nearly even, but without a size that is accepted; found: ``grid.confidence``."""
+    some = best.join(image, list(key)).where(F.col("v") <= like * F.col("iv")).select(*key).distinct()
+    bad = some.join(found.where(F.col("confidence") >= least), list(key), "left_anti")
+    return _violations(bad.withColumn("n", F.lit(1)), 2, key)
+
+
+def in_scope(violations: DataFrame, kinds: DataFrame, key=("asset",)) -> DataFrame:
+    """Without rules for key frames on frames that lie between; kinds: keys, kind (key, breakdown, inbetween)."""
+    k = violations.join(kinds, list(key), "left")
+    return k.where((F.col("scope") != "keyframe") | F.coalesce(F.col("kind").isin("key", "breakdown"), F.lit(True))).drop("kind")
+
+
+def hints(violations: DataFrame, key=("asset",)) -> DataFrame:
+    """(keys, hint): each asset's blocking findings as lines of text, by rule."""
+    line = F.struct("rule", F.format_string("rule %d: %d", "rule", "n").alias("t"))
+    lines = violations.where("severity = 'blocking'").groupBy(*key).agg(F.array_sort(F.collect_list(line)).alias("t"))
+    return lines.select(*key, F.array_join(F.transform("t", lambda s: s["t"]), "\n").alias("hint"))
+
+
 def report(parts: list[DataFrame]) -> DataFrame:
     """All violations; with totals by rule and severity."""
     out = parts[0]

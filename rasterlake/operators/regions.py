@@ -7,13 +7,11 @@ until nothing changes). A region's ``root`` is the raster place of its first pix
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from rasterlake.operators import stacks
 
 NEAR4 = ((0, 1), (1, 0))
 NEAR8 = (*NEAR4, (1, 1), (1, -1))
@@ -43,36 +41,9 @@ def label_arrays(v: np.ndarray, near=NEAR4) -> np.ndarray:
 
 def label(px: DataFrame, key=("asset",), diagonal: bool = False, value: str = "idx") -> DataFrame:
     """Adds ``root``; pixels whose value is null belong to no region (root null)."""
-    cell = F.array_sort(F.collect_list(F.struct("y", "x", F.coalesce(F.col(value), F.lit(-1)).cast("int").alias("v"), F.col("idx").cast("int").alias("idx"))))
-    wide = px.groupBy(*key).agg(cell.alias("c"))
-
-    def field(name: str):
-        return F.transform("c", lambda cell: cell[name].cast("int")).alias(f"_{name}")
-
-    wide = wide.select(*key, *[field(f) for f in ("x", "y", "v", "idx")])
     near = NEAR8 if diagonal else NEAR4
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            xs, ys, vs = ([np.asarray(a) for a in batch.column(f"_{c}").to_numpy(zero_copy_only=False)] for c in "xyv")
-            roots: list = [None] * batch.num_rows
-            sizes: dict[tuple[int, int], list[int]] = {}
-            for i, (x, y) in enumerate(zip(xs, ys)):
-                sizes.setdefault((int(y.max()) + 1, int(x.max()) + 1), []).append(i)
-            for (h, w), rows in sizes.items():
-                stack = np.full((len(rows), h, w), -1, dtype=np.int64)
-                for j, i in enumerate(rows):
-                    stack[j, ys[i], xs[i]] = vs[i]
-                lab = label_arrays(stack, near)
-                for j, i in enumerate(rows):
-                    roots[i] = lab[j, ys[i], xs[i]].astype(np.int32)
-            flat = np.concatenate(roots) if roots else np.zeros(0, np.int32)
-            offsets = np.append(0, np.cumsum([len(r) for r in roots])).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=[*batch.schema.names, "_root"])
-
-    schema = T.StructType([*wide.schema.fields, T.StructField("_root", T.ArrayType(T.IntegerType()))])
-    out = wide.mapInArrow(run, schema).select(*key, F.explode(F.arrays_zip("_x", "_y", "_idx", "_root")).alias("p"))
-    return out.select(*key, F.col("p._x").alias("x"), F.col("p._y").alias("y"), F.col("p._idx").alias("idx"), F.when(F.col("p._root") >= 0, F.col("p._root")).alias("root"))
+    out = stacks.on_stacks(px, lambda v: label_arrays(v, near), "root", "int", key, value)
+    return out.withColumn("root", F.when(F.col("root") >= 0, F.col("root")))
 
 
 def _shifted(lab: DataFrame, dx: int, dy: int, key) -> DataFrame:

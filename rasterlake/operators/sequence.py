@@ -94,3 +94,56 @@ def wave(kind: str, k: Column, n: Column, phase: float = 0.0) -> Column:
     """A periodic value in -1..1 at frame k of n."""
     turn = 2 * 3.141592653589793 * (k / n + phase)
     return F.sin(turn) if kind == "sine" else F.when(F.sin(turn) >= 0, F.lit(1.0)).otherwise(F.lit(-1.0))
+
+
+def centres(px: DataFrame, key=("asset",)) -> DataFrame:
+    """(keys, frame, cx, cy, w, h): the rounded centre and the box of each frame's opaque pixels."""
+    near = lambda c: F.floor(F.sum(c) / F.count("*") + 0.5).cast("int")
+    return canvas.opaque(px).groupBy(*key, "frame").agg(near("x").alias("cx"), near("y").alias("cy"), (F.max("x") - F.min("x") + 1).alias("w"), (F.max("y") - F.min("y") + 1).alias("h"))
+
+
+def moves(px: DataFrame, key=("asset",)) -> DataFrame:
+    """(keys, frame, dx, dy, dw, dh): how centre and box change from the frame before."""
+    w = Window.partitionBy(*key).orderBy("frame")
+    step = lambda c: F.when(F.lag("frame").over(w) == F.col("frame") - 1, F.col(c) - F.lag(c).over(w))
+    return centres(px, key).select(*key, "frame", step("cx").alias("dx"), step("cy").alias("dy"), step("w").alias("dw"), step("h").alias("dh")).where("dx is not null")
+
+
+def dither_in_motion(px: DataFrame, opts: dict, limit: float = 0.10, slack: int = 0, key=("asset",)) -> DataFrame:
+    """Frames that move and whose dither doesn't move along: checked and differing pixels, where more than the limit differ.
+
+    Frames whose box changes by more than ``slack`` are not judged.
+    """
+    from rasterlake.operators import lint
+
+    k = (*key, "frame")
+    m = moves(px, key).where((F.abs("dx") + F.abs("dy") > 0) & (F.abs("dw") <= slack) & (F.abs("dh") <= slack)).select(*k, "dx", "dy")
+    s = opts["window"]
+    now = px.where("idx <> 0").withColumns({"wx": F.expr(f"cast(x div {s} as int)"), "wy": F.expr(f"cast(y div {s} as int)")})
+    now = now.join(lint.dither_windows(px, opts, k).select(*k, "wx", "wy"), [*k, "wx", "wy"]).join(m, list(k))
+    now = now.select(*k, (F.col("x") - F.col("dx")).alias("x"), (F.col("y") - F.col("dy")).alias("y"), "idx")
+    before = px.where("idx <> 0").select(*key, (F.col("frame") + 1).alias("frame"), "x", "y", F.col("idx").alias("was"))
+    c = now.join(before, [*k, "x", "y"]).groupBy(*k).agg(F.count("*").alias("checked"), F.count_if(F.col("idx") != F.col("was")).alias("differs"))
+    return c.where(F.col("differs") > limit * F.col("checked"))
+
+
+def new_columns(px: DataFrame, least: int = 2, key=("asset",)) -> DataFrame:
+    """How many vertical runs of pixels that the frame before doesn't have, centres laid on each other, are shorter than ``least``."""
+    k = (*key, "frame")
+    c = centres(px, key)
+    own = canvas.opaque(px).join(c.select(*k, "cx", "cy"), list(k)).select(*k, (F.col("x") - F.col("cx")).alias("x"), (F.col("y") - F.col("cy")).alias("y"))
+    follows = c.select(*key, (F.col("frame") + 1).alias("frame"))
+    new = own.join(follows, list(k), "left_semi").join(own.withColumn("frame", F.col("frame") + 1), [*k, "x", "y"], "left_anti")
+    col = Window.partitionBy(*k, "x").orderBy("y")
+    runs_ = new.withColumn("g", F.col("y") - F.row_number().over(col)).groupBy(*k, "x", "g").agg(F.count("*").alias("n")).where(F.col("n") < least)
+    return runs_.groupBy(*k).agg(F.count("*").alias("orphans"))
+
+
+def coverage(px: DataFrame, excluded: int = 0, key=("asset",)) -> DataFrame:
+    """(keys, frames, inbetweens, squash_pairs, unchecked): what the rules for sequences had to look at, and which could not look."""
+    w = Window.partitionBy(*key).orderBy("frame")
+    c = centres(px, key)
+    squash = F.coalesce((F.col("w") - F.lag("w").over(w)) * (F.col("h") - F.lag("h").over(w)) < 0, F.lit(False))
+    n = c.withColumn("sq", squash).groupBy(*key).agg(F.count("*").alias("frames"), F.count_if("sq").alias("squash_pairs")).withColumn("inbetweens", F.greatest(F.col("frames") - 2, F.lit(0)))
+    missing = F.concat_ws(",", F.when(F.col("inbetweens") == 0, "22"), F.lit("26") if not excluded else F.lit(None).cast("string"), F.when(F.col("squash_pairs") == 0, "27"))
+    return n.withColumn("unchecked", missing)

@@ -232,21 +232,22 @@ _BIG = "(SELECT asset, root FROM region_stats WHERE area >= {n})"
 _COLOURS = "SELECT DISTINCT j.asset, least(j.a_idx, j.b_idx) AS i, greatest(j.a_idx, j.b_idx) AS k FROM adjacent j JOIN {big} p ON p.asset = j.asset AND p.root = j.a JOIN {big} q ON q.asset = j.asset AND q.root = j.b WHERE j.a_idx <> 0 AND j.b_idx <> 0"
 _R = "canvases reach labels region_stats adjacent diagonal pal lab_pal"
 LINT = {
-    1: (_lint(1, "SELECT asset, count(*) AS n FROM canvases WHERE idx NOT IN (SELECT idx FROM pal WHERE idx < 4) GROUP BY asset"), "canvases pal", lambda s, d: lint.rule_1(canvases(s, d), palette(s).where("idx < 4"))),
-    3: (_lint(3, "SELECT t.asset, count(*) AS n FROM region_stats t JOIN (SELECT asset, idx FROM region_stats GROUP BY 1, 2 HAVING count(*) = 1) o ON o.asset = t.asset AND o.idx = t.idx JOIN (SELECT asset, root, min(near) AS near FROM (SELECT asset, a AS root, b_idx AS near FROM adjacent UNION ALL SELECT asset, b, a_idx FROM adjacent) WHERE near <> 0 GROUP BY 1, 2 HAVING count(DISTINCT near) = 1) z ON z.asset = t.asset AND z.root = t.root JOIN lab_pal x ON x.idx = t.idx JOIN lab_pal y ON y.idx = z.near WHERE t.area < 2 AND t.idx <> 0 AND sqrt(pow(x.l - y.l, 2) + pow(x.a_ - y.a_, 2) + pow(x.b_ - y.b_, 2)) >= 0.22 GROUP BY t.asset"), _R, lambda s, d: lint.rule_3(regions.label(canvases(s, d)), palette(s))),
-    6: (_lint(6, f"SELECT c.asset, count(*) AS n FROM ({_COLOURS.format(big=_BIG.format(n=1))}) c JOIN lab_pal x ON x.idx = c.i JOIN lab_pal y ON y.idx = c.k WHERE abs(x.l - y.l) >= 0.15 AND sqrt(x.a_ * x.a_ + x.b_ * x.b_) >= 0.02 AND sqrt(y.a_ * y.a_ + y.b_ * y.b_) >= 0.02 AND least(fmod(abs(degrees(atan2(x.b_, x.a_)) - degrees(atan2(y.b_, y.a_))), 360), 360 - fmod(abs(degrees(atan2(x.b_, x.a_)) - degrees(atan2(y.b_, y.a_))), 360)) < 90 GROUP BY 1"), _R, lambda s, d: lint.rule_6(regions.label(canvases(s, d)), palette(s), gap=90.0)),
-    11: (_lint(11, f"SELECT c.asset, count(*) AS n FROM ({_COLOURS.format(big=_BIG.format(n=2))}) c JOIN lab_pal x ON x.idx = c.i JOIN lab_pal y ON y.idx = c.k WHERE abs(x.l - y.l) < 0.15 GROUP BY 1"), _R, lambda s, d: lint.rule_11(regions.label(canvases(s, d)), palette(s), 2, 0.15)),
-    16: (_lint(16, "SELECT t.asset, count(*) AS n FROM shares t JOIN lab_pal p ON p.idx = t.idx WHERE t.area / t.total >= 0.25 AND (sqrt(p.a_ * p.a_ + p.b_ * p.b_) > 0.16 OR p.l > 0.85) GROUP BY 1"), "canvases areas shares pal lab_pal", lambda s, d: lint.rule_16(canvases(s, d), palette(s))),
-    20: (_lint(20, f"SELECT c.asset, count(*) AS n FROM (SELECT asset, a, b FROM diagonal WHERE a_idx <> 0 AND b_idx <> 0 EXCEPT SELECT asset, a, b FROM adjacent) c JOIN {_BIG.format(n=3)} p ON p.asset = c.asset AND p.root = c.a JOIN {_BIG.format(n=3)} q ON q.asset = c.asset AND q.root = c.b GROUP BY 1"), _R, lambda s, d: lint.rule_20(regions.label(canvases(s, d)), 3)),
-    21: (_lint(21, f"SELECT c.asset, count(*) AS n FROM diagonal c JOIN {_BIG.format(n=2)} p ON p.asset = c.asset AND p.root = c.a JOIN {_BIG.format(n=2)} q ON q.asset = c.asset AND q.root = c.b WHERE c.a_idx = c.b_idx AND c.a_idx <> 0 GROUP BY 1"), _R, lambda s, d: lint.rule_21(regions.label(canvases(s, d)), 2)),
+    1: (_lint(1, "SELECT asset, count(*) AS n FROM canvases WHERE idx NOT IN (SELECT idx FROM pal WHERE idx < 4) GROUP BY asset"), "canvases pal", lambda s, d, lab: lint.rule_1(canvases(s, d), palette(s).where("idx < 4"))),
+    3: (_lint(3, "SELECT t.asset, count(*) AS n FROM region_stats t JOIN (SELECT asset, idx FROM region_stats GROUP BY 1, 2 HAVING count(*) = 1) o ON o.asset = t.asset AND o.idx = t.idx JOIN (SELECT asset, root, min(near) AS near FROM (SELECT asset, a AS root, b_idx AS near FROM adjacent UNION ALL SELECT asset, b, a_idx FROM adjacent) WHERE near <> 0 GROUP BY 1, 2 HAVING count(DISTINCT near) = 1) z ON z.asset = t.asset AND z.root = t.root JOIN lab_pal x ON x.idx = t.idx JOIN lab_pal y ON y.idx = z.near WHERE t.area < 2 AND t.idx <> 0 AND sqrt(pow(x.l - y.l, 2) + pow(x.a_ - y.a_, 2) + pow(x.b_ - y.b_, 2)) >= 0.22 GROUP BY t.asset"), _R, lambda s, d, lab: lint.rule_3(lab, palette(s))),
+    6: (_lint(6, f"SELECT c.asset, count(*) AS n FROM ({_COLOURS.format(big=_BIG.format(n=1))}) c JOIN lab_pal x ON x.idx = c.i JOIN lab_pal y ON y.idx = c.k WHERE abs(x.l - y.l) >= 0.15 AND sqrt(x.a_ * x.a_ + x.b_ * x.b_) >= 0.02 AND sqrt(y.a_ * y.a_ + y.b_ * y.b_) >= 0.02 AND least(fmod(abs(degrees(atan2(x.b_, x.a_)) - degrees(atan2(y.b_, y.a_))), 360), 360 - fmod(abs(degrees(atan2(x.b_, x.a_)) - degrees(atan2(y.b_, y.a_))), 360)) < 90 GROUP BY 1"), _R, lambda s, d, lab: lint.rule_6(lab, palette(s), gap=90.0)),
+    11: (_lint(11, f"SELECT c.asset, count(*) AS n FROM ({_COLOURS.format(big=_BIG.format(n=2))}) c JOIN lab_pal x ON x.idx = c.i JOIN lab_pal y ON y.idx = c.k WHERE abs(x.l - y.l) < 0.15 GROUP BY 1"), _R, lambda s, d, lab: lint.rule_11(lab, palette(s), 2, 0.15)),
+    16: (_lint(16, "SELECT t.asset, count(*) AS n FROM shares t JOIN lab_pal p ON p.idx = t.idx WHERE t.area / t.total >= 0.25 AND (sqrt(p.a_ * p.a_ + p.b_ * p.b_) > 0.16 OR p.l > 0.85) GROUP BY 1"), "canvases areas shares pal lab_pal", lambda s, d, lab: lint.rule_16(canvases(s, d), palette(s))),
+    20: (_lint(20, f"SELECT c.asset, count(*) AS n FROM (SELECT asset, a, b FROM diagonal WHERE a_idx <> 0 AND b_idx <> 0 EXCEPT SELECT asset, a, b FROM adjacent) c JOIN {_BIG.format(n=3)} p ON p.asset = c.asset AND p.root = c.a JOIN {_BIG.format(n=3)} q ON q.asset = c.asset AND q.root = c.b GROUP BY 1"), _R, lambda s, d, lab: lint.rule_20(lab, 3)),
+    21: (_lint(21, f"SELECT c.asset, count(*) AS n FROM diagonal c JOIN {_BIG.format(n=2)} p ON p.asset = c.asset AND p.root = c.a JOIN {_BIG.format(n=2)} q ON q.asset = c.asset AND q.root = c.b WHERE c.a_idx = c.b_idx AND c.a_idx <> 0 GROUP BY 1"), _R, lambda s, d, lab: lint.rule_21(lab, 2)),
 }
 for _n, (_sql, _uses, _make) in LINT.items():
-    query(f"lint_rule_{_n}", _V, _sql, _uses)(_make)
+    query(f"lint_rule_{_n}", _V, _sql, _uses)(lambda s, d, make=_make: make(s, d, regions.label(canvases(s, d))))
 
 
 @query("lint_union_report", "rule:long severity:string scope:string assets:long violations:long", "SELECT rule, severity, scope, count(*) AS assets, sum(n) AS violations FROM (" + " UNION ALL ".join(q for q, _, _ in LINT.values()) + ") GROUP BY 1, 2, 3", "canvases reach labels region_stats adjacent diagonal areas shares pal lab_pal")
 def _(s, d):
-    return lint.report([make(s, d) for _, _, make in LINT.values()])
+    lab = regions.label(canvases(s, d))  # one relation for all rules, so that its shuffle is reused
+    return lint.report([make(s, d, lab) for _, _, make in LINT.values()])
 
 
 @query("lint_rule_18", "idx:long l:double", "SELECT idx, l FROM lab_pal WHERE idx <> 0 AND l <= 0.06 AND sqrt(a_ * a_ + b_ * b_) <= 0.01", "pal lab_pal")
@@ -644,3 +645,6 @@ def _(s, d):
 def _(s, d):
     n = geometry.normal_and_curvature(geometry.signed_distance(canvases(s, d), 8, 8)).where("nx is not null")
     return n.withColumn("step", compose.ramp_index(compose.incidence(F.col("nx"), F.col("ny"), 0.6, 0.8), 4))
+
+
+from rasterlake.plans import catalogue_rules  # noqa: E402, F401  registers further queries
