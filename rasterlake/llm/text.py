@@ -114,6 +114,34 @@ def digests(b: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: tuple[int,
     return out
 
 
+def secret_digests(b: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of bytes under keys that no one knows: two multilinear hashes of 32 bits each.
+
+    Two different spans collide with a chance of 2 ** -64 over the keys, whatever they hold;
+    keys: 2 rows of random 64-bit numbers, two for each 8 bytes of the longest span and one more.
+    """
+    out = np.empty(len(starts), dtype=np.uint64)
+    padded = np.zeros(len(b) + 8, dtype=np.uint8)
+    padded[: len(b)] = b
+    at_byte = np.ndarray((len(b) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    size = ends - starts
+    blocks = np.maximum(size - 1, 0) >> 3
+    low, half = np.uint64(0xFFFFFFFF), np.uint64(32)
+    for n in range(int(blocks.max(initial=-1)) + 1):
+        own = np.flatnonzero(blocks == n)
+        begin, spare = starts[own], ((8 * (n + 1) - size[own]) * 8).astype(np.uint64)
+        sums = [size[own].astype(np.uint64) * k[0] for k in keys]
+        for i in range(n + 1):
+            m = at_byte[begin + 8 * i]
+            if i == n:
+                m = np.where(spare < 64, (m << spare) >> spare, np.uint64(0))
+            for s, k in zip(sums, keys):
+                s += (m & low) * k[2 * i + 1]
+                s += (m >> half) * k[2 * i + 2]
+        out[own] = (sums[0] & ~low) | (sums[1] >> half)
+    return out
+
+
 def _block(b: np.ndarray, breaks: np.ndarray, gap=_space) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes, starts and ends of the words of ``b``; a word never crosses a break."""
     filled = ~gap(b)

@@ -86,7 +86,8 @@ class Encoder:
         if any(re.search(r"\s", t) for t in added):
             raise ValueError("an added token with white space could reach across pieces")
         self.added = re.compile("|".join(map(re.escape, added)) or "(?!)").search
-        self.key = (secrets.randbits(64), secrets.randbits(64))
+        self.added_bytes = re.compile(b"|".join(re.escape(t.encode()) for t in added) or b"(?!)").search
+        self.secret = np.frombuffer(secrets.token_bytes(16 * (LONGEST // 4 + 1)), dtype=np.uint64).reshape(2, -1)
         self.parts: dict[str, bytes] = {}
         self._clear()
 
@@ -137,12 +138,13 @@ class Encoder:
                 self.parts[part] = got
         return got
 
-    def _learn(self, pieces: list[str]) -> list[bytes]:
+    def _learn(self, pieces: list[str], special: bool) -> list[bytes]:
+        """Ids of pieces; ``special``: some of them may hold an added token."""
         if len(self.parts) > KEPT_PARTS:
             self.parts.clear()
         out, part = [], self._part
         for p in pieces:
-            if not _PLAIN(p) or self.added(p):
+            if not _PLAIN(p) or special and self.added(p):
                 out.append(np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, dtype="<u4").tobytes())
             elif p[:1] == " " and p[1:].isalpha():
                 out.append(part(p))
@@ -162,7 +164,7 @@ class Encoder:
         for i in range(0, len(short), _TOGETHER):
             own = short[i : i + _TOGETHER]
             lo, hi = starts[own[0]], ends[own[-1]]
-            h[own] = tx.digests(b[lo:hi], starts[own] - lo, ends[own] - lo, self.key) | np.uint64(1)
+            h[own] = tx.secret_digests(b[lo:hi], starts[own] - lo, ends[own] - lo, self.secret) | np.uint64(1)
         if self.filled > SLOTS // 2:
             self._clear()
         slot = self._find(h)
@@ -175,7 +177,7 @@ class Encoder:
                 back[h[missing] == 0] = len(seen) - 1 + np.arange(len(giants))
                 seen = np.append(seen[1:], np.zeros(len(giants), np.uint64))
             which, data = missing[one], b.tobytes()
-            ids = self._learn([data[s:e].decode() for s, e in zip(starts[which].tolist(), ends[which].tolist())])
+            ids = self._learn([data[s:e].decode() for s, e in zip(starts[which].tolist(), ends[which].tolist())], self.added_bytes(data) is not None)
             size = np.array([len(x) // 4 for x in ids], dtype=np.int64)
             kept = seen != 0
             order = np.argsort(~kept, kind="stable")

@@ -69,6 +69,20 @@ def test_words_with_patterns_do_not_collide(block):
     assert not set(a.tolist()) & set(b.tolist())
 
 
+def test_secret_digests():
+    data = np.random.default_rng(4).integers(0, 256, 3000).astype(np.uint8)
+    starts = np.cumsum(np.arange(65))
+    ends = starts + np.arange(65)
+    keys = np.random.default_rng(5).integers(0, 2**63, (2, 17)).astype(np.uint64)
+    want = []
+    for a, z in zip(starts.tolist(), ends.tolist()):
+        own = data[a:z].tobytes().ljust(8 * max(1, -(-(z - a) // 8)), b"\0")
+        w = [int.from_bytes(own[i : i + 4], "little") for i in range(0, len(own), 4)]
+        x, y = (((z - a) * int(k[0]) + sum(v * int(q) for v, q in zip(w, k[1:]))) % 2**64 for k in keys)
+        want.append(x >> 32 << 32 | y >> 32)
+    assert text.secret_digests(data, starts, ends, keys).tolist() == want
+
+
 def test_digests_are_siphash_1_3():
     """Against a plain implementation, at all lengths."""
 
