@@ -87,3 +87,14 @@ def hold_last(px: DataFrame, key=("asset",)) -> DataFrame:
     """The last opaque index that each pixel of a sequence has had."""
     w = Window.partitionBy(*key, "x", "y").orderBy("frame").rowsBetween(Window.unboundedPreceding, 0)
     return px.withColumn("held", F.last(F.when(F.col("idx") != 0, F.col("idx")), ignorenulls=True).over(w))
+
+
+def palette_merges(px: DataFrame, limit: int, key: str = "asset") -> DataFrame:
+    """(base, equip, colours, over): colours that two canvases have together, for all pairs of a small set of canvases.
+
+    A canvas has 256 colours at most, so its set is one array.
+    """
+    c = px.groupBy(key).agg(F.collect_set("idx").alias("c"))
+    both = c.select(F.col(key).alias("base"), F.col("c").alias("a")).join(c.select(F.col(key).alias("equip"), F.col("c").alias("b")), F.col("base") < F.col("equip"))
+    n = F.size(F.array_union("a", "b"))
+    return both.select("base", "equip", n.alias("colours"), (n > limit).alias("over"))

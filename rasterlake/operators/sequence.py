@@ -147,3 +147,31 @@ def coverage(px: DataFrame, excluded: int = 0, key=("asset",)) -> DataFrame:
     n = c.withColumn("sq", squash).groupBy(*key).agg(F.count("*").alias("frames"), F.count_if("sq").alias("squash_pairs")).withColumn("inbetweens", F.greatest(F.col("frames") - 2, F.lit(0)))
     missing = F.concat_ws(",", F.when(F.col("inbetweens") == 0, "22"), F.lit("26") if not excluded else F.lit(None).cast("string"), F.when(F.col("squash_pairs") == 0, "27"))
     return n.withColumn("unchecked", missing)
+
+
+def _distances(px: DataFrame, w: int, h: int, ahead: int, key) -> DataFrame:
+    """Signed distances of each frame (d) and of the one ``ahead`` frames on (e)."""
+    k = (*key, "frame")
+    d = geometry.signed_distance(px, w, h, k)
+    later = d.select(*key, (F.col("frame") - ahead).alias("frame"), "x", "y", F.col("d").alias("e"))
+    return d.join(later, [*k, "x", "y"])
+
+
+def tween_series(px: DataFrame, w: int, h: int, steps: int, key=("asset",)) -> DataFrame:
+    """(keys, frame, step, x, y): pixels of the ``steps`` shapes between each frame and the next, evenly spaced."""
+    p = _distances(px, w, h, 1, key).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(steps))))
+    return p.where(F.round(F.col("d") * (steps + 1 - F.col("step")) + F.col("e") * F.col("step"), 9) > 0).select(*key, "frame", "step", "x", "y")
+
+
+def extrapolated(px: DataFrame, w: int, h: int, amount: float, key=("asset",)) -> DataFrame:
+    """(keys, frame, x, y): pixels of the shape that lies beyond the next frame by a share of the step to it."""
+    p = _distances(px, w, h, 1, key)
+    return p.where(F.round(F.col("e") * (1 + amount) - F.col("d") * amount, 9) > 0).select(*key, "frame", "x", "y")
+
+
+def tween_truths(px: DataFrame, w: int, h: int, key=("asset",)) -> DataFrame:
+    """(keys, frame, tween_iou, hold_iou, beats): the tween of a frame's neighbours, and the frame before held, against the frame itself."""
+    p = _distances(px, w, h, 2, key).select(*key, (F.col("frame") + 1).alias("frame"), "x", "y", (F.col("d") + F.col("e") > 0).alias("tw"), (F.col("d") > 0).alias("hold"))
+    j = p.join(px.select(*key, "frame", "x", "y", (F.col("idx") != 0).alias("own")), [*key, "frame", "x", "y"])
+    iou = lambda c: F.count_if(F.col(c) & F.col("own")) / F.greatest(F.count_if(F.col(c) | F.col("own")), F.lit(1))
+    return j.groupBy(*key, "frame").agg(iou("tw").alias("tween_iou"), iou("hold").alias("hold_iou")).withColumn("beats", F.round("tween_iou", 9) > F.round("hold_iou", 9))

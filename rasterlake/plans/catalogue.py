@@ -647,4 +647,4 @@ def _(s, d):
     return n.withColumn("step", compose.ramp_index(compose.incidence(F.col("nx"), F.col("ny"), 0.6, 0.8), 4))
 
 
-from rasterlake.plans import catalogue_rules  # noqa: E402, F401  registers further queries
+from rasterlake.plans import catalogue_rules, catalogue_replay  # noqa: E402, F401  register further queries
