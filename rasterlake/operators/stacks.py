@@ -74,3 +74,42 @@ def chamfer(other: np.ndarray) -> np.ndarray:
                 d[:, y] = np.minimum(d[:, y], near)
             d[:, y] = last = sideways(d[:, y])
     return d
+
+
+def per_canvas(px: DataFrame, work: Callable[[np.ndarray], dict[str, np.ndarray]], columns: str, key=("asset",), value: str = "idx") -> DataFrame:
+    """(keys, columns): ``work`` gets a stack and gives, by column, an array (canvas, row of the result); columns: ``name type, ...``.
+
+    Rows of a result that are NaN in the last column are left out.
+    """
+    cell = F.array_sort(F.collect_list(F.struct("y", "x", F.col(value).cast("double").alias("v"))))
+    wide = px.groupBy(*key).agg(cell.alias("c"))
+
+    def field(name: str, as_: str):
+        return F.transform("c", lambda cell: cell[name].cast(as_)).alias(f"_{name}")
+
+    wide = wide.select(*key, field("x", "int"), field("y", "int"), field("v", "double"))
+    kinds = dict(c.strip().rsplit(" ", 1) for c in columns.split(","))
+    arrow = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            xs, ys, vs = ([np.asarray(a) for a in batch.column(f"_{c}").to_numpy(zero_copy_only=False)] for c in "xyv")
+            sizes: dict[tuple[int, int], list[int]] = {}
+            for i, (x, y) in enumerate(zip(xs, ys)):
+                sizes.setdefault((int(y.max()) + 1, int(x.max()) + 1), []).append(i)
+            for (h, w), rows in sizes.items():
+                stack = np.full((len(rows), h, w), np.nan)
+                for j, i in enumerate(rows):
+                    stack[j, ys[i], xs[i]] = vs[i]
+                made = work(stack)
+                m = next(iter(made.values())).shape[1] if made else 0
+                if not m:
+                    continue
+                of = np.repeat(np.array(rows), m)
+                flat = {n: made[n].reshape(-1) for n in kinds}
+                keep = ~np.isnan(list(flat.values())[-1].astype(float))
+                out = [batch.column(k).take(pa.array(of[keep])) for k in key]
+                yield pa.RecordBatch.from_arrays([*out, *(pa.array(flat[n][keep].astype(arrow[t].to_pandas_dtype()), arrow[t]) for n, t in kinds.items())], names=[*key, *kinds])
+
+    schema = T.StructType([*(wide.schema[k] for k in key), *T._parse_datatype_string(columns).fields])
+    return wide.mapInArrow(run, schema)
