@@ -32,10 +32,9 @@ def missing_directions(have: DataFrame, key=("asset",)) -> DataFrame:
 
 def box_blur(field: DataFrame, w: int, h: int, value: str = "d", key=("asset",)) -> DataFrame:
     """Mean of 3 x 3; beyond the edge the edge repeats."""
-    offs = F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-    want = field.select(*key, F.col("x").alias("cx"), F.col("y").alias("cy"), F.explode(offs).alias("o"))
-    want = want.select(*key, "cx", "cy", F.least(F.greatest(F.col("cx") + F.col("o.dx"), F.lit(0)), F.lit(w - 1)).alias("x"), F.least(F.greatest(F.col("cy") + F.col("o.dy"), F.lit(0)), F.lit(h - 1)).alias("y"))
-    return want.join(field, [*key, "x", "y"]).groupBy(*key, F.col("cx").alias("x"), F.col("cy").alias("y")).agg((F.sum(value) / 9).alias(value))
+    row, col = Window.partitionBy(*key, "y").orderBy("x"), Window.partitionBy(*key, "x").orderBy("y")
+    side = lambda c, w: F.col(c) + F.coalesce(F.lag(c).over(w), F.col(c)) + F.coalesce(F.lead(c).over(w), F.col(c))
+    return field.withColumn("_b", side(value, row)).withColumn(value, side("_b", col) / 9).select(*key, "x", "y", value)
 
 
 def bounce_distance(px: DataFrame, reach: int, key=("asset",)) -> DataFrame:
@@ -98,3 +97,108 @@ def palette_merges(px: DataFrame, limit: int, key: str = "asset") -> DataFrame:
     both = c.select(F.col(key).alias("base"), F.col("c").alias("a")).join(c.select(F.col(key).alias("equip"), F.col("c").alias("b")), F.col("base") < F.col("equip"))
     n = F.size(F.array_union("a", "b"))
     return both.select("base", "equip", n.alias("colours"), (n > limit).alias("over"))
+
+
+def pick(frame: Column, delay: Column, count: Column, wrap: bool) -> Column:
+    """Which of ``count`` frames (from 0) a part shows at a frame: it lags by its delay, held at the ends or going round."""
+    at = frame - delay
+    return F.pmod(at, count) if wrap else F.least(F.greatest(at, F.lit(0)), count - 1)
+
+
+def composed(parts: DataFrame, layout: DataFrame, w: int, h: int, wrap: bool = False, key=("asset",)) -> DataFrame:
+    """(keys, frame, x, y, idx) of parts drawn over each other; parts: keys, layer, frame (from 0), x, y, idx; layout: keys, layer, dx, dy, delay.
+
+    There are as many frames as the longest part has; a part's frames are picked by its delay.
+    """
+    n = parts.groupBy(*key, "layer").agg((F.max("frame") + 1).alias("count"))
+    most = n.groupBy(*key).agg(F.max("count").alias("most"))
+    shown = n.join(layout, [*key, "layer"]).join(most, list(key)).withColumn("frame", F.explode(F.sequence(F.lit(0), F.col("most").cast("int") - 1)))
+    shown = shown.select(*key, "layer", "dx", "dy", F.col("frame").alias("_at"), pick(F.col("frame"), F.col("delay"), F.col("count"), wrap).cast("int").alias("frame"))
+    p = parts.where("idx <> 0").join(shown, [*key, "layer", "frame"])
+    p = p.select(*key, F.col("_at").alias("frame"), "layer", (F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y"), "idx").where(F.col("x").between(0, w - 1) & F.col("y").between(0, h - 1))
+    return p.groupBy(*key, "frame", "x", "y").agg(F.max_by("idx", "layer").alias("idx"))
+
+
+def hidden(placed: DataFrame, w: int, h: int, key=("asset",)) -> DataFrame:
+    """(keys, layer, covered, outside): opaque pixels under a higher layer, and beyond the canvas; placed: keys, layer, x, y, idx."""
+    m = placed.where("idx <> 0")
+    inside = F.col("x").between(0, w - 1) & F.col("y").between(0, h - 1)
+    top = F.max("layer").over(Window.partitionBy(*key, "x", "y"))
+    c = m.withColumn("_top", top)
+    return c.groupBy(*key, "layer").agg(F.count_if(inside & (F.col("_top") > F.col("layer"))).alias("covered"), F.count_if(~inside).alias("outside"))
+
+
+def canvas_of(boxes: DataFrame, key=("asset",)) -> DataFrame:
+    """(keys, x, y, w, h): the smallest canvas about all placed parts; boxes: keys, x, y, w, h."""
+    g = boxes.groupBy(*key).agg(F.min("x").alias("x"), F.min("y").alias("y"), F.max(F.col("x") + F.col("w")).alias("x1"), F.max(F.col("y") + F.col("h")).alias("y1"))
+    return g.select(*key, "x", "y", (F.col("x1") - F.col("x")).alias("w"), (F.col("y1") - F.col("y")).alias("h"))
+
+
+def substituted(template: Column, values: Column) -> Column:
+    """``${name}`` parts of a text replaced by a map's values; a name that the map lacks is an error."""
+    names = F.regexp_extract_all(template, F.lit(r"\$\{([A-Za-z_][A-Za-z0-9_]*)\}"), F.lit(1))
+    bad = F.filter(names, lambda n: ~F.map_contains_key(values, n))
+    done = F.aggregate(F.map_entries(values), template, lambda t, e: F.replace(t, F.concat(F.lit("${"), e["key"], F.lit("}")), e["value"]))
+    return F.when(F.size(bad) > 0, F.raise_error(F.concat(F.lit("no value for "), F.element_at(bad, 1))).cast("string")).otherwise(done)
+
+
+def variants(df: DataFrame, lists: dict[str, list[str]]) -> DataFrame:
+    """Each row with every combination of the lists' values, numbered with the last list fastest (a product as small as the lists)."""
+    out = df.withColumn("variant", F.lit(0))
+    for name, values in lists.items():
+        out = out.select("*", F.posexplode(F.array(*map(F.lit, values))).alias("_p", name)).withColumn("variant", F.col("variant") * len(values) + F.col("_p")).drop("_p")
+    return out
+
+
+def turned(px: DataFrame, size: int, quarters: int) -> DataFrame:
+    """Square canvases turned clockwise by quarters, exactly."""
+    for _ in range(quarters % 4):
+        px = canvas.quarter_turn(px, size)
+    return px
+
+
+def scaled(px: DataFrame, w: int, h: int, num: int, den: int, key=("asset",)) -> DataFrame:
+    """Canvases scaled by num / den: each new pixel takes the one under its middle."""
+    nw, nh = w * num // den, h * num // den
+    at = lambda c: F.floor((2 * F.col(c) + 1) * den / (2 * num))
+    return canvas.sample(px, nw, nh, at("x"), at("y"), key=key)
+
+
+def clipped(px: DataFrame, w: int, h: int, a: int, b: int, c: int, d: int, den: int, key=("asset",)) -> DataFrame:
+    """(keys, clipped): opaque pixels that a forward matrix over ``den`` moves out of a w x h canvas."""
+    x, y = F.floor((a * F.col("x") + b * F.col("y")) / den), F.floor((c * F.col("x") + d * F.col("y")) / den)
+    return px.groupBy(*key).agg(F.count_if((F.col("idx") != 0) & ~(x.between(0, w - 1) & y.between(0, h - 1))).alias("clipped"))
+
+
+#: Forward matrices over 2 of the projections of a wall facing left or right, and of a floor.
+PROJECTIONS = {"dimetric_left": (2, 0, 1, 2), "dimetric_right": (2, 0, -1, 2), "floor": (2, -2, 1, 1), "oblique": (2, -1, 0, 1)}
+
+
+def projected(px: DataFrame, name: str) -> DataFrame:
+    """Pixels moved by a projection's forward matrix (floor of halves); several may land on one place."""
+    a, b, c, d = PROJECTIONS[name]
+    at = lambda p, q: F.floor((p * F.col("x") + q * F.col("y")) / 2).cast("int")
+    return px.withColumns({"_x": at(a, b), "_y": at(c, d)}).withColumns({"x": F.col("_x"), "y": F.col("_y")}).drop("_x", "_y")
+
+
+def guide(keys: DataFrame, w: int, h: int, step: int) -> DataFrame:
+    """(keys, x, y, line, checker): the lines of a grid at one down for two across, and the checker of its cells."""
+    g = canvas.filled(keys, w, h, 0).drop("idx")
+    p, q = F.col("x") + 2 * F.col("y"), F.col("x") - 2 * F.col("y")
+    cell = lambda v: F.floor(v / (2 * step))
+    return g.select(*keys.columns, "x", "y", ((F.pmod(p, F.lit(2 * step)) < 2) | (F.pmod(q, F.lit(2 * step)) < 2)).alias("line"), (F.pmod(cell(p) + cell(q), F.lit(2)) == 0).alias("checker"))
+
+
+def rendered(px: DataFrame, pal: DataFrame, zoom: int, key=("asset",)) -> DataFrame:
+    """(keys, x, y, r, g, b, a): colours of each pixel as a block of zoom x zoom; clear ones show a checker of blocks."""
+    o = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(zoom) for j in range(zoom)))).alias("o")
+    p = px.join(F.broadcast(pal), "idx").select(*key, (F.col("x") * zoom).alias("bx"), (F.col("y") * zoom).alias("by"), "idx", "r", "g", "b", o, ((F.col("x") + F.col("y")) % 2).alias("odd"))
+    clear = F.col("idx") == 0
+    grey = F.when(F.col("odd") == 0, 204).otherwise(153)
+    return p.select(*key, (F.col("bx") + F.col("o.i")).alias("x"), (F.col("by") + F.col("o.j")).alias("y"), *(F.when(clear, grey).otherwise(F.col(c)).alias(c) for c in "rgb"), F.lit(255).alias("a"))
+
+
+def rewritten(before: DataFrame, after: DataFrame, key=("asset",)) -> DataFrame:
+    """(keys, share): of the pixels that are opaque in both, the share whose index differs."""
+    j = before.where("idx <> 0").join(after.where("idx <> 0").withColumnRenamed("idx", "_new"), [*key, "x", "y"])
+    return j.groupBy(*key).agg(F.avg((F.col("idx") != F.col("_new")).cast("int")).alias("share"))

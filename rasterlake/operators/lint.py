@@ -327,3 +327,10 @@ def report(parts: list[DataFrame]) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.groupBy("rule", "severity", "scope").agg(F.count("*").alias("assets"), F.sum("n").alias("violations"))
+
+
+def predicates(px: DataFrame, opts: dict = DITHER, key=("asset",)) -> DataFrame:
+    """What recipes may ask of a canvas: (keys, clear, colours, size, dithered)."""
+    c = px.groupBy(*key).agg(F.max(F.col("idx") == 0).alias("clear"), F.count_distinct(F.when(F.col("idx") != 0, F.col("idx"))).alias("colours"), (F.greatest(F.max("x"), F.max("y")) + 1).alias("size"))
+    d = dither_windows(px, opts, key).select(*key).distinct().withColumn("_d", F.lit(True))
+    return c.join(d, list(key), "left").withColumn("dithered", F.col("_d").isNotNull()).drop("_d")

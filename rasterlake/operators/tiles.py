@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MODES = {"exact": (0,), "flip": (0, 1, 2, 3), "flip-rotate": tuple(range(8))}
@@ -139,7 +139,7 @@ def autotile_masks(spark: SparkSession) -> DataFrame:
 def sheet_pack(boxes: DataFrame, columns: int, pad: int = 1) -> DataFrame:
     """Places of equal cells on a sheet in order of asset; boxes: asset, w, h."""
     cell = boxes.agg(F.max("w").alias("cw"), F.max("h").alias("ch"))
-    n = boxes.select("asset", "w", "h").withColumn("n", F.row_number().over(Window.orderBy("asset")) - 1).crossJoin(F.broadcast(cell))  # one row
+    n = numbered(boxes.select("asset", "w", "h"), "asset").join(F.broadcast(cell), F.lit(True))  # one row
     return n.select("asset", (F.expr(f"n % {columns}") * (F.col("cw") + pad)).alias("px"), (F.expr(f"n div {columns}") * (F.col("ch") + pad)).alias("py"), "cw", "ch")
 
 
@@ -150,3 +150,100 @@ def gid(tile_id, flip_x, flip_y, flip_d, first: int = 1):
     for b in bits:
         out = out.bitwiseOR(b.cast("long"))
     return out
+
+
+STATES = ("convex", "edge_h", "edge_v", "concave", "inner")
+#: Quadrants by the bits of their horizontal, vertical and diagonal neighbours.
+QUADRANTS = {"nw": (W, N, NW), "ne": (E, N, NE), "sw": (W, S, SW), "se": (E, S, SE)}
+
+
+def corner_state(mask: Column, quadrant: str) -> Column:
+    """Which of five pieces a quadrant of a tile shows, by the neighbours in an 8-bit mask."""
+    h, v, d = (mask.bitwiseAND(b) != 0 for b in QUADRANTS[quadrant])
+    return F.when(~h & ~v, "convex").when(h & ~v, "edge_h").when(~h & v, "edge_v").when(d, "inner").otherwise("concave")
+
+
+def autotile_plan(masks: DataFrame) -> DataFrame:
+    """(mask, tile, quadrant, state): the four pieces of each tile."""
+    parts = F.array(*(F.struct(F.lit(q).alias("quadrant"), corner_state(F.col("mask"), q).alias("state")) for q in QUADRANTS))
+    return masks.select("mask", "tile", F.explode(parts).alias("p")).select("mask", "tile", "p.quadrant", "p.state")
+
+
+def all_quadrants(base: DataFrame, size: int) -> DataFrame:
+    """(quadrant, state, x, y, idx): pieces drawn for the north west mirrored to all quadrants; base: state, x, y, idx."""
+    flip = lambda c, on: (F.lit(size - 1) - F.col(c)) if on else F.col(c)
+    out = None
+    for q in QUADRANTS:
+        p = base.select(F.lit(q).alias("quadrant"), "state", flip("x", q[1] == "e").alias("x"), flip("y", q[0] == "s").alias("y"), "idx")
+        out = p if out is None else out.unionByName(p)
+    return out
+
+
+def autotile_build(masks: DataFrame, art: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """(tile, x, y, idx) of every tile put together from its pieces, and (quadrant, state) of pieces that are missing."""
+    plan = autotile_plan(masks)
+    right, low = F.col("quadrant").isin("ne", "se"), F.col("quadrant").isin("sw", "se")
+    px = plan.join(F.broadcast(art), ["quadrant", "state"]).select("tile", (F.col("x") + F.when(right, size).otherwise(0)).alias("x"), (F.col("y") + F.when(low, size).otherwise(0)).alias("y"), "idx")
+    return px, plan.select("quadrant", "state").distinct().join(art.select("quadrant", "state").distinct(), ["quadrant", "state"], "left_anti")
+
+
+def seam_doubled(px: DataFrame, size: int, key=("tile",)) -> DataFrame:
+    """(keys, n): places on both sides of a tile's middle column or row where a line one pixel wide is doubled by the mirror."""
+    from rasterlake.operators import lint
+
+    n = lint.around(px, key)
+    m = size // 2
+    x, y = F.col("x"), F.col("y")
+    across = (x == m - 1) & (F.col("r") == F.col("idx")) & (F.col("l") != F.col("idx"))
+    down = (y == m - 1) & (F.col("d") == F.col("idx")) & (F.col("u") != F.col("idx"))
+    return n.where("idx <> 0").groupBy(*key).agg(F.count_if(across | down).alias("n"))
+
+
+def choose_columns(n: Column) -> Column:
+    """Columns of a sheet of n cells: fewest empty cells, then closest to square, of the root up to twice it."""
+    low = F.ceil(F.sqrt(n.cast("double"))).cast("int")
+
+    def cost(c: Column) -> Column:
+        rows = F.ceil(n / c)
+        return F.struct((c * rows - n).alias("empty"), F.floor(F.round(F.abs(c / rows - 1) * 1000, 6)).alias("aspect"), c.alias("columns"))
+
+    return F.when(n <= 1, F.lit(1)).otherwise(F.array_min(F.transform(F.sequence(low, 2 * low), cost))["columns"])
+
+
+def numbered(df: DataFrame, order: str, name: str = "n", buckets: int = 1024) -> DataFrame:
+    """Rows numbered from 0 in the order of a whole-number column, without one task for all: numbers within equal ranges of it, and counts of the ranges before."""
+    lo, hi = df.agg(F.min(order), F.max(order)).first()
+    width = 1 if lo is None else (hi - lo) // buckets + 1
+    d = df.withColumn("_b", F.floor((F.col(order) - (lo or 0)) / width))
+    count = d.groupBy("_b").agg(F.count("*").alias("_c"))
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    offset = count.select("_b", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_b").orderBy(order)) - 1
+    return d.withColumn(name, own).join(F.broadcast(offset), "_b").withColumn(name, F.col(name) + F.col("_before")).drop("_b", "_before")
+
+
+def tsx(sets: DataFrame) -> DataFrame:
+    """(name, tsx): tile set files; sets: name, tile, columns, count, image."""
+    f = '<?xml version="1.0" encoding="UTF-8"?><tileset version="1.10" name="%s" tilewidth="%d" tileheight="%d" tilecount="%d" columns="%d"><image source="%s" width="%d" height="%d"/></tileset>'
+    return sets.select("name", F.format_string(f, "name", "tile", "tile", "count", "columns", "image", F.col("tile") * F.col("columns"), F.col("tile") * F.ceil(F.col("count") / F.col("columns"))).alias("tsx"))
+
+
+def tmx(cells: DataFrame, source: str, tile: int, key=("asset",)) -> DataFrame:
+    """(keys, tmx): map files of canvases of global tile ids (keys, x, y, gid), row by row; a map is a bounded group."""
+    w, h = F.max("x") + 1, F.max("y") + 1
+    data = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "gid"))), lambda c: c["gid"].cast("string")), ",")
+    g = cells.groupBy(*key).agg(w.alias("w"), h.alias("h"), data.alias("data"))
+    f = f'<map version="1.10" orientation="orthogonal" width="%d" height="%d" tilewidth="{tile}" tileheight="{tile}"><tileset firstgid="1" source="{source}"/><layer id="1" name="tiles" width="%d" height="%d"><data encoding="csv">%s</data></layer></map>'
+    return g.select(*key, F.format_string(f, "w", "h", "w", "h", "data").alias("tmx"))
+
+
+def sheet_json(sheet: DataFrame) -> DataFrame:
+    """(json): one document of a sheet's cells in order; sheet: asset, px, py, cw, ch. A sheet is a bounded group."""
+    cell = F.struct("asset", "px", "py", "cw", "ch")
+    return sheet.agg(F.array_sort(F.collect_list(cell)).alias("cells")).select(F.to_json(F.struct(F.lit(1).alias("version"), "cells")).alias("json"))
+
+
+def sheet_cells(doc: DataFrame) -> DataFrame:
+    """The cells of sheet documents (json) again."""
+    c = F.from_json("json", "version int, cells array<struct<asset: long, px: long, py: long, cw: long, ch: long>>")
+    return doc.select(F.explode(c["cells"]).alias("c")).select("c.*")
