@@ -23,11 +23,12 @@ def linear_rgb(l: Column, a: Column, b: Column) -> list[Column]:  # noqa: E741
 
 def to_rgb(l: Column, a: Column, b: Column) -> list[Column]:  # noqa: E741
     """Whole sRGB channels of OKLab columns, clipped and rounded."""
-    def channel(c: Column) -> Column:
-        v = F.when(c <= 0.0031308, 12.92 * c).otherwise(1.055 * F.pow(F.greatest(c, F.lit(0.0)), F.lit(1 / 2.4)) - 0.055)
-        return F.floor(F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0)) * 255 + 0.5).cast("int")
+    return [_channel(c) for c in linear_rgb(l, a, b)]
 
-    return [channel(c) for c in linear_rgb(l, a, b)]
+
+def _channel(c: Column) -> Column:
+    v = F.when(c <= 0.0031308, 12.92 * c).otherwise(1.055 * F.pow(F.greatest(c, F.lit(0.0)), F.lit(1 / 2.4)) - 0.055)
+    return F.floor(F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0)) * 255 + 0.5).cast("int")
 
 
 def spread(pal: DataFrame, transparent: int = 0) -> DataFrame:
@@ -107,9 +108,20 @@ def ramp(bases: DataFrame, steps: int, low: float = 0.2, high: float = 0.95, shi
     b = b.withColumn("_turn", F.signum(gap) * F.least(F.abs(gap), shift * F.abs(2 * t - 1))).withColumn("_h", F.pmod(F.col("_h") + F.col("_turn") + 360, F.lit(360.0)))
     c = F.hypot("a_", "b_") * chroma_factor(curve, t)
     b = b.withColumn("_c", F.when(F.col("step") == 0, F.greatest(c, F.lit(LEAST_CHROMA))).otherwise(c))
+    # Each step is a column of its own, so that no expression holds another many times over.
     b = b.withColumn("_c", clip_chroma(F.col("_l"), F.col("_c"), F.col("_h")))
-    rgb = to_rgb(F.col("_l"), F.col("_c") * F.cos(F.radians("_h")), F.col("_c") * F.sin(F.radians("_h")))
-    return b.select("idx", "step", *(v.alias(n) for v, n in zip(rgb, "rgb")))
+    b = b.withColumns({"_a": F.col("_c") * F.cos(F.radians("_h")), "_bb": F.col("_c") * F.sin(F.radians("_h"))})
+    return with_rgb(b.select("idx", "step", "_l", "_a", "_bb"), "_l", "_a", "_bb")
+
+
+def with_rgb(df: DataFrame, l: str, a: str, b: str) -> DataFrame:  # noqa: E741
+    """In place of OKLab columns whole sRGB channels r, g, b."""
+    roots = {f"_q{i}": x * F.col(l) + y * F.col(a) + z * F.col(b) for i, (x, y, z) in enumerate(TO_ROOTS)}
+    d = df.withColumns(roots).withColumns({f"_k{i}": F.col(f"_q{i}") * F.col(f"_q{i}") * F.col(f"_q{i}") for i in range(3)})
+    d = d.withColumns({f"_n{i}": row[0] * F.col("_k0") + row[1] * F.col("_k1") + row[2] * F.col("_k2") for i, row in enumerate(TO_LINEAR)})
+    rgb = F.array(F.struct(*(_channel(F.col(f"_n{i}")).alias(n) for i, n in enumerate("rgb"))))
+    kept = [c for c in df.columns if c not in (l, a, b)]
+    return d.select(*kept, F.explode(rgb).alias("_rgb")).select(*kept, "_rgb.r", "_rgb.g", "_rgb.b")
 
 
 # Palettes ------------------------------------------------------------------------------------------
