@@ -181,7 +181,8 @@ def test_invariants(spark):
 def test_kernels():
     ring = np.ones((4, 5), dtype=bool)
     ring[1:3, 1:4] = False
-    pts = kernels.trace(ring)
-    assert len(pts) == 14 and set(pts) == {(x, y) for y, x in np.argwhere(ring)}
-    assert kernels.trace(np.zeros((2, 2), bool)) == []
+    (outer, pts), (hole, inner) = kernels.borders(ring)
+    assert not outer and len(pts) == 14 and set(pts) == {(x, y) for y, x in np.argwhere(ring)}
+    assert hole and set(inner) <= set(pts)
+    assert kernels.borders(np.zeros((2, 2), bool)) == []
     assert kernels.straight([2, 2, 3, 2, 2, 3, 2]) and not kernels.straight([1, 4, 1, 2, 5])
