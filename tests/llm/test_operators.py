@@ -336,6 +336,29 @@ def test_every_shared_run_is_reported(spark):
             assert words[r["doc_id"]][r["start"] : r["end"]] == words[r["other_doc_id"]][r["other_start"] : r["other_end"]]
 
 
+def test_repeated_words_give_few_rows(spark):
+    """Texts that repeat a word, a pair or a line hundreds of times; every shared run is reported all the same."""
+    n = passages.MIN_WORDS
+    line = prose(9, 4000)
+    rows = [(1, "thor " * 900, "s"), (2, prose(30, 1) + " thor" * 300 + " " + prose(20, 2), "s"), (3, "thor " * 55, "s"), (4, "odd even " * 400, "s"), (5, "even odd " * 90, "s"), (6, f"{line} " * 60, "s"), (7, f"{prose(40, 3)} {line} " * 2 + f"{line} " * 12, "s")]
+    got = passages.passages(make(spark, rows)).collect()
+    assert len(got) <= 60
+    said = {}
+    for r in got:
+        said.setdefault(r["doc_id"], []).append((r["start"], r["end"]))
+        said.setdefault(r["other_doc_id"], []).append((r["other_start"], r["other_end"]))
+    words = {i: t.split() for i, t, _ in rows}
+    where = {}
+    for i, w in words.items():
+        for k in range(len(w) - n + 1):
+            where.setdefault(tuple(w[k : k + n]), []).append((i, k))
+    shared = [x for v in where.values() if len({i for i, _ in v}) > 1 for x in v]
+    assert not [(i, k) for i, k in shared if not any(a <= k and k + n <= z for a, z in said.get(i, []))]
+    for r in got:
+        if r["identity"] == 1:
+            assert words[r["doc_id"]][r["start"] : r["end"]] == words[r["other_doc_id"]][r["other_start"] : r["other_end"]]
+
+
 # 7 ------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("parts", [1, 3])
 def test_topk(spark, monkeypatch, parts):
