@@ -181,33 +181,7 @@ def spacing(peaks_: DataFrame, s: int, key=("asset",)) -> DataFrame:
     return g.select(*key, "n", "spacing", F.sqrt(F.greatest(F.col("yy") - F.col("xy") * F.col("xy") / F.col("xx"), F.lit(0.0)) / F.col("n")).alias("rms"))
 
 
-# Verdicts --------------------------------------------------------------------------------------------
-def estimate(px: DataFrame, largest: int, epsilon: float = 0.9, delta: float = 0.5, tau: float = 0.5, least_contrast: float = 1.0, floor: float = 0.1, key=("asset",)) -> DataFrame:
-    """(keys, s, dx, dy, confidence, verdict): the largest size that passes variance, reconstruction and contrast.
-
-    verdict: ok; low_confidence, where larger sizes that aren't multiples fit about as well; not_found.
-    """
-    variance = cell_variance(px, largest, key)
-    best = best_phase(variance, key)
-    image = image_variance(px, key)
-    j = best.join(image, list(key)).join(recon(px, best, delta, key), [*key, "s"]).join(contrast(variance, best, key), [*key, "s"])
-    passing = j.where((F.col("v") <= epsilon * F.col("iv")) & (F.col("rate") <= tau) & (F.round("contrast", 9) >= least_contrast))
-    hat = passing.groupBy(*key).agg(F.max(F.struct("s", "dx", "dy", "v", "iv")).alias("h")).select(*key, F.col("h.s").alias("hat"), "h.dx", "h.dy", F.col("h.v").alias("hv"), F.col("h.iv").alias("iv"))
-    rival = best.join(hat, list(key)).where("s > hat AND s % hat <> 0").groupBy(*key).agg(F.min(best["v"]).alias("rival"))
-    c = F.coalesce(F.least(F.greatest((F.col("rival") - F.col("hv")) / F.when(F.col("iv") > 0, F.col("iv")), F.lit(0.0)), F.lit(1.0)), F.lit(0.0))
-    found = hat.join(rival, list(key), "left").select(*key, F.col("hat").alias("s"), "dx", "dy", c.alias("confidence"))
-    verdict = F.when(F.col("s").isNull(), "not_found").when(F.round("confidence", 9) >= floor, "ok").otherwise("low_confidence")
-    return image.select(*key).join(found, list(key), "left").withColumn("verdict", verdict)
-
-
-def conform(px: DataFrame, estimates: DataFrame, key=("asset",)) -> DataFrame:
-    """Canvases whose size was found, one pixel for each whole cell: its most frequent index (ties: the largest)."""
-    c = _at_phase(px, estimates.where("verdict = 'ok'"), key)
-    n = c.groupBy(*key, "cx", "cy", "idx").agg(F.count("*").alias("n"))
-    m = n.groupBy(*key, "cx", "cy").agg(F.max(F.struct("n", "idx")).alias("m"))
-    return m.select(*key, F.col("cx").cast("int").alias("x"), F.col("cy").cast("int").alias("y"), F.col("m.idx").alias("idx"))
-
-
+# Sizes and scaling ----------------------------------------------------------------------------------
 def period(px: DataFrame, largest: int, key=("asset",)) -> DataFrame:
     """(keys, px_, py_, period): the lag of the best autocorrelation of edges on each axis, and the lesser where the two agree (by 1, or as multiples)."""
     def lag(df: DataFrame, name: str) -> DataFrame:

@@ -17,9 +17,6 @@ views.SQL["placed"] = _AT
 views.SQL["recons"] = "SELECT asset, s, avg(CAST(round(off, 9) > 0.5 AS INTEGER)) AS rate FROM (SELECT *, abs(idx - avg(idx) OVER (PARTITION BY asset, s, cx, cy)) AS off FROM placed) GROUP BY 1, 2"
 _RATIO = "CASE WHEN round(b.v, 12) > 0 THEN {w}.v / b.v WHEN round({w}.v, 12) > 0 THEN 1e6 ELSE 1.0 END"
 views.SQL["contrasts"] = f"SELECT b.asset, b.s, ({_RATIO.format(w='wx')} + {_RATIO.format(w='wy')}) / 2 AS contrast FROM best b LEFT JOIN cells wx ON wx.asset = b.asset AND wx.s = b.s AND wx.dx = (b.dx + b.s // 2) % b.s AND wx.dy = b.dy LEFT JOIN cells wy ON wy.asset = b.asset AND wy.s = b.s AND wy.dx = b.dx AND wy.dy = (b.dy + b.s // 2) % b.s"
-views.SQL["hat"] = "SELECT asset, max(s) AS hat, arg_max(dx, s) AS dx, arg_max(dy, s) AS dy, arg_max(v, s) AS hv, any_value(iv) AS iv FROM best JOIN (SELECT asset, var_pop(idx) AS iv FROM canvases GROUP BY 1) USING (asset) JOIN recons USING (asset, s) JOIN contrasts USING (asset, s) WHERE v <= 0.9 * iv AND rate <= 0.95 AND round(contrast, 9) >= 1 GROUP BY 1"
-views.SQL["estimates"] = "SELECT asset, s, dx, dy, confidence, CASE WHEN s IS NULL THEN 'not_found' WHEN round(confidence, 9) >= 0.01 THEN 'ok' ELSE 'low_confidence' END AS verdict FROM (SELECT a.asset, hat AS s, dx, dy, CASE WHEN hat IS NOT NULL THEN coalesce(least(greatest((rival - hv) / iv, 0.0), 1.0), 0.0) END AS confidence FROM (SELECT DISTINCT asset FROM canvases) a LEFT JOIN hat h ON h.asset = a.asset LEFT JOIN (SELECT h.asset, min(v) AS rival FROM hat h JOIN best b ON b.asset = h.asset AND b.s > h.hat AND b.s % h.hat <> 0 GROUP BY 1) r ON r.asset = a.asset)"
-_EST = "canvases cells best placed recons contrasts hat estimates"
 
 
 def _best(c):
@@ -102,17 +99,6 @@ def _(s, d):
     return grid.spacing(grid.peaks(_sharp(s, d), 4), 4)
 
 
-@query("grid_estimates", "asset:long s:long dx:long dy:long confidence:double verdict:string", "SELECT * FROM estimates", _EST)
-def _(s, d):
-    return grid.estimate(canvases(s, d), 4, tau=0.95, floor=0.01)
-
-
-@query("conformed", "asset:long x:long y:long idx:long", "SELECT asset, x, y, idx FROM (SELECT *, row_number() OVER (PARTITION BY asset, x, y ORDER BY n DESC, idx DESC) AS k FROM (SELECT p.asset, p.cx AS x, p.cy AS y, p.idx, count(*) AS n FROM placed p JOIN estimates e ON e.asset = p.asset AND e.s = p.s WHERE e.verdict = 'ok' GROUP BY 1, 2, 3, 4)) WHERE k = 1", _EST)
-def _(s, d):
-    c = canvases(s, d)
-    return grid.conform(c, grid.estimate(c, 4, tau=0.95, floor=0.01))
-
-
 _EDGE = "SELECT asset, {x} AS x, sum(e) AS e FROM (SELECT asset, {x}, abs(idx - lag(idx) OVER (PARTITION BY asset, {y} ORDER BY {x})) AS e FROM dense) WHERE e IS NOT NULL GROUP BY 1, 2"
 
 

@@ -49,6 +49,19 @@ def dense(spark: SparkSession, d: str) -> DataFrame:
     return li.groupBy("asset", "x", "y").agg(F.max("l_linenumber").cast("int").alias("idx"))
 
 
+def enlarged(spark: SparkSession, d: str) -> DataFrame:
+    """(asset, x, y, r, g, b): each canvas in the palette's colours, enlarged 2 to 4 times and cropped by up to a pixel; every fifth smeared by half a pixel."""
+    o = F.expr("explode(transform(sequence(0, k * k - 1), o -> struct(cast(o % k as int) AS i, cast(o div k as int) AS j))) AS o")
+    big = canvases(spark, d).withColumn("k", F.expr("cast(2 + asset % 3 as int)")).select("asset", "x", "y", "idx", "k", o)
+    at = big.selectExpr("asset", "cast(x * k + o.i - asset % 2 as int) AS x", "cast(y * k + o.j - asset div 2 % 2 as int) AS y", "idx").where("x >= 0 AND y >= 0")
+    px = at.join(F.broadcast(palette(spark)), "idx").select("asset", "x", "y", "r", "g", "b")
+    from pyspark.sql import Window
+
+    line = Window.partitionBy("asset", "y").orderBy("x")
+    smeared = [F.when(F.col("asset") % 5 == 4, F.floor((F.col(c) + F.coalesce(F.lead(c).over(line), c)) / 2)).otherwise(F.col(c)).cast("int").alias(c) for c in "rgb"]
+    return px.select("asset", "x", "y", *smeared)
+
+
 def sweep(spark: SparkSession, d: str) -> DataFrame:
     """Sweep rows: parameters, truth, estimate, confidence (null where nothing was found), filter and split."""
     return _read(spark, d, "lineitem").selectExpr(
@@ -66,6 +79,11 @@ SQL = {
     "pal": "SELECT * FROM (VALUES " + ", ".join(map(str, _values(PALETTE))) + ") AS t(idx, r, g, b)",
     "pal_b": "SELECT * FROM (VALUES " + ", ".join(map(str, _values(PALETTE_B))) + ") AS t(idx, r, g, b)",
 }
+SQL["enlarged"] = (
+    "SELECT asset, x, y, "
+    + ", ".join(f"CASE WHEN asset % 5 = 4 THEN ({c} + coalesce(lead({c}) OVER w, {c})) // 2 ELSE {c} END AS {c}" for c in "rgb")
+    + " FROM (SELECT asset, CAST(x * k + i - asset % 2 AS INTEGER) AS x, CAST(y * k + j - asset // 2 % 2 AS INTEGER) AS y, r, g, b FROM (SELECT *, 2 + asset % 3 AS k FROM canvases) JOIN pal USING (idx), range(4) a(i), range(4) b(j) WHERE i < k AND j < k) WHERE x >= 0 AND y >= 0 WINDOW w AS (PARTITION BY asset, y ORDER BY x)"
+)
 SQL["frames"] = f"SELECT n.seq AS asset, n.frame, c.x, c.y, c.idx FROM ({SQL['canvases']}) c JOIN (SELECT vec_id, label AS seq, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS frame FROM embeddings) n ON c.asset = n.vec_id"
 SQL["reach"] = "SELECT asset, x, y, idx, y * 8 + x AS root FROM canvases UNION SELECT c.asset, c.x, c.y, c.idx, r.root FROM reach r JOIN canvases c ON c.asset = r.asset AND c.idx = r.idx AND abs(c.x - r.x) + abs(c.y - r.y) = 1"
 SQL["labels"] = "SELECT asset, x, y, idx, min(root) AS root FROM reach GROUP BY 1, 2, 3, 4"

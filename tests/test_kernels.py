@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rasterlake.operators import compose, grid, kernels, lint, points, quantize, stacks, tiles
+from rasterlake.operators import compose, kernels, lint, points, quantize, stacks, tiles
 from rasterlake.plans import recipe, relations
 from rasterlake.views import PALETTE, palette
 
@@ -111,19 +111,6 @@ def test_chamfer_is_the_least_over_all_pixels():
         assert np.array_equal(got[k], want)
 
 
-def test_enlarged_canvases_are_judged_and_brought_back(spark):
-    rng = np.random.default_rng(5)
-    small = rng.integers(0, 5, (6, 6))
-    big = np.kron(small, np.ones((3, 3), dtype=int))[1:, 2:]
-    noise = rng.integers(0, 5, (17, 16))
-    px = canvas(spark, big, noise, np.full((8, 8), 2))
-    got = {r["asset"]: r for r in grid.estimate(px, 5).collect()}
-    assert (got[0]["s"], got[0]["dx"], got[0]["dy"], got[0]["verdict"]) == (3, 1, 2, "ok")
-    assert got[1]["verdict"] != "ok"
-    back = {(r["x"], r["y"]): r["idx"] for r in grid.conform(px, grid.estimate(px, 5)).where("asset = 0").collect()}
-    assert back == {(x - 1, y - 1): small[y][x] for y in range(1, 6) for x in range(1, 6)}
-
-
 def test_ramps_can_be_shown_and_grow_lighter(spark):
     from rasterlake.operators import color
 
