@@ -195,16 +195,3 @@ def straight(lengths: list[int]) -> bool:
         at = [i for i, v in enumerate(lengths) if v == single]
         lengths = [b - a for a, b in zip([-1, *at], [*at, len(lengths)])]
     return True
-
-
-def kmeans_palette(colours: DataFrame, k: int, seed: int = 1):
-    """At most k colours for r, g, b columns, in OKLab, sorted by lightness (the clusters come from Spark ML)."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
-
-    from rasterlake.operators import color
-
-    lab = color.with_oklab(colours.select("r", "g", "b"))
-    v = VectorAssembler(inputCols=["l", "a_", "b_"], outputCol="features").transform(lab)
-    centres = KMeans(k=k, seed=seed).fit(v).clusterCenters()
-    return sorted(tuple(round(float(x), 6) for x in c) for c in centres)

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rasterlake import views
-from rasterlake.operators import color, colour_grid
+from rasterlake.operators import color, colour_grid, new_palette
 from rasterlake.registry import query
-from rasterlake.views import enlarged
+from rasterlake.views import enlarged, tinted
 
 GATES = colour_grid.Gates(largest=6)
 _G = GATES
@@ -118,3 +118,31 @@ _MODAL = "SELECT asset, cx AS x, cy AS y, r, g, b FROM (SELECT e.asset, floor((x
 def _(s, d):
     px = enlarged(s, d)
     return colour_grid.conform(px, colour_grid.estimate(px, GATES))
+
+
+# Palettes made for pictures --------------------------------------------------------------------------
+@query("tinted_colours", "asset:long colours:long pixels:long", "SELECT asset, count(DISTINCT (r, g, b)) AS colours, count(*) AS pixels FROM tinted GROUP BY 1", "tinted")
+def _(s, d):
+    return new_palette.colours(tinted(s, d)).groupBy("asset").agg(F.count("*").alias("colours"), F.sum("n").alias("pixels"))
+
+
+@query("quantised_boxes", "asset:long idx:long r:long g:long b:long")
+def _(s, d):
+    return new_palette.quantise(tinted(s, d), 8, refine=False)
+
+
+@query("quantised", "asset:long idx:long r:long g:long b:long")
+def _(s, d):
+    return new_palette.quantise(tinted(s, d), 8)
+
+
+@query("quantised_pixels", "asset:long x:long y:long idx:long")
+def _(s, d):
+    px = tinted(s, d)
+    return new_palette.applied(px, new_palette.quantise(px, 8))
+
+
+@query("quantised_error", "asset:long pixels:long used:long error:double")
+def _(s, d):
+    px = tinted(s, d)
+    return new_palette.error(px, new_palette.quantise(px, 8))

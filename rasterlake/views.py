@@ -62,6 +62,13 @@ def enlarged(spark: SparkSession, d: str) -> DataFrame:
     return px.select("asset", "x", "y", *smeared)
 
 
+def tinted(spark: SparkSession, d: str) -> DataFrame:
+    """(asset, x, y, r, g, b): an 8 x 8 picture of many colours for each embedding; three components make a pixel's colour."""
+    e = _read(spark, d, "embeddings").select(F.col("vec_id").alias("asset"), "embedding", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("p"))
+    tint = [f"cast(greatest(0, least(255, floor(128 + 400 * cast(embedding[(p + {k}) % 64] as double)))) as int) AS {c}" for c, k in (("r", 0), ("g", 21), ("b", 42))]
+    return e.selectExpr("asset", "cast(p % 8 as int) AS x", "cast(p div 8 as int) AS y", *tint)
+
+
 def sweep(spark: SparkSession, d: str) -> DataFrame:
     """Sweep rows: parameters, truth, estimate, confidence (null where nothing was found), filter and split."""
     return _read(spark, d, "lineitem").selectExpr(
@@ -84,6 +91,11 @@ SQL["enlarged"] = (
     + ", ".join(f"CASE WHEN asset % 5 = 4 THEN ({c} + coalesce(lead({c}) OVER w, {c})) // 2 ELSE {c} END AS {c}" for c in "rgb")
     + " FROM (SELECT asset, CAST(x * k + i - asset % 2 AS INTEGER) AS x, CAST(y * k + j - asset // 2 % 2 AS INTEGER) AS y, r, g, b FROM (SELECT *, 2 + asset % 3 AS k FROM canvases) JOIN pal USING (idx), range(4) a(i), range(4) b(j) WHERE i < k AND j < k) WHERE x >= 0 AND y >= 0 WINDOW w AS (PARTITION BY asset, y ORDER BY x)"
 )
+SQL["tinted"] = (
+    "SELECT vec_id AS asset, CAST(p % 8 AS INTEGER) AS x, CAST(p // 8 AS INTEGER) AS y, "
+    + ", ".join(f"CAST(greatest(0, least(255, floor(128 + 400 * CAST(embedding[(p + {k}) % 64 + 1] AS DOUBLE)))) AS INTEGER) AS {c}" for c, k in (("r", 0), ("g", 21), ("b", 42)))
+    + " FROM embeddings, range(64) t(p)"
+)
 SQL["frames"] = f"SELECT n.seq AS asset, n.frame, c.x, c.y, c.idx FROM ({SQL['canvases']}) c JOIN (SELECT vec_id, label AS seq, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS frame FROM embeddings) n ON c.asset = n.vec_id"
 SQL["reach"] = "SELECT asset, x, y, idx, y * 8 + x AS root FROM canvases UNION SELECT c.asset, c.x, c.y, c.idx, r.root FROM reach r JOIN canvases c ON c.asset = r.asset AND c.idx = r.idx AND abs(c.x - r.x) + abs(c.y - r.y) = 1"
 SQL["labels"] = "SELECT asset, x, y, idx, min(root) AS root FROM reach GROUP BY 1, 2, 3, 4"
