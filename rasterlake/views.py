@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 PALETTE = ["000000", "1d2b53", "7e2553", "008751", "ab5236", "5f574f", "c2c3c7", "fff1e8", "ff004d", "ffa300", "ffec27", "00e436", "29adff", "83769c", "ff77a8", "ffccaa"]
 #: The palette of a second asset, with some of those colours and some of another public palette.
 PALETTE_B = ["000000", "1d2b53", "222034", "45283c", "663931", "8f563b", "df7126", "ffec27", "99e550", "6abe30"]
+#: A ramp of greys, each between its neighbours.
+GREYS = ["000000", "202020", "606060", "a0a0a0", "e0e0e0"]
 LEVELS = "CASE WHEN v < 0 THEN 0 WHEN v < 0.06 THEN 1 WHEN v < 0.12 THEN 2 WHEN v < 0.2 THEN 3 ELSE 4 END"
 
 
@@ -96,6 +98,7 @@ SQL["tinted"] = (
     + ", ".join(f"CAST(greatest(0, least(255, floor(128 + 400 * CAST(embedding[(p + {k}) % 64 + 1] AS DOUBLE)))) AS INTEGER) AS {c}" for c, k in (("r", 0), ("g", 21), ("b", 42)))
     + " FROM embeddings, range(64) t(p)"
 )
+SQL["greys"] = "SELECT * FROM (VALUES " + ", ".join(map(str, _values(GREYS))) + ") AS t(idx, r, g, b)"
 SQL["frames"] = f"SELECT n.seq AS asset, n.frame, c.x, c.y, c.idx FROM ({SQL['canvases']}) c JOIN (SELECT vec_id, label AS seq, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS frame FROM embeddings) n ON c.asset = n.vec_id"
 SQL["reach"] = "SELECT asset, x, y, idx, y * 8 + x AS root FROM canvases UNION SELECT c.asset, c.x, c.y, c.idx, r.root FROM reach r JOIN canvases c ON c.asset = r.asset AND c.idx = r.idx AND abs(c.x - r.x) + abs(c.y - r.y) = 1"
 SQL["labels"] = "SELECT asset, x, y, idx, min(root) AS root FROM reach GROUP BY 1, 2, 3, 4"
