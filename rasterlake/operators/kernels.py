@@ -135,7 +135,7 @@ def colour_runs(px: DataFrame, key: str = "asset") -> DataFrame:
     """Runs of the monotone chains of every opaque colour's borders.
 
     key, idx, chain, run, horizontal, straight (the chain), len, bend (sign of the curvature of the
-    colour's distance field at the run's middle), x, y (middle), ax, ay (first), bx, by (last).
+    colour's distance field at the run's middle), x, y (middle), ax, ay (first), bx, by (last), abend, bbend (at these).
     """
     from rasterlake.operators.stacks import chamfer
 
@@ -147,13 +147,13 @@ def colour_runs(px: DataFrame, key: str = "asset") -> DataFrame:
                 for chain in monotone(pts):
                     flat, parts = chain_runs(chain)
                     line = straight([len(q) for q in parts])
-                    rows += [(idx, n, i, flat, line, len(q), bend[q[len(q) // 2][::-1]], *q[len(q) // 2], *q[0], *q[-1]) for i, q in enumerate(parts)]
+                    rows += [(idx, n, i, flat, line, len(q), bend[q[len(q) // 2][::-1]], *q[len(q) // 2], *q[0], *q[-1], bend[q[0][::-1]], bend[q[-1][::-1]]) for i, q in enumerate(parts)]
                     n += 1
-        out = pd.DataFrame(rows, columns=["idx", "chain", "run", "horizontal", "straight", "len", "bend", "x", "y", "ax", "ay", "bx", "by"])
+        out = pd.DataFrame(rows, columns=["idx", "chain", "run", "horizontal", "straight", "len", "bend", "x", "y", "ax", "ay", "bx", "by", "abend", "bbend"])
         out.insert(0, key, p[key].iloc[0])
         return out
 
-    return px.groupBy(key).applyInPandas(run, f"{key} {dict(px.dtypes)[key]}, idx int, chain int, run int, horizontal boolean, straight boolean, len int, bend int, x int, y int, ax int, ay int, bx int, by int")
+    return px.groupBy(key).applyInPandas(run, f"{key} {dict(px.dtypes)[key]}, idx int, chain int, run int, horizontal boolean, straight boolean, len int, bend int, x int, y int, ax int, ay int, bx int, by int, abend int, bbend int")
 
 
 def diffuse(px: DataFrame, levels: list[float], key: str = "asset", value: str = "v") -> DataFrame:

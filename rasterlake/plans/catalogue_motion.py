@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rasterlake import views
+from rasterlake import lineage, views
 from rasterlake.operators import antialias, color, cycling, shared_palettes
 from rasterlake.registry import query
 from rasterlake.views import GREYS, PALETTE_B, canvases, palette
@@ -161,3 +161,14 @@ _STRIPPED = "SELECT c.asset, c.x, c.y, coalesce(z.t, c.idx) AS idx, z.t IS NOT N
 @query("stripped", "asset:long x:long y:long idx:long placed:boolean", _STRIPPED, "canvases greys tones ways eight")
 def _(s, d):
     return antialias.stripped(canvases(s, d), palette(s, GREYS))
+
+
+@query("antialias_wanted", "asset:long x:long y:long a:long b:long t:double")
+def _(s, d):
+    base = lineage.cut(antialias.stripped(canvases(s, d), palette(s, GREYS)))
+    return antialias.wanted(base, base.where("placed"), palette(s, GREYS))
+
+
+@query("antialiased", "asset:long x:long y:long idx:long")
+def _(s, d):
+    return antialias.added(canvases(s, d), palette(s, GREYS))[0]

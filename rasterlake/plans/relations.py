@@ -8,11 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    """With its lineage cut by a table in the folder of ``spark.checkpoint.dir``; kept in memory where none is set."""
-    sc = df.sparkSession.sparkContext
-    return df.checkpoint() if sc.getCheckpointDir() else df.persist()
+from rasterlake.lineage import cut as _cut
 
 
 def _steps(edges: DataFrame) -> int:

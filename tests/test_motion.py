@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from rasterlake import lineage
 from rasterlake.operators import antialias, cycling, shared_palettes
 from rasterlake.views import GREYS, palette
 from tests.test_kernels import canvas
@@ -96,3 +97,36 @@ def test_intermediate_pixels_go_and_nothing_else(spark):
     assert {k[0] for k in way} == {2, 3} and all(x < m < y for m, x, y in way)
     want = spark.createDataFrame([(1, 4, 0.3), (4, 1, 0.3), (1, 2, 0.5)], "x int, y int, t double")
     assert {(r["x"], r["y"]): r["idx"] for r in antialias.nearest_between(want, pal).collect()} == {(1, 4): 2, (4, 1): 3, (1, 2): None}
+
+
+def stairs(heights):
+    """Columns of 2 from above over 1: a border of steps."""
+    v = np.ones((10, 4 * len(heights)), dtype=int)
+    for i, h in enumerate(heights):
+        v[:h, 4 * i : 4 * i + 4] = 2
+    return v
+
+
+def test_antialiasing_is_added_at_the_ends_of_steps_and_goes_again(spark):
+    two = spark.createDataFrame([(0, 0, 0, 0), (1, 0x30, 0x34, 0x5A), (2, 0xC8, 0xCC, 0xE0)], "idx int, r int, g int, b int")
+    slope, diagonal = stairs([2, 3, 4, 5]), np.tril(np.ones((12, 12), dtype=int)) + 1
+    outside = np.zeros((6, 12), dtype=int)
+    outside[2:, :6] = outside[3:, 6:] = 2
+    outside[2, 6:] = 0
+    px = canvas(spark, slope, diagonal, outside).cache()
+    out, made = antialias.added(px, two)
+    out = lineage.cut(out)
+    new = {(r["asset"], r["x"], r["y"]): r["idx"] for r in out.collect()}
+    old = {(r["asset"], r["x"], r["y"]): r["idx"] for r in px.collect()}
+    changed = {k for k in old if old[k] != new[k]}
+    assert changed and {a for a, *_ in changed} == {0} and all(new[k] > 2 for k in changed)
+    for _, x, y in changed:  # each at the end of a step of four, at the border of the two faces
+        assert x % 4 in (0, 3) and {slope[y, x], *(slope[b, a] for a, b in ((x, y - 1), (x, y + 1), (x - 1, y), (x + 1, y)) if 0 <= a < 16)} == {1, 2}
+    colours = {(r["idx"]): (r["r"], r["g"], r["b"]) for r in made.collect()}
+    assert set(colours) == {new[k] for k in changed} and all(0x30 < r < 0xC8 for r, _, _ in colours.values())
+    whole = spark.createDataFrame([(0, 0, 0, 0), (1, 0x30, 0x34, 0x5A), (2, 0xC8, 0xCC, 0xE0), *((i, *c) for i, c in colours.items())], "idx int, r int, g int, b int")
+    back = antialias.stripped(out, whole)
+    assert {(r["asset"], r["x"], r["y"]): r["idx"] for r in back.collect()} == old
+    assert {(r["x"], r["y"]) for r in back.where("placed").collect()} == {k[1:] for k in changed}
+    again, more = antialias.added(out, whole)
+    assert more.count() == 0 and {(r["asset"], r["x"], r["y"]): r["idx"] for r in again.collect()} == new
