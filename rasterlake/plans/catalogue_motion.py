@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rasterlake import lineage, views
-from rasterlake.operators import antialias, color, cycling, shared_palettes
+from rasterlake.operators import antialias, color, cycling, outlines, quantize, shared_palettes
 from rasterlake.registry import query
 from rasterlake.views import GREYS, PALETTE_B, canvases, palette
 
@@ -172,3 +172,70 @@ def _(s, d):
 @query("antialiased", "asset:long x:long y:long idx:long")
 def _(s, d):
     return antialias.added(canvases(s, d), palette(s, GREYS))[0]
+
+
+# Outlines --------------------------------------------------------------------------------------------
+_SHUT = "(SELECT count(*) FROM canvases o WHERE o.asset = c.asset AND o.idx <> 0 AND o.x = c.x + ({dx}) AND o.y = c.y + ({dy}))"
+_OPEN = {(dx, dy): "(1 - " + _SHUT.format(dx=dx, dy=dy) + ")" for dx, dy in outlines.SIDES}
+S["edges"] = f"SELECT *, e - w AS ox, s - n AS oy, e + w + s + n AS open FROM (SELECT asset, x, y, idx, {_OPEN[1, 0]} AS e, {_OPEN[-1, 0]} AS w, {_OPEN[0, 1]} AS s, {_OPEN[0, -1]} AS n FROM canvases c WHERE idx <> 0)"
+S["inners"] = "SELECT asset, x, y, idx, ox, oy, (SELECT arg_min(q.idx, i) FROM edges q, (VALUES (0, 1, 1), (1, 1, 0), (2, 0, 1)) t(i, sx, sy) WHERE q.asset = g.asset AND q.open = 0 AND (sx * sign(g.ox) <> 0 OR sy * sign(g.oy) <> 0) AND q.x = g.x - sx * sign(g.ox) AND q.y = g.y - sy * sign(g.oy)) AS inner_ FROM edges g WHERE open > 0"
+
+
+def _rgb(source: str) -> str:
+    roots = [f"pow({x} * l + {y} * a_ + {z} * b_, 3)" for x, y, z in quantize.TO_ROOTS]
+    lin = [" + ".join(f"{m} * {c}" for m, c in zip(row, roots)) for row in quantize.TO_LINEAR]
+    chan = [f"CAST(floor(least(greatest(CASE WHEN {c} <= 0.0031308 THEN 12.92 * ({c}) ELSE 1.055 * pow(greatest({c}, 0), 1 / 2.4) - 0.055 END, 0), 1) * 255 + 0.5) AS INTEGER)" for c in lin]
+    return "SELECT *, " + ", ".join(f"{c} AS {n}" for c, n in zip(chan, "rgb")) + f" FROM ({source})"
+
+
+_COS = "coalesce((ox * 0.6 - oy * 0.8) / nullif(sqrt(ox * ox + oy * oy), 0), 0)"
+
+
+def _wants(k: str, where: str = "true") -> str:
+    q = {c: f"(round(p.{c} / 0.12) * 0.12)" for c in ("l", "a_", "b_")}
+    return f"SELECT asset, x, y, greatest({q['l']} * ({k}), 0.02) AS l, {q['a_']} * greatest({k}, 0.5) AS a_, {q['b_']} * greatest({k}, 0.5) AS b_ FROM inners JOIN lab_pal p ON p.idx = inner_ WHERE {where}"
+
+
+S["tints"] = _rgb(_wants("0.45"))
+S["shade_all"] = _rgb("SELECT u.asset, qx AS x, qy AS y, l, a_, b_, u.y AS py, u.x AS px, i FROM (SELECT w.*, w.x + dx AS qx, w.y + dy AS qy, i FROM (" + _wants(f"0.45 + 0.275 * greatest(0, least(1, {_COS}))", f"{_COS} <= 0") + ") w, (VALUES (0, 1, 0), (1, -1, 0), (2, 0, 1), (3, 0, -1)) t(i, dx, dy)) u JOIN canvases c ON c.asset = u.asset AND c.x = qx AND c.y = qy AND c.idx = 0")
+S["shades"] = "SELECT asset, x, y, r, g, b FROM shade_all QUALIFY row_number() OVER (PARTITION BY asset, x, y ORDER BY py DESC, px DESC, i DESC) = 1"
+_TOP = "SELECT asset, k, r, g, b, tl, ta, tb FROM (" + _rgb("SELECT asset, l, a_, b_, l AS tl, a_ AS ta, b_ AS tb, row_number() OVER (PARTITION BY asset ORDER BY n DESC, l, a_, b_) AS k FROM (SELECT asset, round(l, 4) AS l, round(a_, 4) AS a_, round(b_, 4) AS b_, count(*) AS n FROM {wants} GROUP BY ALL)") + ") WHERE k <= 2 AND NOT EXISTS (SELECT 1 FROM lab_pal p WHERE idx <> 0 AND sqrt(pow(tl - p.l, 2) + pow(ta - p.a_, 2) + pow(tb - p.b_, 2)) <= 0.03)"
+
+
+def _outline_views(name: str, wants: str, counted: str) -> None:
+    S[f"{name}_top"] = "SELECT z.*, t.l, t.a_, t.b_ FROM (" + _TOP.format(wants=counted) + ") z JOIN (" + color.oklab_sql("(SELECT DISTINCT r, g, b FROM (" + _TOP.format(wants=counted) + "))") + ") t ON t.r = z.r AND t.g = z.g AND t.b = z.b"
+    S[f"{name}_new"] = f"SELECT asset, row_number() OVER (PARTITION BY asset ORDER BY k) + 15 AS idx, r, g, b, l, a_, b_ FROM {name}_top z WHERE NOT EXISTS (SELECT 1 FROM {name}_top o WHERE o.asset = z.asset AND o.k < z.k AND sqrt(pow(o.l - z.tl, 2) + pow(o.a_ - z.ta, 2) + pow(o.b_ - z.tb, 2)) <= 0.03)"
+    S[f"{name}_px"] = (
+        f"SELECT c.asset, c.x, c.y, coalesce(n.idx, c.idx) AS idx FROM canvases c LEFT JOIN {wants} w USING (asset, x, y) LEFT JOIN (SELECT asset, r, g, b, arg_min(idx, [d, idx]) AS idx FROM (SELECT t.asset, t.r, t.g, t.b, p.idx, round(pow(t.l - p.l, 2) + pow(t.a_ - p.a_, 2) + pow(t.b_ - p.b_, 2), 12) AS d FROM "
+        f"(SELECT u.asset, v.* FROM (SELECT DISTINCT asset, r, g, b FROM {wants}) u JOIN (" + color.oklab_sql(f"(SELECT DISTINCT r, g, b FROM {wants})") + f") v ON v.r = u.r AND v.g = u.g AND v.b = u.b) t JOIN (SELECT NULL AS asset, idx, l, a_, b_ FROM lab_pal WHERE idx <> 0 UNION ALL SELECT asset, idx, l, a_, b_ FROM {name}_new) p ON p.asset IS NULL OR p.asset = t.asset) GROUP BY ALL) n ON n.asset = w.asset AND n.r = w.r AND n.g = w.g AND n.b = w.b"
+    )
+
+
+_outline_views("tint", "tints", "tints")
+_outline_views("shade", "shades", "shade_all")
+_EDGES = "canvases pal lab_pal edges inners"
+
+
+@query("outline_inward", "asset:long x:long y:long ox:long oy:long inner_:long", "SELECT asset, x, y, ox, oy, inner_ FROM inners", _EDGES)
+def _(s, d):
+    return outlines.inward(canvases(s, d)).withColumnRenamed("inner", "inner_")
+
+
+@query("outline_removed", "asset:long x:long y:long idx:long", "SELECT c.asset, c.x, c.y, coalesce(inner_, c.idx) AS idx FROM canvases c LEFT JOIN inners USING (asset, x, y)", _EDGES)
+def _(s, d):
+    return outlines.outlined(canvases(s, d), palette(s), "none")[0]
+
+
+@query("outline_tinted", "asset:long x:long y:long idx:long", "SELECT * FROM tint_px", f"{_EDGES} tints tint_top tint_new tint_px")
+def _(s, d):
+    return outlines.outlined(canvases(s, d), palette(s), "tinted", most=2)[0]
+
+
+@query("outline_colours", "asset:long idx:long r:long g:long b:long", "SELECT asset, idx, r, g, b FROM tint_new", f"{_EDGES} tints tint_top tint_new")
+def _(s, d):
+    return outlines.outlined(canvases(s, d), palette(s), "tinted", most=2)[1]
+
+
+@query("outline_shaded", "asset:long x:long y:long idx:long", "SELECT * FROM shade_px", f"{_EDGES} shade_all shades shade_top shade_new shade_px")
+def _(s, d):
+    return outlines.outlined(canvases(s, d), palette(s), "shaded", outer=True, selective=True, most=2)[0]

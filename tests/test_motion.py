@@ -130,3 +130,38 @@ def test_antialiasing_is_added_at_the_ends_of_steps_and_goes_again(spark):
     assert {(r["x"], r["y"]) for r in back.where("placed").collect()} == {k[1:] for k in changed}
     again, more = antialias.added(out, whole)
     assert more.count() == 0 and {(r["asset"], r["x"], r["y"]): r["idx"] for r in again.collect()} == new
+
+
+def test_outlines_of_a_square_by_hand(spark):
+    from rasterlake.operators import outlines
+
+    pal = spark.createDataFrame([(0, 0, 0, 0), (1, 0xC0, 0x70, 0x40), (2, 0xE0, 0xA0, 0x60)], "idx int, r int, g int, b int")
+    v = np.zeros((7, 7), dtype=int)
+    v[1:6, 1:6] = 2
+    v[2:5, 2:5] = 1
+    thin = np.zeros((4, 5), dtype=int)
+    thin[1, 1:4] = 1
+    px = canvas(spark, v, thin).cache()
+
+    def drawn(*args, **kw):
+        out, new = outlines.outlined(px, pal, *args, **kw)
+        g = {0: np.zeros((7, 7), int), 1: np.zeros((4, 5), int)}
+        for r in out.collect():
+            g[r["asset"]][r["y"], r["x"]] = r["idx"]
+        return g, {(r["asset"], r["idx"]): (r["r"], r["g"], r["b"]) for r in new.collect()}
+
+    got, new = drawn("none")
+    assert not new and (got[0][1:6, 1:6] == 1).all() and (got[1] == thin).all()  # nothing lies inside a thin line
+    got, new = drawn("black")
+    assert new == {(0, 3): (0, 0, 0)} and (got[0][1, 1:6] == 3).all() and (got[0][2:5, 2:5] == 1).all() and (got[1] == thin).all()
+    got, new = drawn("black", most=0)
+    assert not new and set(got[0][1]) == {0, 1}  # the nearest entry there is
+    got, new = drawn("tinted", outer=True)
+    assert (got[0][0, 1:6] == 3).all() and got[0][0, 0] == 0 and (got[0][1:6, 1:6] == v[1:6, 1:6]).all() and len(new) == 1
+    got, _ = drawn("tinted", selective=True, light=(0.0, -1.0))
+    assert (got[0][1, 1:6] == 2).all() and (got[0][5, 1:6] == 3).all() and got[0][3, 1] == 3
+    dark, pale = (drawn("contrast", bright=b)[1][0, 3] for b in (True, False))
+    assert sum(dark) < 0xC0 + 0x70 + 0x40 < sum(pale)
+    assert len(drawn("shaded")[1]) > 1
+    with pytest.raises(ValueError):
+        outlines.outlined(px, pal, "dotted")
