@@ -71,7 +71,7 @@ def rule_11(lab: DataFrame, pal: DataFrame, least: int = 4, dl: float = 0.06, ke
     return _violations(bad.groupBy(*key).agg(F.count("*").alias("n")), 11, key)
 
 
-def rule_13(px: DataFrame, pal: DataFrame, w: int, h: int, limit: float = 0.85, least: int = 16, key=("asset",)) -> DataFrame:
+def rule_13(px: DataFrame, pal: DataFrame, w: int, h: int, limit: float = 0.85, least: int = 64, key=("asset",)) -> DataFrame:
     """Lightness that follows the distance from the silhouette."""
     p = pillow(px, pal, w, h, key).where((F.col("pixels") >= least) & (F.col("corr") > limit))
     return _violations(p.withColumn("n", F.lit(1)), 13, key)

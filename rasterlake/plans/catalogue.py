@@ -600,15 +600,16 @@ def _(s, d):
     return compose.stack(l, anchors, 8, 8)
 
 
-_HAVE = "SELECT DISTINCT c_nationkey AS asset, ['n', 'ne', 'e', 'se', 's', 'sw', 'w', 'nw'][CAST(CAST(floor(abs(c_acctbal)) AS BIGINT) % 13 AS INTEGER) + 1] AS direction FROM customer WHERE CAST(floor(abs(c_acctbal)) AS BIGINT) % 13 < 8 AND c_acctbal < 1000 * (c_nationkey % 4)"
+_HAVE = "SELECT DISTINCT c_custkey // 3 AS asset, ['n', 'ne', 'e', 'se', 's', 'sw', 'w', 'nw'][CAST(CAST(floor(abs(c_acctbal)) AS BIGINT) % 8 AS INTEGER) + 1] AS direction FROM customer"
 
 
 @query("missing_directions", "asset:long direction:string source:string", f"WITH have AS ({_HAVE}), m(direction, source) AS (VALUES ('ne', 'nw'), ('e', 'w'), ('se', 'sw'), ('nw', 'ne'), ('w', 'e'), ('sw', 'se'), ('n', NULL), ('s', NULL)) SELECT a.asset, m.direction, h.direction AS source FROM (SELECT DISTINCT asset FROM have) a CROSS JOIN m LEFT JOIN have h ON h.asset = a.asset AND h.direction = m.source WHERE NOT EXISTS (SELECT 1 FROM have x WHERE x.asset = a.asset AND x.direction = m.direction)")
 def _(s, d):
-    # A customer's balance stands for a drawn direction; some balances stand for none.
-    c = s.read.parquet(f"{d}/customer.parquet").withColumn("n", F.floor(F.abs("c_acctbal")).cast("long") % 13).where("n < 8 AND c_acctbal < 1000 * (c_nationkey % 4)")
+    # Three customers make an asset; each one's balance stands for a drawn direction.
+    c = s.read.parquet(f"{d}/customer.parquet")
+    n = F.floor(F.abs("c_acctbal")).cast("long") % 8
     names = F.array(*map(F.lit, compose.DIRECTIONS))
-    return compose.missing_directions(c.select(F.col("c_nationkey").alias("asset"), F.element_at(names, (F.col("n") + 1).cast("int")).alias("direction")).distinct())
+    return compose.missing_directions(c.select(F.expr("c_custkey div 3").alias("asset"), F.element_at(names, (n + 1).cast("int")).alias("direction")).distinct())
 
 
 @query("box_blur", "asset:long x:long y:long d:double", "SELECT c.asset, c.x, c.y, sum(s.d) / 9 AS d FROM canvases c, (SELECT unnest([-1, 0, 1]) AS dx) p, (SELECT unnest([-1, 0, 1]) AS dy) q, signed s WHERE s.asset = c.asset AND s.x = least(greatest(c.x + dx, 0), 7) AND s.y = least(greatest(c.y + dy, 0), 7) GROUP BY 1, 2, 3", "canvases signed")
@@ -647,4 +648,4 @@ def _(s, d):
     return n.withColumn("step", compose.ramp_index(compose.incidence(F.col("nx"), F.col("ny"), 0.6, 0.8), 4))
 
 
-from rasterlake.plans import catalogue_rules, catalogue_replay, catalogue_paint, catalogue_grid, catalogue_place, catalogue_colour, catalogue_motion  # noqa: E402, F401  register further queries
+from rasterlake.plans import catalogue_rules, catalogue_replay, catalogue_paint, catalogue_grid, catalogue_place, catalogue_colour, catalogue_motion, catalogue_report  # noqa: E402, F401  register further queries
