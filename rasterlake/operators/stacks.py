@@ -81,6 +81,21 @@ def per_canvas(px: DataFrame, work: Callable[[np.ndarray], dict[str, np.ndarray]
 
     Rows of a result that are NaN in the last column are left out.
     """
+
+    def rows(stack: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        made = work(stack)
+        if not made:
+            return np.zeros(0, dtype=int), made
+        m = next(iter(made.values())).shape[1]
+        flat = {n: v.reshape(-1) for n, v in made.items()}
+        keep = ~np.isnan(flat[columns.split(",")[-1].split()[0]].astype(float))
+        return np.repeat(np.arange(len(stack)), m)[keep], {n: v[keep] for n, v in flat.items()}
+
+    return rows_of(px, rows, columns, key, value)
+
+
+def rows_of(px: DataFrame, work: Callable[[np.ndarray], tuple[np.ndarray, dict[str, np.ndarray]]], columns: str, key=("asset",), value: str = "idx") -> DataFrame:
+    """(keys, columns): ``work`` gets a stack (NaN: no value) and gives the canvas of each row of the result, and the rows by column; columns: ``name type, ...``."""
     cell = F.array_sort(F.collect_list(F.struct("y", "x", F.col(value).cast("double").alias("v"))))
     wide = px.groupBy(*key).agg(cell.alias("c"))
 
@@ -101,15 +116,11 @@ def per_canvas(px: DataFrame, work: Callable[[np.ndarray], dict[str, np.ndarray]
                 stack = np.full((len(rows), h, w), np.nan)
                 for j, i in enumerate(rows):
                     stack[j, ys[i], xs[i]] = vs[i]
-                made = work(stack)
-                m = next(iter(made.values())).shape[1] if made else 0
-                if not m:
+                of, made = work(stack)
+                if not len(of):
                     continue
-                of = np.repeat(np.array(rows), m)
-                flat = {n: made[n].reshape(-1) for n in kinds}
-                keep = ~np.isnan(list(flat.values())[-1].astype(float))
-                out = [batch.column(k).take(pa.array(of[keep])) for k in key]
-                yield pa.RecordBatch.from_arrays([*out, *(pa.array(flat[n][keep].astype(arrow[t].to_pandas_dtype()), arrow[t]) for n, t in kinds.items())], names=[*key, *kinds])
+                keys = [batch.column(k).take(pa.array(np.array(rows)[of])) for k in key]
+                yield pa.RecordBatch.from_arrays([*keys, *(pa.array(made[n].astype(arrow[t].to_pandas_dtype()), arrow[t]) for n, t in kinds.items())], names=[*key, *kinds])
 
     schema = T.StructType([*(wide.schema[k] for k in key), *T._parse_datatype_string(columns).fields])
     return wide.mapInArrow(run, schema)
