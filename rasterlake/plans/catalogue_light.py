@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterlake import views
 from rasterlake.operators import lighting
 from rasterlake.registry import query
-from rasterlake.views import canvases
+from rasterlake.views import canvases, palette
 
 S = views.SQL
 LAMPS = [((-4.0, -6.0), (12.0, -6.0), 0.7), ((-5.0, 2.0), (-5.0, 4.0), 0.4)]
@@ -70,3 +72,86 @@ _HOLLOW = f"SELECT asset, x - 3 AS x, y - 3 AS y, {_zero('curvature')} FROM ({_s
 @query("hollows", "asset:long x:long y:long curvature:double", _HOLLOW, "canvases padded far far_soft far_softer")
 def _(s, d):
     return _signless(lighting.hollows(canvases(s, d), 8, 8, 2), "curvature")
+
+
+# Shading -------------------------------------------------------------------------------------------
+MODEL = lighting.Model([9, 10, 7], [1, 5, 13, 12], [2, 4], 3)
+SUN, POINT, BOX = lighting.Lamp("directional", (0.6, 0.8)), lighting.Lamp("point", (3.0, -2.0), 12.0), lighting.Lamp("area", (-4.0, -6.0, 16.0, 2.0), 0.6)
+HOLLOW = 0.25
+_PX, _PY = "(x + 0.5)", "(y + 0.5)"
+
+
+def _ramp(ramp: list[int], t: str) -> str:
+    return f"{ramp}[1 + CASE WHEN {t} >= 1 - 1e-5 THEN {len(ramp) - 1} ELSE greatest(0, least(CAST(floor(round(({t}) * {len(ramp) - 1}, 9)) AS INTEGER), {len(ramp) - 1})) END]"
+
+
+def _shaded(cos: str, light: str, hollow: str = "", p: str = "") -> str:
+    below = f"SELECT m.asset, m.x, m.y, min(k) - 1 AS bounce FROM {p}canvases m, (VALUES (1), (2)) t(k) WHERE m.idx <> 0 AND NOT EXISTS (SELECT 1 FROM {p}canvases b WHERE b.asset = m.asset AND b.x = m.x AND b.y = m.y + k AND b.idx <> 0) GROUP BY ALL"
+    made = f"CASE WHEN nx IS NULL THEN {MODEL.occlusion} {hollow} WHEN cos > 0 THEN {_ramp(MODEL.key, 'least(light, 1)')} WHEN cos IS NOT NULL AND bounce IS NOT NULL THEN {_ramp(MODEL.bounce, '1 - bounce / 2')} ELSE {_ramp(MODEL.shadow, 'coalesce(1 + cos, 0.5)')} END"
+    bent = f"LEFT JOIN ({_HOLLOW}) h USING (asset, x, y)" if hollow else ""
+    return f"SELECT asset, x, y, CASE WHEN idx = 0 THEN 0 ELSE {made} END AS idx FROM (SELECT *, {light} AS light FROM (SELECT *, {cos} AS cos FROM {p}canvases JOIN {p}normals USING (asset, x, y))) LEFT JOIN ({below}) b USING (asset, x, y) {bent}"
+
+
+_SUN = f"round(nx * {SUN.at[0]} + ny * {SUN.at[1]}, 9)"
+
+
+def _way(x: float, y: float) -> str:
+    return f"round(-(nx * ({x} - {_PX}) + ny * ({y} - {_PY})) / sqrt(({x} - {_PX}) * ({x} - {_PX}) + ({y} - {_PY}) * ({y} - {_PY})), 9)"
+
+
+@query("shaded_sun", "asset:long x:long y:long idx:long", _shaded(_SUN, "cos", f"WHEN curvature < -{HOLLOW} THEN {MODEL.occlusion}"), f"{_NORMALS} padded far far_soft far_softer")
+def _(s, d):
+    return lighting.shaded(canvases(s, d), 8, 8, SUN, MODEL, hollow=HOLLOW, hollow_passes=2)
+
+
+_FALL = f"CASE WHEN cos > 0 THEN {POINT.intensity} / (({POINT.at[0]} - {_PX}) ** 2 + ({POINT.at[1]} - {_PY}) ** 2) ELSE 0 END"
+
+
+@query("shaded_point", "asset:long x:long y:long idx:long", _shaded(_way(*POINT.at), _FALL), _NORMALS)
+def _(s, d):
+    return lighting.shaded(canvases(s, d), 8, 8, POINT, MODEL)
+
+
+_EDGES = ", ".join(f"coalesce({BOX.intensity} * abs(sin({_seen((BOX.at[0] + BOX.at[2], y))}) - sin({_seen((BOX.at[0], y))})), 0)" for y in (BOX.at[1], BOX.at[1] + BOX.at[3]))
+
+
+@query("shaded_area", "asset:long x:long y:long idx:long", _shaded(_way(BOX.at[0] + BOX.at[2] / 2, BOX.at[1] + BOX.at[3] / 2), f"greatest({_EDGES})"), _NORMALS)
+def _(s, d):
+    return lighting.shaded(canvases(s, d), 8, 8, BOX, MODEL)
+
+
+@query("shaded_ambient", "asset:long x:long y:long idx:long", _shaded("CAST(NULL AS DOUBLE)", "CAST(NULL AS DOUBLE)"), _NORMALS)
+def _(s, d):
+    return lighting.shaded(canvases(s, d), 8, 8, lighting.Lamp("ambient"), MODEL)
+
+
+# Directions ----------------------------------------------------------------------------------------
+_CHAIN = _NORMALS.split()[1:]
+S["m_canvases"] = "SELECT asset, 7 - x AS x, y, idx FROM canvases"
+for _v in _CHAIN:
+    S[f"m_{_v}"] = re.sub(rf"\b({'|'.join(['canvases', *_CHAIN])})\b", r"m_\1", S[_v])
+_MIRRORED = " ".join(["canvases", "m_canvases", *(f"m_{v}" for v in _CHAIN)])
+S["again"] = _shaded(_SUN, "cos", p="m_")
+
+
+@query("reshaded", "asset:long x:long y:long idx:long", "SELECT * FROM again", f"{_MIRRORED} again")
+def _(s, d):
+    return lighting.reshaded(canvases(s, d), 8, 8, SUN, MODEL)
+
+
+@query("reshaded_share", "asset:long share:double", "SELECT asset, avg(CAST(a.idx <> m.idx AS INTEGER)) AS share FROM m_canvases m JOIN again a USING (asset, x, y) WHERE m.idx <> 0 GROUP BY asset", f"{_MIRRORED} again")
+def _(s, d):
+    px, pal = canvases(s, d), palette(s)
+    return lighting.reshaded_share(px, lighting.reshaded(px, 8, 8, SUN, MODEL), 8, pal, pal)
+
+
+#: Three canvases make an actor; each one's number stands for the direction it was drawn in.
+S["drawn"] = "SELECT asset // 3 AS actor, ['n', 'ne', 'e', 'se', 's', 'sw', 'w', 'nw'][1 + asset * 5 % 8] AS direction, x, y, idx FROM canvases"
+_PAIRS = ", ".join(f"('{a}', '{b}')" for a, b in lighting.compose.MIRRORED.items())
+
+
+@query("expanded_directions", "actor:long direction:string x:long y:long idx:long source:string", f"SELECT *, NULL AS source FROM drawn UNION ALL SELECT actor, m.b AS direction, 7 - x, y, idx, m.a FROM drawn d JOIN (VALUES {_PAIRS}) m(a, b) ON m.a = d.direction WHERE NOT EXISTS (SELECT 1 FROM drawn o WHERE o.actor = d.actor AND o.direction = m.b)", "canvases drawn")
+def _(s, d):
+    names = F.array(*map(F.lit, lighting.compose.DIRECTIONS))
+    px = canvases(s, d).select(F.expr("asset div 3").alias("actor"), F.element_at(names, (F.col("asset") * 5 % 8 + 1).cast("int")).alias("direction"), "x", "y", "idx")
+    return lighting.expanded(px, 8, ("actor",))
