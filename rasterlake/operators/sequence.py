@@ -128,11 +128,15 @@ def dither_in_motion(px: DataFrame, opts: dict, limit: float = 0.10, slack: int
 
 
 def new_columns(px: DataFrame, least: int = 2, key=("asset",)) -> DataFrame:
-    """How many vertical runs of pixels that the frame before doesn't have, centres laid on each other, are shorter than ``least``."""
+    """How many vertical runs of pixels that the frame before doesn't have, centres laid on each other, are shorter than ``least``.
+
+    Frames whose box isn't as large as the one before are not judged: there shapes stretch.
+    """
     k = (*key, "frame")
     c = centres(px, key)
     own = canvas.opaque(px).join(c.select(*k, "cx", "cy"), list(k)).select(*k, (F.col("x") - F.col("cx")).alias("x"), (F.col("y") - F.col("cy")).alias("y"))
-    follows = c.select(*key, (F.col("frame") + 1).alias("frame"))
+    follows = c.select(*key, (F.col("frame") + 1).alias("frame"), F.col("w").alias("_w"), F.col("h").alias("_h"))
+    follows = c.join(follows, list(k)).where("w = _w AND h = _h").select(*k)
     new = own.join(follows, list(k), "left_semi").join(own.withColumn("frame", F.col("frame") + 1), [*k, "x", "y"], "left_anti")
     col = Window.partitionBy(*k, "x").orderBy("y")
     runs_ = new.withColumn("g", F.col("y") - F.row_number().over(col)).groupBy(*k, "x", "g").agg(F.count("*").alias("n")).where(F.col("n") < least)

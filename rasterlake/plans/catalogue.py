@@ -648,4 +648,4 @@ def _(s, d):
     return n.withColumn("step", compose.ramp_index(compose.incidence(F.col("nx"), F.col("ny"), 0.6, 0.8), 4))
 
 
-from rasterlake.plans import catalogue_rules, catalogue_replay, catalogue_paint, catalogue_grid, catalogue_place, catalogue_colour, catalogue_motion, catalogue_report, catalogue_light, catalogue_smooth, catalogue_autotile  # noqa: E402, F401  register further queries
+from rasterlake.plans import catalogue_rules, catalogue_replay, catalogue_paint, catalogue_grid, catalogue_place, catalogue_colour, catalogue_motion, catalogue_report, catalogue_light, catalogue_smooth, catalogue_autotile, catalogue_haze  # noqa: E402, F401  register further queries

@@ -138,7 +138,7 @@ def _(s, d):
     return sequence.dither_in_motion(frames(s, d), SMALL, slack=1)
 
 
-@query("lint_seq_25", "asset:long frame:long orphans:long", "WITH a AS (SELECT f.asset, f.frame, f.x - c.cx AS x, f.y - c.cy AS y FROM frames f JOIN centres c ON c.asset = f.asset AND c.frame = f.frame WHERE f.idx <> 0), n AS (SELECT a.* FROM a JOIN centres c ON c.asset = a.asset AND c.frame = a.frame - 1 LEFT JOIN a b ON b.asset = a.asset AND b.frame = a.frame - 1 AND b.x = a.x AND b.y = a.y WHERE b.asset IS NULL), g AS (SELECT asset, frame, x, y - row_number() OVER (PARTITION BY asset, frame, x ORDER BY y) AS g FROM n) SELECT asset, frame, count(*) AS orphans FROM (SELECT asset, frame, x, g FROM g GROUP BY ALL HAVING count(*) < 2) GROUP BY 1, 2", "canvases frames centres")
+@query("lint_seq_25", "asset:long frame:long orphans:long", "WITH a AS (SELECT f.asset, f.frame, f.x - c.cx AS x, f.y - c.cy AS y FROM frames f JOIN centres c ON c.asset = f.asset AND c.frame = f.frame WHERE f.idx <> 0), n AS (SELECT a.* FROM a JOIN centres c ON c.asset = a.asset AND c.frame = a.frame - 1 JOIN centres e ON e.asset = a.asset AND e.frame = a.frame AND e.w = c.w AND e.h = c.h LEFT JOIN a b ON b.asset = a.asset AND b.frame = a.frame - 1 AND b.x = a.x AND b.y = a.y WHERE b.asset IS NULL), g AS (SELECT asset, frame, x, y - row_number() OVER (PARTITION BY asset, frame, x ORDER BY y) AS g FROM n) SELECT asset, frame, count(*) AS orphans FROM (SELECT asset, frame, x, g FROM g GROUP BY ALL HAVING count(*) < 2) GROUP BY 1, 2", "canvases frames centres")
 def _(s, d):
     return sequence.new_columns(frames(s, d))
 
