@@ -12,8 +12,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of (long) keys up to which a key table is broadcast; beyond it joins shuffle.
-BROADCAST_KEYS = 500_000
+#: Rows up to which a table of a few longs, and one of narrow keys, is broadcast; beyond it joins shuffle.
+BROADCAST_KEYS, NARROW_KEYS = 200_000, 500_000
+#: How many times its file's size a scratch table may take in memory: sorted keys and equal values nearly vanish in files.
+UNPACKED = 16
 #: Rows and bytes in one Arrow batch at most.
 BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 #: Copies of a key in a salted join; rows of a key, and number of keys, from which a skewed join broadcasts keys.
@@ -21,9 +23,13 @@ SALTS, HOT_ROWS, HOT_KEYS = 16, 2000, 100_000
 
 
 def ready(spark: SparkSession) -> None:
-    """Bound the Arrow batches that Python workers get."""
+    """Bound the Arrow batches that Python workers get, and what the driver broadcasts unasked.
+
+    Spark takes a file's size for its table's, so it would broadcast compressed tables of many times its threshold.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.sources.fileCompressionFactor", str(UNPACKED))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,7 +77,7 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def sized(df: DataFrame, bound: int = BROADCAST_KEYS) -> DataFrame:
+def sized(df: DataFrame, bound: int = NARROW_KEYS) -> DataFrame:
     """A stored table of narrow keys, marked for broadcast if it has at most ``bound`` rows."""
     return F.broadcast(df) if df.count() <= bound else df
 

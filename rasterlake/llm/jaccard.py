@@ -252,7 +252,7 @@ def _torn_entries(docs: DataFrame, torn: DataFrame, k: int, heavy) -> DataFrame:
             token, pos, of, size = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((token, np.uint64), (pos, np.int32), (of, np.int64), (size, np.int32)))
             yield pa.RecordBatch.from_arrays([_i(token), batch.column("node").take(pa.array(of)), pa.array(size), pa.array(pos), batch.column("label").take(pa.array(of))], names=["token", "gid", "n", "pos", "label"])
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(common.sized(torn), F.col("doc_id").eqNullSafe(F.col("low")))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(common.sized(torn, common.BROADCAST_KEYS), F.col("doc_id").eqNullSafe(F.col("low")))
     return own.select("text", "s1", "s2", "gid", "node", "label").mapInArrow(run, "token long, gid long, n int, pos int, label long").distinct()
 
 
@@ -268,7 +268,7 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int) -> D
     hubs = dealt.select("a", "block").distinct().select(F.col("a").alias("node"), "a", "block", F.lit(None).cast("long").alias("b"))
     sent = hubs.unionByName(dealt.select(F.col("b").alias("node"), "a", "block", "b"))
     wanted = common.stored(sent.join(classes, "node").select("low", "s1", "s2", "a", "block", "b"), "wanted")
-    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(common.sized(wanted), F.col("doc_id").eqNullSafe(F.col("low")))
+    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(common.sized(wanted, common.BROADCAST_KEYS), F.col("doc_id").eqNullSafe(F.col("low")))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, mine = None, np.zeros(0, np.uint64)
@@ -363,7 +363,7 @@ def near_duplicates_removed(docs: DataFrame, k: int = 5) -> DataFrame:
     kept = stay.select(*names)
     other = rows.select("doc_id", "x1", "x2").distinct()
     gone = other.join(kept, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("x1") == F.col("_x1")) & (F.col("x2") == F.col("_x2")), "left_anti")
-    gone = common.sized(common.stored(gone.select(*names), "near-duplicates"))
+    gone = common.sized(common.stored(gone.select(*names), "near-duplicates"), common.BROADCAST_KEYS)
     x1, x2 = _text_hashes()
     same = docs["doc_id"].cast("long").eqNullSafe(F.col("_doc_id")) & (x1 == F.col("_x1")) & (x2 == F.col("_x2"))
     left = docs.join(gone, same, "left_anti")

@@ -628,3 +628,13 @@ def test_jaccard_follows_a_long_chain_of_versions(spark):
     rows = [(ids[i], t, s) for i, t, s in rows]
     got = {x["component_id"] for x in jaccard.jaccard_components(make(spark, rows)).collect()}
     assert got == {min(ids)}
+
+
+def test_compressed_tables_are_not_broadcast_unasked(spark):
+    """A scratch table that its codec makes small isn't small for the driver."""
+    common.ready(spark)
+    keys = common.stored(spark.range(2_000_000).selectExpr("id div 1000 AS k", "id div 4 AS v"), "keys")
+    plan = spark.range(10_000_000).withColumnRenamed("id", "v").join(keys, "v")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan
+    small = common.stored(spark.range(50).withColumnRenamed("id", "v"), "few")
+    assert "BroadcastHashJoin" in spark.range(10_000_000).withColumnRenamed("id", "v").join(small, "v")._jdf.queryExecution().executedPlan().toString()
