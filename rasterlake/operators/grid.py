@@ -22,7 +22,7 @@ def _variance(v: np.ndarray, s: int, dx: int, dy: int) -> np.ndarray:
     c = _cells(v, s, dx, dy)
     if not c.shape[1] * c.shape[2]:
         return np.full(len(v), np.nan)
-    own = c.var(axis=3)
+    own = (c * c).sum(axis=3) / (s * s) - (c.sum(axis=3) / (s * s)) ** 2  # whole numbers: sums are exact, so equal cells give equal bits
     whole = ~np.isnan(own)
     return np.where(whole, own, 0).sum(axis=(1, 2)) / np.where(whole.any(axis=(1, 2)), whole.sum(axis=(1, 2)), np.nan)
 
@@ -44,8 +44,8 @@ def cell_variance(px: DataFrame, largest: int, key=("asset",)) -> DataFrame:
 
 
 def best_phase(variance: DataFrame, key=("asset",)) -> DataFrame:
-    """The phase of least variance of each size; ties go to the first by dy, dx."""
-    m = F.min(F.struct(F.round("v", 9).alias("v"), "dy", "dx"))
+    """The phase of least variance (by nine digits) of each size; ties go to the first by dy, dx."""
+    m = F.min(F.struct(F.round("v", 9).alias("near"), "dy", "dx", "v"))
     return variance.groupBy(*key, "s").agg(m.alias("m")).select(*key, "s", F.col("m.dx").alias("dx"), F.col("m.dy").alias("dy"), F.col("m.v").alias("v"))
 
 
@@ -60,7 +60,20 @@ def confidence(best: DataFrame, image: DataFrame, share: float = 0.9, key=("asse
 
 
 def image_variance(px: DataFrame, key=("asset",)) -> DataFrame:
-    return px.groupBy(*key).agg(F.var_pop("idx").alias("iv"))
+    """(keys, iv): by Welford's updates in reading order, so that a canvas has one result whatever the order of its rows; a share of it may tie with a cell variance."""
+
+    def work(v: np.ndarray) -> dict[str, np.ndarray]:
+        n, mean, squares = (np.zeros(len(v)) for _ in range(3))
+        for x in v.reshape(len(v), -1).T:
+            there = ~np.isnan(x)
+            n = n + there
+            off = np.where(there, x - mean, 0.0)
+            after = mean + off / np.maximum(n, 1)
+            squares = squares + np.where(there, (x - after) * off, 0.0)
+            mean = after
+        return {"iv": np.where(n > 0, squares / np.maximum(n, 1), np.nan)[:, None]}
+
+    return stacks.per_canvas(px, work, "iv double", key)
 
 
 def autocorrelation(px: DataFrame, largest: int, key=("asset",)) -> DataFrame:
