@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rasterlake.operators import color, grid
+from rasterlake.operators import color, grid, stacks
 
 _TINY = 1.1920929e-07
 
@@ -106,6 +106,7 @@ def curves(px: DataFrame, gates: Gates = Gates(), key=("asset",)) -> DataFrame:
 
     by_x, by_y: the phase curves of bands of columns and of rows; null where the bands would be too thin.
     """
+    stacks.bounded(px)
     cell = F.array_sort(F.collect_list(F.struct("y", "x", (F.col("r") * 65536 + F.col("g") * 256 + F.col("b")).cast("int").alias("c"))))
     wide = px.groupBy(*key).agg(cell.alias("p"))
     wide = wide.select(*key, *[F.expr(f"transform(p, v -> v.{f})").alias(f"_{f}") for f in "xyc"])
@@ -118,7 +119,7 @@ def curves(px: DataFrame, gates: Gates = Gates(), key=("asset",)) -> DataFrame:
             sizes: dict[tuple[int, int], list[int]] = {}
             for i, (x, y) in enumerate(zip(xs, ys)):
                 sizes.setdefault((int(y.max()) + 1, int(x.max()) + 1), []).append(i)
-            for (h, w), rows in sizes.items():
+            for (h, w), rows in stacks.parts(sizes):
                 stack = np.zeros((len(rows), h, w, 3), np.uint8)
                 for j, i in enumerate(rows):
                     for k in range(3):

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rasterlake.operators import color, quantize
+from rasterlake.operators import color, quantize, stacks
 
 #: Bins of lightness, green to red and blue to yellow, and the range of each over all sRGB colours.
 BINS = (32, 16, 16)
@@ -107,6 +107,7 @@ def means(lab: np.ndarray, weight: np.ndarray, start: np.ndarray, rounds: int =
 
 def _per_picture(rows: DataFrame, fields: list[str], work: Callable[[np.ndarray], np.ndarray], key) -> DataFrame:
     """(keys, l, a_, b_): ``work`` gets a picture's rows, in order, as an array and gives its centres."""
+    stacks.bounded(rows)
     wide = rows.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("p"))
     wide = wide.select(*key, *[F.expr(f"transform(p, v -> cast(v.{f} as double))").alias(f"_{f}") for f in fields])
     schema = T.StructType([*(wide.schema[k] for k in key), *(T.StructField(c, T.DoubleType()) for c in ("l", "a_", "b_"))])

@@ -1,6 +1,7 @@
 """Kernels over whole canvases: canvases of one size are stacked and worked on together, inside one Arrow stage.
 
-A canvas is a bounded group (the pixels of one key), so it travels as one row of arrays.
+A canvas is a bounded group (the pixels of one key), so it travels as one row of arrays. Batches and
+stacks are bounded, so a worker's memory grows neither with the table nor with a partition.
 """
 
 from __future__ import annotations
@@ -17,11 +18,30 @@ _ARROW = {"int": pa.int32(), "double": pa.float64()}
 _SPARK = {"int": T.IntegerType(), "double": T.DoubleType()}
 
 
+#: Cells of a stack at most (one canvas at least); rows and bytes of an Arrow batch.
+CELLS, BATCH_ROWS, BATCH_BYTES = 1 << 16, 2000, 4 << 20
+
+
+def bounded(df: DataFrame) -> None:
+    """Bound the Arrow batches that Python workers get."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def parts(sizes: dict[tuple[int, int], list[int]]) -> Iterator[tuple[tuple[int, int], list[int]]]:
+    """Canvases by size, in stacks of at most ``CELLS`` cells."""
+    for (h, w), rows in sizes.items():
+        step = max(1, CELLS // (h * w))
+        for i in range(0, len(rows), step):
+            yield (h, w), rows[i : i + step]
+
+
 def on_stacks(px: DataFrame, work: Callable[[np.ndarray], np.ndarray], out: str, kind: str = "int", key=("asset",), value: str = "idx", none: float = -1) -> DataFrame:
     """(keys, x, y, idx, ``out``): ``work`` gets a stack (canvas, row, column) of a value and gives as large a stack.
 
     Null values and places without a pixel are ``none`` there.
     """
+    bounded(px)
     cell = F.array_sort(F.collect_list(F.struct("y", "x", F.coalesce(F.col(value).cast("double"), F.lit(float(none))).alias("v"), F.col("idx").cast("int").alias("idx"))))
     wide = px.groupBy(*key).agg(cell.alias("c"))
 
@@ -37,7 +57,7 @@ def on_stacks(px: DataFrame, work: Callable[[np.ndarray], np.ndarray], out: str,
             sizes: dict[tuple[int, int], list[int]] = {}
             for i, (x, y) in enumerate(zip(xs, ys)):
                 sizes.setdefault((int(y.max()) + 1, int(x.max()) + 1), []).append(i)
-            for (h, w), rows in sizes.items():
+            for (h, w), rows in parts(sizes):
                 stack = np.full((len(rows), h, w), none, dtype=np.float64)
                 for j, i in enumerate(rows):
                     stack[j, ys[i], xs[i]] = vs[i]
@@ -96,6 +116,7 @@ def per_canvas(px: DataFrame, work: Callable[[np.ndarray], dict[str, np.ndarray]
 
 def rows_of(px: DataFrame, work: Callable[[np.ndarray], tuple[np.ndarray, dict[str, np.ndarray]]], columns: str, key=("asset",), value: str = "idx") -> DataFrame:
     """(keys, columns): ``work`` gets a stack (NaN: no value) and gives the canvas of each row of the result, and the rows by column; columns: ``name type, ...``."""
+    bounded(px)
     cell = F.array_sort(F.collect_list(F.struct("y", "x", F.col(value).cast("double").alias("v"))))
     wide = px.groupBy(*key).agg(cell.alias("c"))
 
@@ -112,7 +133,7 @@ def rows_of(px: DataFrame, work: Callable[[np.ndarray], tuple[np.ndarray, dict[s
             sizes: dict[tuple[int, int], list[int]] = {}
             for i, (x, y) in enumerate(zip(xs, ys)):
                 sizes.setdefault((int(y.max()) + 1, int(x.max()) + 1), []).append(i)
-            for (h, w), rows in sizes.items():
+            for (h, w), rows in parts(sizes):
                 stack = np.full((len(rows), h, w), np.nan)
                 for j, i in enumerate(rows):
                     stack[j, ys[i], xs[i]] = vs[i]
