@@ -179,6 +179,7 @@ def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
 
     @F.arrow_udf("double")
     def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        text.let_go()
         own = Model()
         own.p = sent.value
         for t in texts:

@@ -21,6 +21,8 @@ LONGEST = 71
 #: The key of the words' hash: fixed, so that all tasks and runs agree.
 _KEY = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _lean: list[bool] = []
+#: What a worker keeps from task to task for tokens; it goes when the worker turns to words.
+KEPT: dict = {}
 #: Multipliers for the words of a shingle by place, and a seed for short texts by length.
 _PLACE = np.array([pow(0xD1342543DE82EF95, i + 1, 1 << 64) for i in range(64)], dtype=np.uint64)
 
@@ -36,9 +38,26 @@ def lean() -> None:
             c = ctypes.CDLL("libc.so.6")
             c.mallopt(-3, 2 << 20)  # M_MMAP_THRESHOLD: larger arrays are mapped, and unmapped when freed
             c.mallopt(-8, 2)  # M_ARENA_MAX
-            c.malloc_trim(0)
         except (OSError, AttributeError):
             pass
+        trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system (glibc; else nothing)."""
+    try:
+        import ctypes
+
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def let_go() -> None:
+    """Drop what a worker kept for other work: workers are used again by the next stages, beside the heap that the ones before filled."""
+    if KEPT:
+        KEPT.clear()
+        trim()
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -158,6 +177,7 @@ def _block(b: np.ndarray, breaks: np.ndarray, gap=_space) -> tuple[np.ndarray, n
 
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string array and the offsets of its values (null: empty)."""
+    lean()
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
@@ -179,7 +199,7 @@ def words(column: pa.Array, gap=_space) -> tuple[np.ndarray, np.ndarray]:
 
 def spans(column: pa.Array, gap=_space) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """As ``words``, with each word's byte start and end in the concatenated texts."""
-    lean()
+    let_go()
     data, offsets = raw(column)
     hashes, starts, ends = [], [], []
     at, n = 0, len(data)

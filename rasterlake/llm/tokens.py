@@ -46,7 +46,6 @@ def _byte_letters() -> dict[int, str]:
 
 
 _BYTES = _byte_letters()
-_encoders: dict[str, Encoder] = {}
 
 
 def cuts(b: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -198,7 +197,7 @@ class Encoder:
 
 
 def encoder(path: str) -> Encoder:
-    """One for each worker process."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    """One for each worker process, until the worker turns to words."""
+    if path not in tx.KEPT:
+        tx.KEPT[path] = Encoder(path)
+    return tx.KEPT[path]

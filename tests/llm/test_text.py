@@ -52,6 +52,16 @@ CRAFTED = [thue_morse(n, *p) for n in (64, 1024, 4096) for p in ("ab", "ba")]
 SPECIAL = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>y z", " <|endoftext|>", "<|endoftext|> ", "<|endoftext|", "é <|endoftext|>é", "a\n<|endoftext|>\n b", "<<|endoftext|>>  c"]
 
 
+def test_workers_let_go_of_the_tokenizer_when_they_turn_to_words():
+    e = tokens.encoder(binary.tokenizer_path())
+    ids, _ = e.encode(pa.array(ODD, pa.string()))
+    assert tokens.encoder(binary.tokenizer_path()) is e
+    text.words(pa.array(ODD, pa.string()))
+    assert not text.KEPT
+    again = tokens.encoder(binary.tokenizer_path())
+    assert again is not e and again.encode(pa.array(ODD, pa.string()))[0].tolist() == ids.tolist()
+
+
 def test_ids_are_those_of_whole_texts(block):
     e, fresh = tokens.Encoder(binary.tokenizer_path()), Tokenizer.from_file(binary.tokenizer_path())
     r = random.Random(5)
