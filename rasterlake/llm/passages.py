@@ -3,9 +3,12 @@
 1. Texts that are equal are one text; its copies are reported against one of their documents.
 2. Seeds are runs of ``K`` words chosen by winnowing: of every ``W`` neighbouring runs the one
    of least hash, so any common run of ``K + W - 1`` words has a common seed.
-3. Seeds that texts share are joined: every occurrence meets the first occurrence in one text
-   (the least key), not all others, so matches grow in step with occurrences however many texts
-   share a passage. Counting and joining are by aggregation and a join that Spark can split.
+3. Seeds that texts share are joined, every pair of texts: under a seed of up to ``PAIRED`` texts
+   all its texts meet. Texts that share wider spread seeds alone meet under two such seeds at most
+   ``REACH`` words apart, which every chain of such seeds has; so no pair with a chain is left out,
+   and a common line of one seed makes no pairs. A pair's matches are all its shared seeds; a seed
+   that a text repeats has its first place in either text matched with every place in the other.
+   Pairs of texts grow with the square of a family whose texts all share a passage.
 4. For each pair of texts, matches on one diagonal are put together, and chained in order in both
    texts: a chain's score is its matched words less a cost for the words it skips, and the best
    predecessor of each match, of those within ``MAX_GAP`` words in both texts, comes from a tree
@@ -13,10 +16,10 @@
 5. Chains are aligned on the words themselves: ends grow while words agree, gaps are aligned
    by least edits. A passage is reported with ``MIN_WORDS`` words or more on both sides
    and an identity (agreeing words / words of the longer side) of ``IDENTITY`` or more.
-6. As that one text may hold only part of what two others share, runs of ``MIN_WORDS`` words
-   whose seeds are all shared and that no reported passage covers are hashed and joined in the
-   same way. So every occurrence of an exact run of ``MIN_WORDS`` words that stands in two
-   texts or more lies in a reported passage. For passages with changes, one text is all.
+6. Runs of ``MIN_WORDS`` words whose seeds are all shared and that no reported passage covers
+   (both texts repeat them, say) are hashed and joined, every occurrence with one. So every
+   occurrence of an exact run of ``MIN_WORDS`` words that stands in two texts or more lies in a
+   reported passage.
 
 Defined cases: null or short texts share nothing; rows that repeat a document are one; a null
 doc_id is reported as null; an empty table gives no row; other columns are ignored.
@@ -37,6 +40,8 @@ K, W, MIN_WORDS, IDENTITY, MAX_GAP, GAP_COST = 8, 12, 50, 0.8, 40, 0.1
 #: Chains with fewer words between their outer seeds can't reach MIN_WORDS; requests for slices of one text that travel together.
 LEAST_SPAN, TOGETHER = MIN_WORDS - 2 * (W - 1), 128
 MARGIN, BROADCAST_CHAINS = K + W, 200_000
+#: Texts of a seed up to which it makes pairs by itself; words between the starts of neighbouring matches of a chain at most; rows of a block of a key's texts.
+PAIRED, REACH, BLOCK = 32, MAX_GAP + K, 512
 
 
 def _sliding_min(h: np.ndarray, w: int) -> np.ndarray:
@@ -427,6 +432,65 @@ def _left_over(one: DataFrame, areas: DataFrame) -> DataFrame:
     return out
 
 
+def _close_seeds(wide: DataFrame) -> DataFrame:
+    """(h1, h2, tk): different places of wide spread seeds of a text, at most REACH words apart, in order; wide: h, tk, at."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of, first, second = [], [], []
+            for i, (h, at) in enumerate(zip(batch.column("hs"), batch.column("ats"))):
+                at = at.values
+                n = np.diff(at.offsets.to_numpy())
+                pos = at.flatten().to_numpy()
+                order = np.argsort(pos, kind="stable")
+                pos, own = pos[order], np.repeat(h.values.to_numpy(), n)[order]
+                shift, both = 1, []
+                while shift < len(pos):
+                    near = np.flatnonzero(pos[shift:] - pos[:-shift] <= REACH)
+                    if not len(near):
+                        break
+                    both.append(np.unique(np.stack([own[near], own[near + shift]], axis=1), axis=0))
+                    shift += 1
+                if both:
+                    both = np.unique(np.concatenate(both), axis=0)
+                    of.append(np.full(len(both), i))
+                    first.append(both[:, 0])
+                    second.append(both[:, 1])
+            of, first, second = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (of, first, second))
+            yield pa.RecordBatch.from_arrays([pa.array(first), pa.array(second), batch.column("tk").take(pa.array(of))], names=["h1", "h2", "tk"])
+
+    held = wide.groupBy("tk").agg(F.collect_list(F.struct("h", "at")).alias("s")).select("tk", F.col("s.h").alias("hs"), F.col("s.at").alias("ats"))
+    return held.mapInArrow(run, "h1 long, h2 long, tk long")
+
+
+def _all_pairs(keyed: DataFrame, keys: list[str]) -> DataFrame:
+    """(a, b): texts that meet under a key, a < b, distinct; a key's texts are dealt over tasks in blocks. keyed: keys, tk."""
+    size = keyed.groupBy(*keys).agg(F.count("*").alias("c")).where("c > 1").select(*keys, F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
+    dealt = keyed.join(size, keys).withColumn("own", F.pmod(F.xxhash64("tk"), F.col("blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    x = dealt.select(*keys, F.col("own").alias("i"), every.alias("j"), F.col("tk").alias("a"))
+    y = dealt.select(*keys, every.alias("i"), F.col("own").alias("j"), F.col("tk").alias("b"))
+    return x.join(y, [*keys, "i", "j"]).where("a < b").select("a", "b").distinct()
+
+
+def matches(found: DataFrame, shared: DataFrame) -> DataFrame:
+    """Matches (a, apos, b, bpos) of every pair of texts that may have a chain; found: h, tk, pos; shared: h, texts. Stored."""
+    own = found.groupBy("h", "tk").agg(F.sort_array(F.collect_list("pos")).alias("at"))
+    own = common.stored(own.join(shared, "h"), "shared-places")
+    few, wide = own.where(F.col("texts") <= PAIRED).drop("texts"), own.where(F.col("texts") > PAIRED).drop("texts")
+
+    def side(df: DataFrame, x: str) -> DataFrame:
+        return df.select("h", F.col("tk").alias(x), F.col("at").alias(f"{x}_at"))
+
+    met = common.stored(side(few, "a").join(side(few, "b"), "h").where("a < b"), "met-few")
+    pairs = met.select("a", "b").distinct().unionByName(_all_pairs(common.stored(_close_seeds(wide), "close-seeds"), ["h1", "h2"])).distinct()
+    more = common.stored(pairs, "text-pairs").join(side(wide, "a"), "a").join(side(wide, "b"), ["b", "h"])
+    place = F.expr("explode(array_distinct(concat(transform(b_at, p -> struct(a_at[0] AS apos, p AS bpos)), transform(a_at, p -> struct(p AS apos, b_at[0] AS bpos))))) AS p")
+    out = common.stored(met.unionByName(more.select(*met.columns)).select("a", "b", place).select("a", "p.apos", "b", "p.bpos"), "met-seeds")
+    common.discard(met, own)
+    return out
+
+
 def passages(docs: DataFrame) -> DataFrame:
     """doc_id, start, end, other_doc_id, other_start, other_end (words), identity of each shared passage."""
     spark = docs.sparkSession
@@ -437,17 +501,18 @@ def passages(docs: DataFrame) -> DataFrame:
     lead = common.sized(reps.select(F.col("tk").alias("lead"), "rep"))
     one = own.join(lead, (F.col("tk") == F.col("lead")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("tk", "text")
     found = common.stored(seeds(one), "seeds")
-    shared = found.groupBy("h").agg(F.min(F.struct("tk", "pos")).alias("l"), F.max("tk").alias("z"), F.count("*").alias("rows")).where("l.tk < z").select("h", F.col("l.tk").alias("a"), F.col("l.pos").alias("apos"), "rows")
-    shared = common.stored(shared, "shared-seeds")
-    met = common.stored(common.skew_join(found, shared, "h", "rows").select("a", "apos", F.col("tk").alias("b"), F.col("pos").alias("bpos")), "met-seeds")
+    shared = common.stored(found.groupBy("h").agg(F.countDistinct("tk").alias("texts")).where("texts > 1"), "shared-seeds")
+    met = matches(found, shared)
+    marks = common.stored(found.join(shared.select("h"), "h").select("tk", "pos"), "marks")
     common.discard(found, shared)
-    wanted = common.stored(_pair_chains(met.where("b <> a")).withColumn("cid", F.monotonically_increasing_id()), "chains")
+    wanted = common.stored(_pair_chains(met).withColumn("cid", F.monotonically_increasing_id()), "chains")
+    common.discard(met)
     aligned = _aligned(one, wanted)
     common.release(spark)
 
-    # Seeds meet one text only: exact passages that are not reported for that are matched by whole runs.
-    areas = _areas(met.select(F.col("b").alias("tk"), F.col("bpos").alias("pos")), aligned)
-    common.discard(met)
+    # Exact passages that are not reported (both texts repeat their seeds) are matched by whole runs.
+    areas = _areas(marks, aligned)
+    common.discard(marks)
     if not areas.where("left").isEmpty():
         left = _left_over(one, areas)
         common.release(spark)

@@ -305,6 +305,25 @@ def test_a_long_passage_does_not_shadow_what_follows(spark):
     assert len(spans) == 2 and spans[0] >= 90 and spans[1] >= 400
 
 
+@pytest.mark.parametrize("paired", [passages.PAIRED, 2])
+def test_changed_passages_link_all_their_texts(spark, monkeypatch, paired):
+    """Versions of a passage with different words changed: every pair is reported, also where all seeds are in more than ``paired`` texts."""
+    monkeypatch.setattr(passages, "PAIRED", paired)
+    monkeypatch.setattr(passages, "BLOCK", 2)
+    whole = prose(120, 5000).split()
+    # Half of the texts have the first part only, half the second, so that no text stands for all others.
+    parts = [whole[:70], whole[:70], whole[:70], whole, whole[50:], whole[50:], whole[50:]]
+    texts = {}
+    for i, p in enumerate(parts):
+        p = list(p)
+        for at in (20 + i, 40 + i):
+            p[at] = f"new{i}{at}"
+        texts[i] = f"{prose(40, 5100 + i)} {' '.join(p)} {prose(40, 5200 + i)}"
+    got = {frozenset((r["doc_id"], r["other_doc_id"])) for r in passages.passages(make(spark, [(i, t, "s") for i, t in texts.items()])).collect()}
+    linked = [{0, 1, 2, 3}, {3, 4, 5, 6}]
+    assert got == {frozenset((a, b)) for some in linked for a in some for b in some if a < b}
+
+
 def test_every_shared_run_is_reported(spark):
     """Texts that overlap in part, in all orders of their keys, against brute force."""
     n = passages.MIN_WORDS
