@@ -84,3 +84,16 @@ def test_parabolas_drift_and_loss(spark):
     ).first()
     assert (df["a"], df["b"], df["c"], df["d"]) == (1.5, 1.0, 1.0, 1)
     assert df["l"] == pytest.approx(1 / 3.0) and df["n"] is None and df["h"] == pytest.approx((1e6 + 1) / 2)
+
+
+def test_enlarged_canvases_are_dealt_by_their_number(spark, monkeypatch):
+    """Tasks grow with the table, and work by canvas keeps that dealing."""
+    from rasterlake import views
+
+    d = "/root/testdata/sf0.001"
+    want = sorted(map(tuple, views.enlarged(spark, d).collect()))
+    monkeypatch.setattr(views, "CANVASES", 3)
+    px = views.enlarged(spark, d)
+    tasks = -(-spark.read.parquet(f"{d}/embeddings.parquet").count() // 3)
+    assert px.rdd.getNumPartitions() >= tasks
+    assert sorted(map(tuple, px.collect())) == want
