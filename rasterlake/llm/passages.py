@@ -6,9 +6,11 @@
 3. Seeds that texts share are joined, every pair of texts: under a seed of up to ``PAIRED`` texts
    all its texts meet. Texts that share wider spread seeds alone meet under two such seeds at most
    ``REACH`` words apart, which every chain of such seeds has; so no pair with a chain is left out,
-   and a common line of one seed makes no pairs. A pair's matches are all its shared seeds; a seed
+   and a common line of one seed makes no pairs. Of texts whose stretches of such seeds have equal
+   words, one stands for all and the others are reported against it; likewise the longest run of a
+   word said again and again. So copies make no pairs, but pairs still grow with the square
+   of a family of texts that all differ. A pair's matches are all its shared seeds; a seed
    that a text repeats has its first place in either text matched with every place in the other.
-   Pairs of texts grow with the square of a family whose texts all share a passage.
 4. For each pair of texts, matches on one diagonal are put together, and chained in order in both
    texts: a chain's score is its matched words less a cost for the words it skips, and the best
    predecessor of each match, of those within ``MAX_GAP`` words in both texts, comes from a tree
@@ -432,35 +434,141 @@ def _left_over(one: DataFrame, areas: DataFrame) -> DataFrame:
     return out
 
 
-def _close_seeds(wide: DataFrame) -> DataFrame:
-    """(h1, h2, tk): different places of wide spread seeds of a text, at most REACH words apart, in order; wide: h, tk, at."""
+def _long_stretches(h: pa.ListScalar, at: pa.ListScalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, seeds, start of the stretch of each) of a text's seeds at most REACH words apart in stretches of LEAST_SPAN words or more."""
+    at = at.values
+    pos = at.flatten().to_numpy().astype(np.int64)
+    order = np.argsort(pos, kind="stable")
+    pos, own = pos[order], np.repeat(h.values.to_numpy(), np.diff(at.offsets.to_numpy()))[order]
+    cut = np.flatnonzero(np.append(True, np.diff(pos) > REACH))
+    size = np.diff(np.append(cut, len(pos)))
+    long = np.repeat(pos[cut + size - 1] - pos[cut] + K >= LEAST_SPAN, size)
+    return pos[long], own[long], np.repeat(pos[cut], size)[long]
+
+
+def _batch(rows: list[tuple], names: str, *kinds: pa.DataType) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)], names=names.split())
+
+
+def _contents(one: DataFrame, held: DataFrame) -> DataFrame:
+    """(tk, lo, e0, e1, c): stretches of wide spread seeds, from word e0 up to e1, and a hash of these words. Stored.
+
+    A stretch is extended by neighbouring runs of K words as long as another text has them in or beside a stretch. No passage
+    that such seeds alone give leaves it, as every word that a chain grows by ends a run of K words of both texts (and
+    after W of them there were another common seed). So texts of equal contents have the same passages there,
+    and a stretch of fewer than MIN_WORDS words has none. held: tk, hs, ats; one: tk, text.
+    """
+    long, int32 = pa.int64(), pa.int32()
+
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for tk, h, at in zip(batch.column("tk").to_pylist(), batch.column("hs"), batch.column("ats")):
+                pos, _, stretch = _long_stretches(h, at)
+                if len(pos):
+                    last = np.append(np.flatnonzero(np.diff(stretch)), len(pos) - 1)
+                    rows.append((tk, stretch[last].tolist(), (pos[last] + K).tolist()))
+            yield _batch(rows, "tk los his", long, pa.list_(int32), pa.list_(int32))
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, first = text.words(batch.column("text"))
+            rows: list[tuple] = []
+            for i, (tk, los, his) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("tk", "los", "his")))):
+                own = h[first[i] : first[i + 1]]
+                rows += [(tk, lo, hi, max(0, lo - W), own[max(0, lo - W) : hi + W].tobytes()) for lo, hi in zip(los, his)]
+            yield _batch(rows, "tk lo hi start words", long, int32, int32, int32, pa.binary())
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols: list[list] = [[] for _ in range(4)]
+            for i, (lo, hi, start, data) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("lo", "hi", "start", "words")))):
+                w = np.frombuffer(data, np.uint64)
+                run = text.kmers(w, K)[: len(w) - K + 1].view(np.int64)
+                place = start + np.arange(len(run))
+                for col, v in zip(cols, (run, np.full(len(run), i), place, (place < lo) | (place > hi - K))):
+                    col.append(v)
+            run, of, place, beside = (np.concatenate(c) if c else np.zeros(0, t) for c, t in zip(cols, (np.int64, np.int64, np.int64, bool)))
+            yield pa.RecordBatch.from_arrays([pa.array(run), *(batch.column(c).take(pa.array(of)) for c in ("tk", "lo")), pa.array(place.astype(np.int32)), pa.array(beside)], names=["run", "tk", "lo", "place", "beside"])
+
+    def extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for tk, lo, hi, start, data, places in zip(*(batch.column(c).to_pylist() for c in ("tk", "lo", "hi", "start", "words", "places"))):
+                beside, e0, e1 = set(places or ()), lo, hi
+                while e0 - 1 in beside:
+                    e0 -= 1
+                while e1 - K + 1 in beside:
+                    e1 += 1
+                if e1 - e0 >= MIN_WORDS:
+                    rows.append((tk, lo, e0, e1, data[8 * (e0 - start) : 8 * (e1 - start)]))
+            yield _batch(rows, "tk lo e0 e1 words", long, int32, int32, int32, pa.binary())
+
+    where = common.sized(common.stored(held.mapInArrow(spans, "tk long, los array<int>, his array<int>"), "wide-stretches"), common.BROADCAST_KEYS)
+    areas = common.stored(one.join(where, "tk").select("tk", "text", "los", "his").mapInArrow(words, "tk long, lo int, hi int, start int, words binary"), "wide-words").dropDuplicates(["tk", "lo"])
+    beside = common.stored(areas.mapInArrow(runs, "run long, tk long, lo int, place int, beside boolean"), "wide-runs")
+    met = beside.groupBy("run").agg(F.min("tk").alias("x"), F.max("tk").alias("y"), F.max("beside").alias("any")).where("x < y AND any").select("run")
+    places = beside.where("beside").join(met, "run").groupBy("tk", "lo").agg(F.collect_list("place").alias("places"))
+    out = areas.join(places, ["tk", "lo"], "left").select("tk", "lo", "hi", "start", "words", "places").mapInArrow(extended, "tk long, lo int, e0 int, e1 int, words binary")
+    out = common.stored(out.select("tk", "lo", "e0", "e1", F.xxhash64("words").alias("c")), "wide-contents")
+    common.discard(beside)
+    return out
+
+
+def _close_seeds(held: DataFrame) -> DataFrame:
+    """(h1, h2, tk, at, size): wide spread seeds of a text at most REACH words apart, in order, in the stretches that begin at ``los``. Stored.
+
+    A seed that stands in each of these stretches as one run of neighbouring places (one word said again and again) doesn't
+    meet itself: its longest run, if of LEAST_SPAN words or more, has its place and size, and h1 = h2. All else has null there.
+    held: tk, hs, ats, los.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            of, first, second = [], [], []
-            for i, (h, at) in enumerate(zip(batch.column("hs"), batch.column("ats"))):
-                at = at.values
-                n = np.diff(at.offsets.to_numpy())
-                pos = at.flatten().to_numpy()
-                order = np.argsort(pos, kind="stable")
-                pos, own = pos[order], np.repeat(h.values.to_numpy(), n)[order]
-                shift, both = 1, []
-                while shift < len(pos):
-                    near = np.flatnonzero(pos[shift:] - pos[:-shift] <= REACH)
-                    if not len(near):
-                        break
-                    both.append(np.unique(np.stack([own[near], own[near + shift]], axis=1), axis=0))
+            of: list[int] = []
+            rows: list[tuple] = []
+            for i, (h, at, los) in enumerate(zip(batch.column("hs"), batch.column("ats"), batch.column("los"))):
+                pos, own, stretch = _long_stretches(h, at)
+                kept = np.isin(stretch, los.values.to_numpy())
+                pos, own, stretch = pos[kept], own[kept], stretch[kept]
+                if not len(pos):
+                    continue
+                known, own = np.unique(own, return_inverse=True)
+                both, shift = [np.zeros(0, np.int64)], 1
+                while shift < len(pos) and len(near := np.flatnonzero(pos[shift:] - pos[:-shift] <= REACH)):
+                    both.append((own[near] * len(known) + own[near + shift])[own[near] != own[near + shift]])
                     shift += 1
-                if both:
-                    both = np.unique(np.concatenate(both), axis=0)
-                    of.append(np.full(len(both), i))
-                    first.append(both[:, 0])
-                    second.append(both[:, 1])
-            of, first, second = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (of, first, second))
-            yield pa.RecordBatch.from_arrays([pa.array(first), pa.array(second), batch.column("tk").take(pa.array(of))], names=["h1", "h2", "tk"])
+                both = np.unique(np.concatenate(both))
+                order = np.lexsort((pos, stretch, own))
+                pos, own, stretch = pos[order], own[order], stretch[order]
+                cut = np.flatnonzero(np.append(True, (np.diff(own) != 0) | (np.diff(stretch) != 0)))
+                size = np.diff(np.append(cut, len(pos)))
+                first, own = pos[cut], own[cut]
+                apart = np.unique(own[pos[cut + size - 1] - first != size - 1])
+                rows += [(x, y, None, None) for x, y in zip(known[both // len(known)].tolist(), known[both % len(known)].tolist())]
+                rows += [(x, x, None, None) for x in known[apart].tolist()]
+                # Of the other seeds, the longest run (ties: the first).
+                order = np.lexsort((first, -size, own))
+                order = order[np.append(True, np.diff(own[order]) != 0)]
+                order = order[(size[order] + K - 1 >= LEAST_SPAN) & ~np.isin(own[order], apart)]
+                rows += [(x, x, y, z + K - 1) for x, y, z in zip(known[own[order]].tolist(), first[order].tolist(), size[order].tolist())]
+                of += [i] * (len(rows) - len(of))
+            made = _batch(rows, "h1 h2 at size", pa.int64(), pa.int64(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([*made.columns, batch.column("tk").take(pa.array(of, pa.int64()))], names=[*made.schema.names, "tk"])
+
+    return common.stored(held.mapInArrow(run, "h1 long, h2 long, at int, size int, tk long"), "close-seeds")
+
+
+def _copied(rows: DataFrame) -> DataFrame:
+    """Candidate chains, as of ``_pair_chains``, of stretches of equal words; rows: a, apos, b, bpos, n."""
 
-    held = wide.groupBy("tk").agg(F.collect_list(F.struct("h", "at")).alias("s")).select("tk", F.col("s.h").alias("hs"), F.col("s.at").alias("ats"))
-    return held.mapInArrow(run, "h1 long, h2 long, tk long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, apos, b, bpos, n = (batch.column(c).to_pylist() for c in ("a", "apos", "b", "bpos", "n"))
+            made = [(x, y, p, p + k, q, q + k, np.array([p, q, k], "<i4").tobytes()) for x, p, y, q, k in zip(a, apos, b, bpos, n)]
+            yield _batch(made, "a b a0 a1 b0 b1 segments", pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.binary())
+
+    return rows.select("a", "apos", "b", "bpos", "n").mapInArrow(run, "a long, b long, a0 int, a1 int, b0 int, b1 int, segments binary")
 
 
 def _all_pairs(keyed: DataFrame, keys: list[str]) -> DataFrame:
@@ -473,8 +581,11 @@ def _all_pairs(keyed: DataFrame, keys: list[str]) -> DataFrame:
     return x.join(y, [*keys, "i", "j"]).where("a < b").select("a", "b").distinct()
 
 
-def matches(found: DataFrame, shared: DataFrame) -> DataFrame:
-    """Matches (a, apos, b, bpos) of every pair of texts that may have a chain; found: h, tk, pos; shared: h, texts. Stored."""
+def matches(one: DataFrame, found: DataFrame, shared: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Matches (a, apos, b, bpos) of every pair of texts that may have a chain and isn't told by a copy; and copied stretches (a, apos, b, bpos, n).
+
+    found: h, tk, pos; shared: h, texts; one: tk, text. Stored.
+    """
     own = found.groupBy("h", "tk").agg(F.sort_array(F.collect_list("pos")).alias("at"))
     own = common.stored(own.join(shared, "h"), "shared-places")
     few, wide = own.where(F.col("texts") <= PAIRED).drop("texts"), own.where(F.col("texts") > PAIRED).drop("texts")
@@ -482,13 +593,31 @@ def matches(found: DataFrame, shared: DataFrame) -> DataFrame:
     def side(df: DataFrame, x: str) -> DataFrame:
         return df.select("h", F.col("tk").alias(x), F.col("at").alias(f"{x}_at"))
 
+    # One text stands for all that have a stretch of equal words.
+    held = wide.groupBy("tk").agg(F.collect_list(F.struct("h", "at")).alias("s")).select("tk", F.col("s.h").alias("hs"), F.col("s.at").alias("ats"))
+    held = common.stored(held, "wide-places")
+    contents = _contents(one, held)
+    first = contents.groupBy("c").agg(F.min(F.struct("tk", "lo", "e0", "e1")).alias("r"))
+    stand = first.groupBy(F.col("r.tk").alias("tk")).agg(F.collect_list("r.lo").alias("los"))
+    close = _close_seeds(held.join(stand, "tk"))
+    copies = contents.join(first, "c").where("tk <> r.tk").select(F.col("r.tk").alias("a"), F.col("r.e0").alias("apos"), F.col("tk").alias("b"), F.col("e0").alias("bpos"), F.expr("e1 - e0").alias("n"))
+    # Of a word said again and again, the text with the longest run stands for those with one run.
+    plain, full = close.where("at IS NOT NULL"), close.where("at IS NULL").select("h1", "h2", "tk")
+    most = plain.groupBy("h1", "h2").agg(F.min_by(F.struct("tk", "at"), F.struct(-F.col("size"), "tk")).alias("m"))
+    most = common.stored(most.select("h1", "h2", "m.*"), "longest-runs")
+    runs = plain.join(most.select("h1", F.col("tk").alias("m"), F.col("at").alias("m_at")), "h1").where("m <> tk")
+    ends = F.array_sort(F.array(F.struct("tk", "at"), F.struct(F.col("m").alias("tk"), F.col("m_at").alias("at"))))
+    runs = runs.select(ends.alias("e"), "size").select(F.col("e")[0]["tk"].alias("a"), F.col("e")[0]["at"].alias("apos"), F.col("e")[1]["tk"].alias("b"), F.col("e")[1]["at"].alias("bpos"), F.col("size").alias("n"))
+
     met = common.stored(side(few, "a").join(side(few, "b"), "h").where("a < b"), "met-few")
-    pairs = met.select("a", "b").distinct().unionByName(_all_pairs(common.stored(_close_seeds(wide), "close-seeds"), ["h1", "h2"])).distinct()
-    more = common.stored(pairs, "text-pairs").join(side(wide, "a"), "a").join(side(wide, "b"), ["b", "h"])
+    pairs = met.select("a", "b").distinct().unionByName(_all_pairs(full.unionByName(most.select(*full.columns)), ["h1", "h2"])).distinct()
+    pairs = common.stored(pairs, "text-pairs")
+    more = pairs.join(side(wide, "a"), "a").join(side(wide, "b"), ["b", "h"])
     place = F.expr("explode(array_distinct(concat(transform(b_at, p -> struct(a_at[0] AS apos, p AS bpos)), transform(a_at, p -> struct(p AS apos, b_at[0] AS bpos))))) AS p")
     out = common.stored(met.unionByName(more.select(*met.columns)).select("a", "b", place).select("a", "p.apos", "b", "p.bpos"), "met-seeds")
-    common.discard(met, own)
-    return out
+    copies = common.stored(copies.unionByName(runs).distinct().join(pairs, ["a", "b"], "left_anti"), "copied-stretches")
+    common.discard(met, own, held, contents, close, most, pairs)
+    return out, copies
 
 
 def passages(docs: DataFrame) -> DataFrame:
@@ -502,11 +631,11 @@ def passages(docs: DataFrame) -> DataFrame:
     one = own.join(lead, (F.col("tk") == F.col("lead")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("tk", "text")
     found = common.stored(seeds(one), "seeds")
     shared = common.stored(found.groupBy("h").agg(F.countDistinct("tk").alias("texts")).where("texts > 1"), "shared-seeds")
-    met = matches(found, shared)
+    met, copied = matches(one, found, shared)
     marks = common.stored(found.join(shared.select("h"), "h").select("tk", "pos"), "marks")
     common.discard(found, shared)
-    wanted = common.stored(_pair_chains(met).withColumn("cid", F.monotonically_increasing_id()), "chains")
-    common.discard(met)
+    wanted = common.stored(_pair_chains(met).unionByName(_copied(copied)).withColumn("cid", F.monotonically_increasing_id()), "chains")
+    common.discard(met, copied)
     aligned = _aligned(one, wanted)
     common.release(spark)
 

@@ -324,6 +324,24 @@ def test_changed_passages_link_all_their_texts(spark, monkeypatch, paired):
     assert got == {frozenset((a, b)) for some in linked for a in some for b in some if a < b}
 
 
+def test_copies_of_a_passage_do_not_make_all_pairs(spark, monkeypatch):
+    """Of texts that share a passage word for word, or say one word again and again, one stands for all: no text is lost, and a changed version meets that one."""
+    monkeypatch.setattr(passages, "PAIRED", 2)
+    shared = prose(90, 6000).split()
+    changed = [*shared[:40], "new", *shared[41:]]
+    beside = lambda i, x: " ".join(f"{x}{i}n{j}" for j in range(40))
+    texts = {i: f"{beside(i, 'p')} {' '.join(changed if i == 8 else shared)} {beside(i, 'q')}" for i in range(9)}
+    texts |= {20 + i: f"{beside(i, 'r')} {'la ' * (60 + 5 * i)}{beside(i, 's')}" for i in range(6)}
+    got = {frozenset((r["doc_id"], r["other_doc_id"])) for r in passages.passages(make(spark, [(i, t, "s") for i, t in texts.items()])).collect()}
+    assert {i for p in got for i in p} == set(texts)
+    # The changed version also meets a copy with which it alone shares a seed at the passage's end.
+    assert any(8 in p for p in got) and len(got) < 7 + 5 + 8
+    for group in set(range(8)), set(range(20, 26)):
+        own = [p for p in got if p <= group]
+        assert len(own) == len(group) - 1 and any(all(i in p for p in own) for i in group)
+    assert all(max(p) < 20 or min(p) >= 20 for p in got)
+
+
 def test_every_shared_run_is_reported(spark):
     """Texts that overlap in part, in all orders of their keys, against brute force."""
     n = passages.MIN_WORDS
