@@ -1,16 +1,19 @@
 """Frames made from one by a wave: along a ramp, by moving, or by growing and shrinking.
 
-Noise comes from a mixing of 64 bits that is the same on every engine: sums and products wrap, in limbs of 16
-bits, so that none overflows a long.
+Noise comes from a mixing of 64 bits that is the same on every engine: sums and products wrap, in numpy for
+whole batches; ``plus`` and ``times`` do so by columns, in limbs of 16 bits, so that none overflows a long.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from rasterlake.operators import color
 
@@ -19,11 +22,6 @@ STEP, MIX1, MIX2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 _LIMB = 0xFFFF
 
 
-def _once(x: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(x)`` with x evaluated once, however often it is used."""
-    return F.get(F.transform(F.array(x), use), F.lit(0))
-
-
 def _limb(x: Column, i: int) -> Column:
     return F.shiftrightunsigned(x, 16 * i).bitwiseAND(F.lit(_LIMB))
 
@@ -48,18 +46,19 @@ def times(x: Column, by: int) -> Column:
     return _joined([reduce(lambda a, b: a + b, (_limb(x, i) * F.lit(by >> 16 * (k - i) & _LIMB) for i in range(k + 1))) for k in range(4)])
 
 
-def _xor_shift(x: Column, n: int) -> Column:
-    return x.bitwiseXOR(F.shiftrightunsigned(x, n))
+@F.arrow_udf(LongType())
+def _mix(seed: pa.Array, k: pa.Array) -> pa.Array:
+    none = pc.or_(seed.is_null(), k.is_null()).to_numpy(zero_copy_only=False)
+    x, y = (np.asarray(v.fill_null(0)).astype(np.int64).view(np.uint64) for v in (seed, k))
+    z = x + y * np.uint64(STEP) + np.uint64(STEP)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(MIX1)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(MIX2)
+    return pa.array((z ^ (z >> np.uint64(31))).view(np.int64), pa.int64(), mask=none)
 
 
 def mixed(seed: Column, k: Column) -> Column:
     """64 mixed bits (as a long) for a seed and a place."""
-    signed = STEP - (1 << 64)
-    z = _once(k.cast("long"), lambda k: plus(times(k, STEP), F.lit(signed)))
-    z = _once(z, lambda z: plus(seed.cast("long"), z))
-    z = _once(_once(z, lambda z: _xor_shift(z, 30)), lambda z: times(z, MIX1))
-    z = _once(_once(z, lambda z: _xor_shift(z, 27)), lambda z: times(z, MIX2))
-    return _once(z, lambda z: _xor_shift(z, 31))
+    return _mix(seed.cast("long"), k.cast("long"))
 
 
 def wave(kind: str, k: Column, n: int, phase: float = 0.0, seed: Column | None = None) -> Column:

@@ -33,6 +33,14 @@ def test_ends_are_shared(spark):
     assert shared_palettes.merged(pals).count() == 7
 
 
+def test_mixing_goes_by_batches(spark):
+    """Nulls stay null, and bits are not mixed row by row in nested columns."""
+    df = spark.createDataFrame([(1, None), (None, 1), (1, 1)], "s long, k long").select("k", "s", cycling.mixed(F.col("s"), F.col("k")).alias("z"))
+    assert [r["z"] is None for r in df.collect()] == [True, True, False]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan and "ArrowEvalPython" in plan
+
+
 def test_mixing_wraps_as_in_64_bits(spark):
     whole = (1 << 64) - 1
 
