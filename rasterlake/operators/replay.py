@@ -6,6 +6,9 @@ Candidates are rows (item_id, scale, v, recon, drift_ok, curve_ok, contrast, pha
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,11 +19,12 @@ def settings(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame(rows, SETTINGS)
 
 
-def _gates() -> dict[str, Column]:
-    phase = F.when(F.col("any_phase"), F.col("drift_ok") | F.col("curve_ok")).otherwise(F.col("drift_ok") & F.col("curve_ok"))
+def _gates(of: Callable[[str], Column] = F.col) -> dict[str, Column]:
+    """``of`` gives a candidate's columns by name."""
+    phase = F.when(F.col("any_phase"), of("drift_ok") | of("curve_ok")).otherwise(of("drift_ok") & of("curve_ok"))
     return {
-        "epsilon": F.col("v") <= F.col("epsilon") * F.col("image_var"), "recon": F.col("recon") <= F.col("tau"),
-        "phase": F.coalesce(phase, F.lit(True)), "contrast": F.col("contrast") >= F.col("min_contrast"),  # what can't be measured passes
+        "epsilon": of("v") <= F.col("epsilon") * of("image_var"), "recon": of("recon") <= F.col("tau"),
+        "phase": F.coalesce(phase, F.lit(True)), "contrast": of("contrast") >= F.col("min_contrast"),  # what can't be measured passes
     }
 
 
@@ -36,30 +40,44 @@ def _apart(t: Column, s: Column) -> Column:
     return (t > s) & (t % s != 0)
 
 
+def settled(cands: DataFrame, cases: DataFrame, params: DataFrame) -> DataFrame:
+    """Every case under every setting: (param_id, item_id, the case's columns, truth_passes) and, of the largest passing size
+    (null where none passes), (hat, hat_phase, rival, confidence, floor, accepted).
+
+    An item's sizes are a handful, so they lie in its row: items are shuffled once, and settings multiply rows after that.
+    """
+    j = cands.join(cases, "item_id").withColumn("truth", F.col("scale") == F.col("truth_scale"))
+    sizes = F.collect_list(F.struct("scale", "phase", "v", "image_var", "recon", "drift_ok", "curve_ok", "contrast", "truth"))
+    items = j.groupBy("item_id").agg(*(F.first(c).alias(c) for c in ("has_grid", "truth_scale", "truth_phase", "filter")), sizes.alias("sizes"))
+    passes = lambda x: reduce(lambda p, q: p & q, (F.coalesce(ok, F.lit(True)) for ok in _gates(lambda c: x[c]).values()))
+    r = items.join(F.broadcast(params), F.lit(True)).withColumn("passing", F.filter("sizes", passes))
+    h = F.array_max(F.transform("passing", lambda x: F.struct(x["scale"].alias("scale"), x["phase"].alias("phase"), x["v"].alias("v"), x["image_var"].alias("image_var"))))
+    r = r.withColumns({"h": h, "truth_passes": F.exists("passing", lambda x: F.coalesce(x["truth"], F.lit(False)))}).drop("passing")
+    r = r.withColumn("rival", F.array_min(F.transform(F.filter("sizes", lambda x: _apart(x["scale"], F.col("h.scale"))), lambda x: x["v"]))).drop("sizes")
+    floor = F.when(F.col("per_scale"), F.col("min_confidence") / F.col("h.scale")).otherwise(F.col("min_confidence"))
+    c = F.when((F.col("h.image_var") > 0) & F.col("rival").isNotNull(), F.least(F.greatest((F.col("rival") - F.col("h.v")) / F.col("h.image_var"), F.lit(0.0)), F.lit(1.0))).otherwise(F.lit(0.0))
+    some = F.col("h").isNotNull()
+    r = r.withColumns({"hat": F.col("h.scale"), "hat_phase": F.col("h.phase"), "floor": F.when(some, floor), "confidence": F.when(some, c)})
+    return r.withColumn("accepted", F.when(some, F.col("rival").isNotNull() & (F.round("confidence", 9) >= F.round("floor", 9)))).select("param_id", "item_id", "has_grid", "truth_scale", "truth_phase", "filter", "truth_passes", "hat", "hat_phase", "rival", "confidence", "floor", "accepted")
+
+
 def decided(rows: DataFrame) -> DataFrame:
-    """(param_id, item_id, hat, hat_phase, confidence, floor, accepted) of the largest passing size; rows: ``gated``."""
-    k = ["param_id", "item_id"]
-    hat = rows.where("passes").groupBy(*k).agg(F.max(F.struct("scale", "phase", "v", "image_var", "min_confidence", "per_scale")).alias("h")).select(*k, F.col("h.scale").alias("hat"), F.col("h.phase").alias("hat_phase"), F.col("h.v").alias("hv"), F.col("h.image_var").alias("iv"), F.when(F.col("h.per_scale"), F.col("h.min_confidence") / F.col("h.scale")).otherwise(F.col("h.min_confidence")).alias("floor"))
-    rival = rows.select(*k, "scale", "v").join(hat, k).where(_apart(F.col("scale"), F.col("hat"))).groupBy(*k).agg(F.min("v").alias("rival"))
-    c = F.when((F.col("iv") > 0) & F.col("rival").isNotNull(), F.least(F.greatest((F.col("rival") - F.col("hv")) / F.col("iv"), F.lit(0.0)), F.lit(1.0))).otherwise(F.lit(0.0))
-    d = hat.join(rival, k, "left").withColumn("confidence", c)
-    return d.select(*k, "hat", "hat_phase", "rival", "confidence", "floor", (F.col("rival").isNotNull() & (F.round("confidence", 9) >= F.round("floor", 9))).alias("accepted"))
+    """(param_id, item_id, hat, hat_phase, rival, confidence, floor, accepted) of the largest passing size; rows: ``settled``."""
+    return rows.where("hat is not null").select("param_id", "item_id", "hat", "hat_phase", "rival", "confidence", "floor", "accepted")
 
 
-def outcomes(rows: DataFrame) -> DataFrame:
-    """(param_id, item_id, has_grid, tier, hat, outcome, missed) of every case under every setting.
+def outcomes(rows: DataFrame, *more: str) -> DataFrame:
+    """(param_id, item_id, has_grid, tier, hat, outcome, missed) of every case under every setting, and ``more`` columns; rows: ``settled``.
 
     missed: why a true size that passes all gates was not found: confidence, choice or phase.
     """
-    k = ["param_id", "item_id"]
-    case = rows.groupBy(*k).agg(*(F.first(c).alias(c) for c in ("has_grid", "truth_scale", "truth_phase", "filter")), F.max(F.when(F.col("scale") == F.col("truth_scale"), F.col("passes"))).alias("truth_passes"))
-    j = case.join(decided(rows), k, "left").withColumn("ok", F.coalesce("accepted", F.lit(False)))
+    j = rows.withColumn("ok", F.coalesce("accepted", F.lit(False)))
     right = F.col("hat") == F.col("truth_scale")
     same = F.coalesce(F.col("hat_phase") == F.col("truth_phase"), F.lit(False))
     out = F.when(~F.col("ok") & F.col("has_grid"), "rejected").when(~F.col("ok"), "correct_rejection").when(~F.col("has_grid") | ~right, "wrong").when(same, "exact").otherwise("scale_only")
-    why = F.when(F.col("has_grid") & F.coalesce("truth_passes", F.lit(False)), F.when(~F.col("ok"), "confidence").when(~right, "choice").when(~same, "phase"))
+    why = F.when(F.col("has_grid") & F.col("truth_passes"), F.when(~F.col("ok"), "confidence").when(~right, "choice").when(~same, "phase"))
     tier = F.when(F.col("has_grid"), F.when(F.col("filter") == "nearest", "A").when(F.col("filter").isin("bilinear", "bicubic"), "B").otherwise("C"))
-    return j.select(*k, "has_grid", tier.alias("tier"), F.when(F.col("ok"), F.col("hat")).alias("hat"), out.alias("outcome"), why.alias("missed"))
+    return j.select("param_id", "item_id", "has_grid", tier.alias("tier"), F.when(F.col("ok"), F.col("hat")).alias("hat"), out.alias("outcome"), why.alias("missed"), *more)
 
 
 def score(out: DataFrame) -> DataFrame:

@@ -26,13 +26,21 @@ views.SQL["outcomes"] = (
 _ALL = "cands cases params gated hats decided outcomes"
 
 
-def _gated(s, d):
+def _rows(s, d):
     li = s.read.parquet(f"{d}/lineitem.parquet")
     sure = F.min("l_suppkey") % 7 > 0
     cands = li.groupBy(F.col("l_orderkey").alias("item_id"), (F.col("l_linenumber") + 1).cast("int").alias("scale")).agg(F.min(F.round(F.col("l_discount") * 10, 3)).alias("v"), F.max("l_tax").alias("recon"), F.when(sure, F.min("l_suppkey") % 3 > 0).alias("drift_ok"), F.when(sure, F.min("l_partkey") % 4 > 0).alias("curve_ok"), F.min("l_quantity").alias("contrast"), (F.min("l_partkey") % 3).cast("int").alias("phase"))
     names = F.array(*map(F.lit, ("nearest", "bilinear", "bicubic", "lanczos")))
     cases = s.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("item_id"), (0.2 + F.floor("o_totalprice").cast("long") % 9 / 10.0).alias("image_var"), (F.col("o_orderkey") % 3 > 0).alias("has_grid"), (F.col("o_custkey") % 6 + 2).cast("int").alias("truth_scale"), (F.col("o_custkey") % 3).cast("int").alias("truth_phase"), F.element_at(names, (F.col("o_custkey") % 4 + 1).cast("int")).alias("filter"))
-    return replay.gated(cands, cases, replay.settings(s, _PARAMS))
+    return cands, cases, replay.settings(s, _PARAMS)
+
+
+def _gated(s, d):
+    return replay.gated(*_rows(s, d))
+
+
+def _settled(s, d):
+    return replay.settled(*_rows(s, d))
 
 
 @query("replay_gates", "param_id:long item_id:long scale:long failed:string passes:boolean", "SELECT param_id, item_id, scale, array_to_string(failed, '+') AS failed, passes FROM gated", "cands cases params gated")
@@ -42,17 +50,17 @@ def _(s, d):
 
 @query("replay_decisions", "param_id:long item_id:long hat:long rival:double confidence:double floor:double accepted:boolean", "SELECT * FROM decided", "cands cases params gated hats decided")
 def _(s, d):
-    return replay.decided(_gated(s, d))
+    return replay.decided(_settled(s, d))
 
 
 @query("replay_outcomes", "param_id:long item_id:long tier:string hat:long outcome:string missed:string", "SELECT * FROM outcomes", _ALL)
 def _(s, d):
-    return replay.outcomes(_gated(s, d))
+    return replay.outcomes(_settled(s, d))
 
 
 @query("replay_missed", "param_id:long missed:string n:long", "SELECT param_id, missed, count(*) AS n FROM outcomes WHERE missed IS NOT NULL GROUP BY 1, 2", _ALL)
 def _(s, d):
-    return replay.outcomes(_gated(s, d)).where("missed is not null").groupBy("param_id", "missed").agg(F.count("*").alias("n"))
+    return replay.outcomes(_settled(s, d)).where("missed is not null").groupBy("param_id", "missed").agg(F.count("*").alias("n"))
 
 
 _TIERS = ", ".join(f"count(*) FILTER (WHERE tier = '{t}' AND outcome = 'exact') AS {t.lower()}_exact, count(*) FILTER (WHERE tier = '{t}') AS {t.lower()}_n" for t in "ABC")
@@ -60,7 +68,7 @@ _TIERS = ", ".join(f"count(*) FILTER (WHERE tier = '{t}' AND outcome = 'exact')
 
 @query("replay_score", "param_id:long grid_n:long nogrid_n:long exact:long scale_only:long rejected:long correct_rejection:long wrong:long a_exact:long a_n:long b_exact:long b_n:long c_exact:long c_n:long macro_rate:double", f"SELECT *, (exact / greatest(grid_n, 1) + correct_rejection / greatest(nogrid_n, 1)) / 2 AS macro_rate FROM (SELECT param_id, count(*) FILTER (WHERE has_grid) AS grid_n, count(*) FILTER (WHERE NOT has_grid) AS nogrid_n, " + ", ".join(f"count(*) FILTER (WHERE outcome = '{o}') AS {o}" for o in ("exact", "scale_only", "rejected", "correct_rejection", "wrong")) + f", {_TIERS} FROM outcomes GROUP BY 1)", _ALL)
 def _(s, d):
-    return replay.score(replay.outcomes(_gated(s, d)))
+    return replay.score(replay.outcomes(_settled(s, d)))
 
 
 @query("diagnose_fallout", "param_id:long gates:string n:long", "SELECT param_id, array_to_string(failed, '+') AS gates, count(*) AS n FROM gated WHERE has_grid AND scale = truth_scale AND NOT passes GROUP BY 1, 2", "cands cases params gated")
@@ -83,8 +91,7 @@ def _(s, d):
 
 @query("confidence_by_outcome", "param_id:long outcome:string n:long least:double q05:double median:double q95:double most:double", "SELECT param_id, outcome, len(l) AS n, l[1] AS least, l[CAST(floor((len(l) - 1) * 0.05 + 0.5) AS INTEGER) + 1] AS q05, l[CAST(floor((len(l) - 1) * 0.5 + 0.5) AS INTEGER) + 1] AS median, l[CAST(floor((len(l) - 1) * 0.95 + 0.5) AS INTEGER) + 1] AS q95, l[len(l)] AS most FROM (SELECT o.param_id, outcome, list(round(confidence, 9) ORDER BY round(confidence, 9)) AS l FROM outcomes o JOIN decided d ON d.param_id = o.param_id AND d.item_id = o.item_id GROUP BY 1, 2)", _ALL)
 def _(s, d):
-    g = _gated(s, d)
-    both = replay.outcomes(g).drop("hat").join(replay.decided(g).select("param_id", "item_id", F.round("confidence", 9).alias("confidence")), ["param_id", "item_id"])
+    both = replay.outcomes(_settled(s, d).where("hat is not null"), "confidence").withColumn("confidence", F.round("confidence", 9))
     return replay.distribution(both, "confidence", ("param_id", "outcome"))
 
 
