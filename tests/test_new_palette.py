@@ -88,3 +88,26 @@ def test_palettes_are_sorted_small_and_near(spark):
     with pytest.raises(ValueError):
         P.quantise(px, 0)
     assert P.error(px, P.quantise(px, 256)).where("asset = 0").select(F.round("error", 9)).first()[0] == 0
+
+
+def test_pictures_are_worked_on_together(spark):
+    """A chunk of pictures of all sizes has the palettes that each has alone, and few numpy steps."""
+    rng = np.random.default_rng(4)
+    pics = [rng.integers(0, 256, (int(h), 5, 3)) for h in rng.integers(1, 9, 30)]
+    alone, together = [], []
+    for v in pics:
+        lab = rng.random((len(v), 3)) * [1, 0.4, 0.4] - [0, 0.2, 0.2]
+        v = np.concatenate([np.stack([np.clip((lab[:, i] - lo) / (hi - lo) * n, 0, n - 1).astype(int) for i, ((lo, hi), n) in enumerate(zip(P.RANGE, P.BINS))], axis=1), np.ones((len(v), 1)), lab, (lab**2).sum(axis=1)[:, None]], axis=1)
+        together.append(v)
+        cube = P.cumulative(v[:, :3].astype(int), v[:, 3:8])
+        low, high, count = P.boxes_of(cube[None], np.array([P.BINS]), 4)
+        m = P._inside(cube[None], np.zeros(count[0], int), low[0, : count[0]], high[0, : count[0]])
+        alone.append(m[:, 1:4] / m[:, :1])
+    made = P._starts(together, 4)
+    assert all(np.allclose(x, y, atol=1e-12) for x, y in zip(alone, made))
+    labs, weights = [v[:, 4:7] for v in together], [v[:, 3] for v in together]
+    assert all(np.array_equal(x, P.means(*y)) for x, y in zip(P.means_of(labs, weights, made), zip(labs, weights, made)))
+    chunks = list(P._chunks(together))
+    assert len(chunks) == 1 and [len(c) for c in P._chunks(together * 5)] == [64, 64, 22]
+    plan = P.error(pictures(spark, *pics), P.quantise(pictures(spark, *pics), 4))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") == 1  # distinct colours meet entries, pixels meet nothing
