@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rasterlake.operators import tiles
@@ -58,18 +58,29 @@ def import_quadrants(px: DataFrame, layout: str, tile: int, key=("asset",)) -> t
     sets = cells.groupBy(*key, "piece").agg(whole.alias("whole")).groupBy(*key)
     sets = sets.agg(F.count("*").alias("pieces"), F.every("whole").alias("whole"), ((F.count("*") == n) & (F.count("piece") == n) & (F.min("piece") == 0) & (F.max("piece") == n - 1)).alias("full"))
 
-    cut = cells.join(p, "piece").where((F.col("x") >= F.col("ox")) & (F.col("x") < F.col("ox") + half) & (F.col("y") >= F.col("oy")) & (F.col("y") < F.col("oy") + half))
-    flipped = lambda c, o, f: F.when(F.col(f), half - 1 - (F.col(c) - F.col(o))).otherwise(F.col(c) - F.col(o)).alias(c)
-    cut = cut.select(*key, "quadrant", "state", flipped("x", "ox", "fx"), flipped("y", "oy", "fy"), "idx")
-    differ = (F.min("idx") != F.max("idx")) | ((F.count("idx") > 0) & (F.count("idx") < F.count("*")))
-    cut = cut.groupBy(*key, "quadrant", "state", "x", "y").agg(F.min("idx").alias("idx"), F.coalesce(differ, F.lit(False)).alias("differ"), F.count("*").alias("met"))
+    def parts(cells: DataFrame, *more) -> DataFrame:
+        """Parts of pieces where they go, with aggregates ``more``."""
+        c = cells.join(p, "piece").where((F.col("x") >= F.col("ox")) & (F.col("x") < F.col("ox") + half) & (F.col("y") >= F.col("oy")) & (F.col("y") < F.col("oy") + half))
+        flipped = lambda c, o, f: F.when(F.col(f), half - 1 - (F.col(c) - F.col(o))).otherwise(F.col(c) - F.col(o)).alias(c)
+        c = c.select(*key, "quadrant", "state", flipped("x", "ox", "fx"), flipped("y", "oy", "fy"), "idx")
+        differ = (F.min("idx") != F.max("idx")) | ((F.count("idx") > 0) & (F.count("idx") < F.count("*")))
+        return c.groupBy(*key, "quadrant", "state", "x", "y").agg(F.min("idx").alias("idx"), F.coalesce(differ, F.lit(False)).alias("differ"), *more)
+
+    cut = parts(cells, F.count("*").alias("met"))
     checks = cut.groupBy(*key, "quadrant", "state").agg(F.max("differ").alias("differ"), (F.max("met") - 1).alias("again"))
     checks = checks.groupBy(*key).agg(F.sum("again").alias("cross_checked"), F.count_if("differ").alias("conflicts"))
 
     problem = F.when(~F.col("full"), "count").when(~F.col("whole"), "size").when(F.col("conflicts") > 0, "conflict")
     report = _same(sets, checks, key).withColumns({c: F.coalesce(c, F.lit(0)) for c in ("cross_checked", "conflicts")})
     report = report.select(*key, "pieces", F.lit(layout == "quadrants-5").alias("mirrored"), "cross_checked", "conflicts", problem.alias("problem"))
-    good = _same(cut, report.where("problem is null").select(*key, F.lit(True).alias("good")), key).where("good")
+    # Art is found by windows over a set, so pixels are dealt out by sets once and meet no report.
+    one, all_ = Window.partitionBy(*key, "piece"), Window.partitionBy(*key)
+    over = lambda w: (F.min("x").over(w) == 0) & (F.min("y").over(w) == 0) & (F.max("x").over(w) == size - 1) & (F.max("y").over(w) == size - 1) & (F.count("*").over(w) == size * size)
+    # The set's window comes first, so that those of its pieces need no other shuffle; whole pieces' cells tell how many they are.
+    full = (F.count("*").over(all_) == n * size * size) & (F.count("piece").over(all_) == n * size * size) & (F.min("piece").over(all_) == 0) & (F.max("piece").over(all_) == n - 1)
+    fit = cells.withColumn("full", full).where("full").withColumn("whole", F.coalesce(over(one), F.lit(False)))
+    fit = fit.withColumn("fit", F.every("whole").over(all_)).where("fit").select(*key, "piece", "x", "y", "idx")
+    good = parts(fit).withColumn("conflict", F.max("differ").over(all_)).where("not conflict")
     return good.select(*key, "quadrant", "state", "x", "y", "idx"), report
 
 

@@ -56,6 +56,29 @@ def test_faults_empty_tables_and_null_keys(spark):
             imports.import_quadrants(px, *bad)
 
 
+def test_art_and_report_agree_on_faults_and_sets_are_dealt_out_once(spark):
+    """Art goes by windows, the report by groups: both leave out the same sets, whatever is wrong."""
+    sets = [sheet(a, 5, 2, lambda p, x, y: p) for a in range(9)]
+    sets[1] = [(1, 9 if p == 4 else p, x, y, v) for _, p, x, y, v in sets[1]]  # a piece of no state
+    sets[2] = [(2, None if p == 4 else p, x, y, v) for _, p, x, y, v in sets[2]]
+    sets[3] = [(3, p, x + 1, y, v) for _, p, x, y, v in sets[3]]
+    sets[4] += [(4, 5, x, y, 0) for x in range(2) for y in range(2)]
+    sets[5] = [r for r in sets[5] if r[1:4] != (2, 1, 1)] + [(5, 3, 2, 2, 0)]
+    sets[6] = [(6, p, x, None if (p, x, y) == (0, 0, 1) else y, v) for _, p, x, y, v in sets[6]]
+    sets[7] += sets[7]
+    px = spark.createDataFrame([r for s in sets for r in s], PX)
+    art, report = imports.import_quadrants(px, "quadrants-5", 4)
+    good = {r["asset"] for r in report.where("problem is null").collect()}
+    assert good == {0, 6, 7, 8} == {r["asset"] for r in art.collect()} and art.count() == 316  # a pixel without a row is in no part
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        back = imports.import_quadrants(imports.assembled(art, 4).withColumnRenamed("tile", "piece"), "blob-47", 4)[0]
+        plan = back._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert plan.count("Exchange hashpartitioning(asset") == 2  # the pixels of five pieces, not those of 47 tiles
+
+
 def test_resolved_states(spark):
     def piece(asset, n, state, quadrant):
         return [(asset, n, state, quadrant, x, 0, 10 * n + x) for x in range(2)]
