@@ -9,8 +9,10 @@
    and a common line of one seed makes no pairs. Of texts whose stretches of such seeds have equal
    words, one stands for all and the others are reported against it; likewise the longest run of a
    word said again and again. So copies make no pairs, but pairs still grow with the square
-   of a family of texts that all differ. A pair's matches are all its shared seeds; a seed
-   that a text repeats has its first place in either text matched with every place in the other.
+   of a family of texts that all differ. Pairs are dealt out in cells of two blocks of texts, to which
+   each text goes once, and the pairs of a cell are matched, chained and aligned together. A pair's
+   matches are all its shared seeds; a seed that a text repeats has its first place in either text
+   matched with every place in the other.
 4. For each pair of texts, matches on one diagonal are put together, and chained in order in both
    texts: a chain's score is its matched words less a cost for the words it skips, and the best
    predecessor of each match, of those within ``MAX_GAP`` words in both texts, comes from a tree
@@ -29,6 +31,7 @@ doc_id is reported as null; an empty table gives no row; other columns are ignor
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +45,12 @@ K, W, MIN_WORDS, IDENTITY, MAX_GAP, GAP_COST = 8, 12, 50, 0.8, 40, 0.1
 #: Chains with fewer words between their outer seeds can't reach MIN_WORDS; requests for slices of one text that travel together.
 LEAST_SPAN, TOGETHER = MIN_WORDS - 2 * (W - 1), 128
 MARGIN, BROADCAST_CHAINS = K + W, 200_000
+#: Matches or links that are tried together, and gaps that are aligned together; texts and bytes of text on one side of a cell of pairs; pairs and bytes that go through a task's memory together.
+TRIED, GAPS, SIDE, SIDE_BYTES, CELL_PAIRS, CELL_BYTES = 1 << 18, 4096, 256, 8 << 20, 16384, 16 << 20
+#: The columns of reported passages.
+PASSAGE = "b start end a other_start other_end identity"
+KINDS = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.float64())
+SPANS = "b long, start int, end int, a long, other_start int, other_end int, identity double"
 #: Texts of a seed up to which it makes pairs by itself; words between the starts of neighbouring matches of a chain at most; rows of a block of a key's texts.
 PAIRED, REACH, BLOCK = 32, MAX_GAP + K, 512
 
@@ -164,47 +173,217 @@ def _scores(segments: np.ndarray, gap_cost: float, max_gap: int) -> tuple[list[f
     return score, before
 
 
+def _greedy(segments: np.ndarray, gap_cost: float, max_gap: int) -> list[tuple[float, int, list[int]]]:
+    """(score less than 0, last segment, segments) of each chain: the best, then the best of what is left; segments in order of starts in b."""
+    found, part = [], np.arange(len(segments))
+    while len(part):
+        score, before = _scores(segments[part], gap_cost, max_gap)
+        used = [False] * len(part)
+        for j in sorted(range(len(part)), key=lambda k: (-score[k], k)):
+            if used[j]:
+                continue
+            chain, i = [], j
+            while i >= 0 and not used[i]:
+                chain.append(i)
+                i = before[i]
+            if i >= 0:  # a better chain has it: what is left is chained again
+                break
+            for x in chain:
+                used[x] = True
+            found.append((-score[j], int(part[j]), part[chain[::-1]].tolist()))
+        part = part[~np.array(used)]
+    return found
+
+
+def _outer(found: list[tuple[float, int, list[int]]], segments: np.ndarray, least: int) -> list[np.ndarray]:
+    """Of chains as ``_greedy`` gives them, best first, those that span ``least`` words or more and don't lie within a better one."""
+    out: list[np.ndarray] = []
+    for _, _, at in sorted(found, key=lambda x: x[:2]):
+        c = segments[at]
+        a0, b0, a1, b1 = c[0, 0], c[0, 1], c[-1, 0] + c[-1, 2], c[-1, 1] + c[-1, 2]
+        if min(a1 - a0, b1 - b0) >= least and not any(a0 >= o[0, 0] and b0 >= o[0, 1] and a1 <= o[-1, 0] + o[-1, 2] and b1 <= o[-1, 1] + o[-1, 2] for o in out):
+            out.append(c)
+    return out
+
+
 def chains(segments: np.ndarray, gap_cost: float = GAP_COST, max_gap: int = MAX_GAP, least: int = 0) -> list[np.ndarray]:
     """Collinear chains that share no segment, best first: the best of all, then the best of the segments left, and so on.
 
     Chains that span fewer than ``least`` words of either text, or lie within a better chain on both sides, are left out.
     """
     segments = segments[np.lexsort((segments[:, 0], segments[:, 1]))]
-    found: list[tuple[float, int, np.ndarray]] = []
+    found: list[tuple[float, int, list[int]]] = []
     # No chain reaches over a stretch of b without segments that is longer than a gap.
     upto = np.maximum.accumulate(segments[:, 1] + segments[:, 2])
     for part in np.split(np.arange(len(segments)), np.flatnonzero(segments[1:, 1] - upto[:-1] > max_gap) + 1):
-        if min((segments[part, x] + segments[part, 2]).max() - segments[part, x].min() for x in (0, 1)) < least:
+        if min((segments[part, x] + segments[part, 2]).max() - segments[part, x].min() for x in (0, 1)) >= least:
+            found += [(score, int(part[j]), part[at].tolist()) for score, j, at in _greedy(segments[part], gap_cost, max_gap)]
+    return _outer(found, segments, least)
+
+
+def _spread(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For counts n: which count each of their sum stands for, and its number there."""
+    of = np.repeat(np.arange(len(n)), n)
+    return of, np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _best_first(i: list[int], j: list[int], ends: list[float], starts: list[float], n: list[int], leaf: list[int], score: list[float], before: list[int]) -> list[tuple[float, int, list[int]]]:
+    """As ``_greedy``, from the links (i, j) of the segments and the scores of all: only what followed a chain that is taken is scored again."""
+    behind: list[list[int]] = [[] for _ in n]
+    ahead: list[list[int]] = [[] for _ in n]
+    for x, y in zip(i, j):
+        behind[y].append(x)
+        ahead[x].append(y)
+    left, found = [True] * len(n), []
+    order = [(-s, k) for k, s in enumerate(score)]
+    heapq.heapify(order)
+    while order:
+        s, k = heapq.heappop(order)
+        if not left[k] or -s != score[k]:
             continue
-        while len(part):
-            score, before = _scores(segments[part], gap_cost, max_gap)
-            used = [False] * len(part)
-            for j in sorted(range(len(part)), key=lambda k: (-score[k], k)):
-                if used[j]:
-                    continue
-                chain, i = [], j
-                while i >= 0 and not used[i]:
-                    chain.append(i)
-                    i = before[i]
-                if i >= 0:  # a better chain has it: what is left is chained again
-                    break
-                for x in chain:
-                    used[x] = True
-                found.append((-score[j], int(part[j]), segments[part[chain[::-1]]]))
-            part = part[~np.array(used)]
-    out: list[np.ndarray] = []
-    for _, _, c in sorted(found, key=lambda x: x[:2]):
-        a0, b0, a1, b1 = c[0, 0], c[0, 1], c[-1, 0] + c[-1, 2], c[-1, 1] + c[-1, 2]
-        if min(a1 - a0, b1 - b0) >= least and not any(a0 >= o[0, 0] and b0 >= o[0, 1] and a1 <= o[-1, 0] + o[-1, 2] and b1 <= o[-1, 1] + o[-1, 2] for o in out):
-            out.append(c)
-    return out
-
-
-def _pair_chains(matches: DataFrame, exact: bool = False) -> DataFrame:
-    """Candidate chains of each pair: a, b, spans and segments; matches: a, apos, b, bpos.
-
-    If ``exact``, matches are runs of MIN_WORDS words, and each stretch of them on a diagonal is a candidate of its own.
+        chain = []
+        while k >= 0:
+            chain.append(k)
+            left[k] = False
+            k = before[k]
+        found.append((s, chain[0], chain[::-1]))
+        again = [y for x in chain for y in ahead[x] if left[y] and before[y] == x]
+        heapq.heapify(again)
+        while again:
+            y = heapq.heappop(again)
+            value, _, x = max(((score[x] + ends[x], leaf[x], x) for x in behind[y] if left[x]), default=(-np.inf, -1, -1))
+            fits = x >= 0 and value - starts[y] > 0
+            own = n[y] + (value - starts[y]) if fits else float(n[y])
+            before[y] = x if fits else -1
+            if own != score[y]:
+                score[y] = own
+                heapq.heappush(order, (-own, y))
+                for z in ahead[y]:
+                    if left[z] and before[z] == y:
+                        heapq.heappush(again, z)
+    return found
+
+
+def _links(of: np.ndarray, segments: np.ndarray, max_gap: int) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) of all segments j that may follow i in a chain, in order of j; of: the pair of each segment, in order."""
+    a0, b0, n = segments.T
+    wide = int((segments[:, :2] + n[:, None]).max()) + max_gap + 2
+    near = []
+    for start in (a0, b0):
+        key = of * wide + start + n
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        low = np.searchsorted(key, of * wide + np.maximum(start - max_gap, 0))
+        near.append((order, low, np.searchsorted(key, of * wide + start, "right") - low))
+    # By ends in a or in b, whichever leaves fewer to be tried.
+    by_a = near[0][2] < near[1][2]
+    found = []
+    for (order, low, count), own in zip(near, (by_a, ~by_a)):
+        own = own.nonzero()[0]
+        cut = np.searchsorted(np.cumsum(count[own]), np.arange(TRIED, int(count[own].sum()) + TRIED, TRIED))
+        for part in np.split(own, np.unique(cut)):
+            at, k = _spread(count[part])
+            j = part[at]
+            i = order[low[j] + k]
+            ga, gb = a0[j] - a0[i] - n[i], b0[j] - b0[i] - n[i]
+            fit = (ga >= 0) & (ga <= max_gap) & (gb >= 0) & (gb <= max_gap)
+            found.append((i[fit], j[fit]))
+    i, j = (np.concatenate(x) for x in zip(*found))
+    order = np.argsort(j, kind="stable")
+    return i[order], j[order]
+
+
+def many_chains(of: np.ndarray, segments: np.ndarray, gap_cost: float = GAP_COST, max_gap: int = MAX_GAP, least: int = LEAST_SPAN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same chains as ``chains`` gives for each pair, for many pairs at once: their pairs, numbers of segments, and all segments; of: the pair of each segment.
+
+    Scores of all pairs grow link by link together. Where no segment has two that follow it, the chains are the paths; all else is left to ``_best_first``.
     """
+    order = np.lexsort((segments[:, 0], segments[:, 1], of))
+    of, segments = of[order], segments[order]
+    i, j = _links(of, segments, max_gap)
+    # A segment by itself that is too short is no chain and in none.
+    kept = segments[:, 2] >= least
+    kept[i] = kept[j] = True
+    new = np.cumsum(kept) - 1
+    of, segments, i, j = of[kept], segments[kept], new[i], new[j]
+    if not len(of):
+        return of, of, segments
+    a0, b0, n = segments.T
+    ends, starts = gap_cost * (a0 + b0 + 2 * n), gap_cost * (a0 + b0)
+    leaf = np.empty(len(n), np.int64)
+    leaf[np.lexsort((np.arange(len(n)), a0 + n))] = np.arange(len(n))
+    score, before = n.astype(float), np.full(len(n), -1)
+    live = np.ones(len(j), bool)
+    while live.any():
+        # Segments that follow one whose score has changed.
+        x, y = i[live], j[live]
+        first = np.flatnonzero(np.append(True, y[1:] != y[:-1]))
+        value = score[x] + ends[x]
+        best = np.maximum.reduceat(value, first)
+        size = np.diff(np.append(first, len(y)))
+        top = np.maximum.reduceat(np.where(value == np.repeat(best, size), leaf[x], -1), first)
+        y = y[first]
+        gain = best - starts[y]
+        after = np.where(gain > 0, n[y] + gain, n[y].astype(float))
+        by_leaf = np.empty(len(n), np.int64)
+        by_leaf[leaf] = np.arange(len(n))
+        before[y] = np.where(gain > 0, by_leaf[top], -1)
+        changed = np.zeros(len(n), bool)
+        changed[y] = after != score[y]
+        score[y] = after
+        if not changed.any():
+            break
+        touched = np.zeros(len(n), bool)
+        touched[j[changed[i]]] = True
+        live = touched[j]
+    linked = before >= 0
+    follows = np.bincount(before[linked], minlength=len(n))
+    odd = follows > 1
+    odd[linked] |= score[linked] <= score[before[linked]]
+    pairs = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+    sizes = np.diff(np.append(pairs, len(of)))
+    plain = ~np.repeat(np.logical_or.reduceat(odd, pairs), sizes)
+    # Paths from their ends, a step at a time.
+    here = tail = np.flatnonzero(plain & (follows == 0))
+    steps = []
+    while len(here):
+        steps.append((tail, here))
+        on = before[here] >= 0
+        here, tail = before[here[on]], tail[on]
+    kept_pairs, sizes_kept, at = ([np.zeros(0, np.int64)] for _ in range(3))
+    found: list[tuple[int, np.ndarray]] = []
+    if steps:
+        t, h = (np.concatenate(x) for x in zip(*steps))
+        turn = np.repeat(np.arange(len(steps)), [len(x) for x, _ in steps])
+        order = np.lexsort((-turn, t))
+        t, h = t[order], h[order]
+        cut = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
+        size = np.diff(np.append(cut, len(t)))
+        last = h[cut + size - 1]
+        long = np.minimum(a0[last] - a0[h[cut]], b0[last] - b0[h[cut]]) + n[last] >= least
+        cut, size, last = cut[long], size[long], last[long]
+        pair = of[last]
+        alone = np.append(True, pair[1:] != pair[:-1]) & np.append(pair[1:] != pair[:-1], True) if len(pair) else long[long]
+        chain, k = _spread(size[alone])
+        kept_pairs.append(pair[alone])
+        sizes_kept.append(size[alone])
+        at.append(h[cut[alone][chain] + k])
+        several: dict[int, list] = {}
+        for p, c, z in zip(pair[~alone].tolist(), cut[~alone].tolist(), (cut + size)[~alone].tolist()):
+            several.setdefault(p, []).append((-score[h[z - 1]], int(h[z - 1]), h[c:z].tolist()))
+        found += [(p, c) for p, own in several.items() for c in _outer(own, segments, least)]
+    odd = ~plain[pairs]
+    for s, z in zip(pairs[odd].tolist(), (pairs + sizes)[odd].tolist()):
+        own = slice(*np.searchsorted(j, (s, z)).tolist())
+        best = _best_first((i[own] - s).tolist(), (j[own] - s).tolist(), *(v[s:z].tolist() for v in (ends, starts, n, leaf, score)), np.where(before[s:z] >= 0, before[s:z] - s, -1).tolist())
+        found += [(int(of[s]), c) for c in _outer(best, segments[s:z], least)]
+    kept_pairs.append(np.array([p for p, _ in found], np.int64))
+    sizes_kept.append(np.array([len(c) for _, c in found], np.int64))
+    return np.concatenate(kept_pairs), np.concatenate(sizes_kept), np.concatenate([segments[np.concatenate(at)], *(c for _, c in found)])
+
+
+def _exact_chains(matches: DataFrame) -> DataFrame:
+    """Candidate chains of each pair: a, b, spans and segments; matches: a, apos, b, bpos of runs of MIN_WORDS words, of which each stretch on a diagonal is one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(cols):
@@ -212,15 +391,10 @@ def _pair_chains(matches: DataFrame, exact: bool = False) -> DataFrame:
             cut = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
             rows: list[tuple] = []
             for s, z in zip(cut.tolist(), np.append(cut[1:], len(a)).tolist()):
-                if z - s == 1 and K < LEAST_SPAN and not exact:
-                    continue
-                apart, bpart = apos[s:z].astype(np.int64), bpos[s:z].astype(np.int64)
-                for c in diagonals(apart, bpart, MIN_WORDS, 0)[:, None] if exact else chains(diagonals(apart, bpart), least=LEAST_SPAN):
+                for c in diagonals(apos[s:z].astype(np.int64), bpos[s:z].astype(np.int64), MIN_WORDS, 0)[:, None]:
                     rows.append((int(a[s]), int(b[s]), int(c[0, 0]), int(c[-1, 0] + c[-1, 2]), int(c[0, 1]), int(c[-1, 1] + c[-1, 2]), c.astype("<i4").tobytes()))
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 7, kinds)], names=names)
+            return _batch(rows, "a b a0 a1 b0 b1 segments", pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.binary())
 
-        names = ["a", "b", "a0", "a1", "b0", "b1", "segments"]
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
         held = None
         for batch in batches:
             cols = [c.to_numpy() for c in batch.columns]
@@ -236,21 +410,23 @@ def _pair_chains(matches: DataFrame, exact: bool = False) -> DataFrame:
         if held is not None:
             yield found(held)
 
-    # Exact stretches lie on one diagonal, so a pair that repeats a passage many times is dealt out by them.
-    by = ["a", "b", *([F.col("apos") - F.col("bpos")] if exact else [])]
-    dealt = matches.select("a", "b", "apos", "bpos").repartition(*by).sortWithinPartitions("a", "b")
+    # They lie on one diagonal, so a pair that repeats a passage many times is dealt out by them.
+    dealt = matches.select("a", "b", "apos", "bpos").repartition("a", "b", F.col("apos") - F.col("bpos")).sortWithinPartitions("a", "b")
     return dealt.mapInArrow(run, "a long, b long, a0 int, a1 int, b0 int, b1 int, segments binary")
 
 
 def agreeing(x: np.ndarray, y: np.ndarray) -> int:
-    """Words that stand in both in order (longest common subsequence), a row of the table at a time."""
+    """Words that stand in both in order (longest common subsequence), a row of the table at a time, as bits of one number."""
     if not len(x) or not len(y):
         return 0
-    row = np.zeros(len(y) + 1, dtype=np.int32)
-    for v in x:
-        step = np.maximum(row[1:], row[:-1] + (y == v))
-        row[1:] = np.maximum.accumulate(step)
-    return int(row[-1])
+    where: dict[int, int] = {}
+    for i, v in enumerate(y.tolist()):
+        where[v] = where.get(v, 0) | 1 << i
+    whole = row = (1 << len(y)) - 1  # a bit is 0 where the row's value grows
+    for v in x.tolist():
+        if met := row & where.get(v, 0):
+            row = ((row + met) | (row - met)) & whole
+    return len(y) - row.bit_count()
 
 
 def _grow(x: np.ndarray, y: np.ndarray) -> int:
@@ -279,6 +455,74 @@ def align(x: np.ndarray, y: np.ndarray, segments: np.ndarray) -> tuple[int, int,
     return x0, px, y0, py, same / max(px - x0, py - y0)
 
 
+def _agree(w: np.ndarray, i: np.ndarray, j: np.ndarray, n: np.ndarray, step: int) -> np.ndarray:
+    """How many of the n words from i, and from j, agree before the first that don't; step: 1 forwards, -1 backwards."""
+    of, k = _spread(n)
+    off = w[i[of] + step * k] != w[j[of] + step * k]
+    out = n.copy()
+    np.minimum.at(out, of[off], k[off])
+    return out
+
+
+def many_agreeing(w: np.ndarray, i: np.ndarray, ni: np.ndarray, j: np.ndarray, nj: np.ndarray) -> np.ndarray:
+    """As ``agreeing``, of the ni words from each i and the nj (64 at most) from each j; a step takes one word of all."""
+    order = np.argsort(-ni, kind="stable")
+    i, ni, j, nj = i[order], ni[order], j[order], nj[order]
+    bits = np.arange(64)
+    whole = np.uint64(2**64 - 1) >> (64 - nj).astype(np.uint64)
+    there = w[np.minimum(j[:, None] + bits, len(w) - 1)]
+    row = whole.copy()
+    for k in range(int(ni.max(initial=0))):
+        n = int(np.searchsorted(-ni, -k))  # those with more than k words
+        met = np.packbits(there[:n] == w[i[:n] + k][:, None], axis=1, bitorder="little").view("<u8")[:, 0] & row[:n]
+        row[:n] = ((row[:n] + met) | (row[:n] - met)) & whole[:n]
+    out = np.empty(len(i), np.int64)
+    out[order] = nj - np.bitwise_count(row)
+    return out
+
+
+def many_aligned(w: np.ndarray, x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, sizes: np.ndarray, segments: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Spans and identities, as of ``align``, of many chains, whose ends grow by MARGIN words at most.
+
+    w: words of all texts; x, y, nx, ny: where each chain's texts begin in them, and their lengths; sizes: numbers of segments.
+    """
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    last = np.cumsum(sizes) - 1
+    first = last - sizes + 1
+    a, b, n = segments.T
+    i, j = x[of] + a, y[of] + b
+    same = np.zeros(len(n), np.int64)
+    for part in _parts(n):  # on one diagonal
+        at, k = _spread(n[part])
+        same[part] = np.bincount(at[w[i[part][at] + k] == w[j[part][at] + k]], minlength=len(part))
+    # Between two segments: words that agree after the one before, then before the next, then the rest by least edits.
+    s = np.flatnonzero(np.append(of[1:] == of[:-1], False))
+    ga, gb = a[s + 1] - a[s] - n[s], b[s + 1] - b[s] - n[s]
+    both = np.minimum(ga, gb)
+    after = _agree(w, i[s] + n[s], j[s] + n[s], both, 1)
+    # The segment before may grow into the next one: such chains go one by one.
+    into = (after == both) & (w[i[s] + n[s] + after] == w[j[s] + n[s] + after])
+    until = _agree(w, i[s + 1] - 1, j[s + 1] - 1, both - after, -1)
+    same[s] += after + until
+    ra, rb = ga - after - until, gb - after - until
+    rest = np.flatnonzero((ra > 0) & (rb > 0) & (ra + rb > 2))
+    for part in np.split(rest, range(GAPS, len(rest), GAPS)):
+        same[s[part]] += many_agreeing(w, (i[s] + n[s] + after)[part], ra[part], (j[s] + n[s] + after)[part], rb[part])
+    a1, b1 = a[last] + n[last], b[last] + n[last]
+    back = _agree(w, i[first] - 1, j[first] - 1, np.minimum(MARGIN, np.minimum(a[first], b[first])), -1)
+    on = _agree(w, x + a1, y + b1, np.minimum(MARGIN, np.minimum(nx - a1, ny - b1)), 1)
+    total = np.add.reduceat(same, first) + back + on if len(first) else first
+    x0, x1, y0, y1 = a[first] - back, a1 + on, b[first] - back, b1 + on
+    share = total / np.maximum(x1 - x0, y1 - y0)
+    for c in np.unique(of[s[into]]).tolist():
+        own = segments[first[c] : last[c] + 1]
+        la, lb = np.maximum(own[0, :2] - MARGIN, 0)
+        u, v = w[x[c] + la : x[c] + min(nx[c], a1[c] + MARGIN)], w[y[c] + lb : y[c] + min(ny[c], b1[c] + MARGIN)]
+        p0, p1, q0, q1, share[c] = align(u, v, own - np.array([la, lb, 0]))
+        x0[c], x1[c], y0[c], y1[c] = p0 + la, p1 + la, q0 + lb, q1 + lb
+    return x0, x1, y0, y1, share
+
+
 def _aligned(one: DataFrame, wanted: DataFrame) -> DataFrame:
     """Reported passages (b, start, end, a, other_start, other_end, identity) of candidate chains; one: tk, text. Stored."""
     ask = F.explode(F.array(F.struct(F.col("a").alias("tk"), F.lit(0).alias("side"), F.col("a0").alias("lo"), F.col("a1").alias("hi")), F.struct(F.col("b").alias("tk"), F.lit(1).alias("side"), F.col("b0").alias("lo"), F.col("b1").alias("hi"))))
@@ -324,11 +568,9 @@ def _aligned(one: DataFrame, wanted: DataFrame) -> DataFrame:
                     x0, x1, y0, y1, same = align(x, y, seen[-1] - np.array([la, lb, 0]))
                     if min(x1 - x0, y1 - y0) >= MIN_WORDS and same >= IDENTITY:
                         rows.append((seen["b"], y0 + lb, y1 + lb, seen["a"], x0 + la, x1 + la, round(same, 6)))
-            cols = zip(*rows) if rows else [[]] * 7
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["b", "start", "end", "a", "other_start", "other_end", "identity"])
+            yield _batch(rows, PASSAGE, *KINDS)
 
-    aligned = both.select("cid", "side", "low", "words", "a", "b").repartition("cid").sortWithinPartitions("cid", "side").mapInArrow(compare, "b long, start int, end int, a long, other_start int, other_end int, identity double")
+    aligned = both.select("cid", "side", "low", "words", "a", "b").repartition("cid").sortWithinPartitions("cid", "side").mapInArrow(compare, SPANS)
     return common.stored(aligned, "aligned")
 
 
@@ -560,7 +802,7 @@ def _close_seeds(held: DataFrame) -> DataFrame:
 
 
 def _copied(rows: DataFrame) -> DataFrame:
-    """Candidate chains, as of ``_pair_chains``, of stretches of equal words; rows: a, apos, b, bpos, n."""
+    """Candidate chains, as of ``_exact_chains``, of stretches of equal words; rows: a, apos, b, bpos, n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -581,17 +823,13 @@ def _all_pairs(keyed: DataFrame, keys: list[str]) -> DataFrame:
     return x.join(y, [*keys, "i", "j"]).where("a < b").select("a", "b").distinct()
 
 
-def matches(one: DataFrame, found: DataFrame, shared: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Matches (a, apos, b, bpos) of every pair of texts that may have a chain and isn't told by a copy; and copied stretches (a, apos, b, bpos, n).
+def text_pairs(one: DataFrame, own: DataFrame, many: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, b), a < b, of every two texts that may have a chain and aren't told by a copy; and copied stretches (a, apos, b, bpos, n).
 
-    found: h, tk, pos; shared: h, texts; one: tk, text. Stored.
+    own: h, tk, at of shared seeds; many: h, texts of those of over PAIRED texts; one: tk, text. Stored.
     """
-    own = found.groupBy("h", "tk").agg(F.sort_array(F.collect_list("pos")).alias("at"))
-    own = common.stored(own.join(shared, "h"), "shared-places")
-    few, wide = own.where(F.col("texts") <= PAIRED).drop("texts"), own.where(F.col("texts") > PAIRED).drop("texts")
-
-    def side(df: DataFrame, x: str) -> DataFrame:
-        return df.select("h", F.col("tk").alias(x), F.col("at").alias(f"{x}_at"))
+    wide_keys = common.sized(many.select("h"))
+    few, wide = own.join(wide_keys, "h", "left_anti"), own.join(wide_keys, "h")
 
     # One text stands for all that have a stretch of equal words.
     held = wide.groupBy("tk").agg(F.collect_list(F.struct("h", "at")).alias("s")).select("tk", F.col("s.h").alias("hs"), F.col("s.at").alias("ats"))
@@ -609,15 +847,135 @@ def matches(one: DataFrame, found: DataFrame, shared: DataFrame) -> tuple[DataFr
     ends = F.array_sort(F.array(F.struct("tk", "at"), F.struct(F.col("m").alias("tk"), F.col("m_at").alias("at"))))
     runs = runs.select(ends.alias("e"), "size").select(F.col("e")[0]["tk"].alias("a"), F.col("e")[0]["at"].alias("apos"), F.col("e")[1]["tk"].alias("b"), F.col("e")[1]["at"].alias("bpos"), F.col("size").alias("n"))
 
-    met = common.stored(side(few, "a").join(side(few, "b"), "h").where("a < b"), "met-few")
-    pairs = met.select("a", "b").distinct().unionByName(_all_pairs(full.unionByName(most.select(*full.columns)), ["h1", "h2"])).distinct()
+    met = few.select("h", F.col("tk").alias("a")).join(few.select("h", F.col("tk").alias("b")), "h").where("a < b").select("a", "b").distinct()
+    pairs = met.unionByName(_all_pairs(full.unionByName(most.select(*full.columns)), ["h1", "h2"])).distinct()
     pairs = common.stored(pairs, "text-pairs")
-    more = pairs.join(side(wide, "a"), "a").join(side(wide, "b"), ["b", "h"])
-    place = F.expr("explode(array_distinct(concat(transform(b_at, p -> struct(a_at[0] AS apos, p AS bpos)), transform(a_at, p -> struct(p AS apos, b_at[0] AS bpos))))) AS p")
-    out = common.stored(met.unionByName(more.select(*met.columns)).select("a", "b", place).select("a", "p.apos", "b", "p.bpos"), "met-seeds")
     copies = common.stored(copies.unionByName(runs).distinct().join(pairs, ["a", "b"], "left_anti"), "copied-stretches")
-    common.discard(met, own, held, contents, close, most, pairs)
-    return out, copies
+    common.discard(held, contents, close, most)
+    return pairs, copies
+
+
+def _pair_cells(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(cell, a, b): pairs with a cell that they share with others of the same texts, of SIDE ** 2 pairs or so at most. Stored.
+
+    Texts are put together by the least text that each meets, as most of a family meet one, and dealt into
+    blocks; a cell has the pairs of two blocks. sizes: tk, size.
+    """
+    ends = F.explode(F.array(F.struct(F.col("a").alias("tk"), F.col("a").alias("least")), F.struct(F.col("b").alias("tk"), F.col("a").alias("least")))).alias("e")
+    texts = pairs.select(ends).groupBy("e.tk").agg(F.min("e.least").alias("least"))
+    texts = common.stored(texts.join(sizes, "tk"), "paired-texts")
+    blocks = texts.groupBy("least").agg(F.ceil(F.greatest(F.count("*") / SIDE, F.sum("size") / SIDE_BYTES)).alias("blocks"))
+    dealt = texts.join(blocks, "least").select("tk", F.struct("least", F.pmod(F.xxhash64("tk"), F.col("blocks"))).alias("block"))
+    x, y = (dealt.select(F.col("tk").alias(t), F.col("block").alias(f"{t}_block")) for t in ("a", "b"))
+    out = common.stored(pairs.join(x, "a").join(y, "b").select(F.xxhash64("a_block", "b_block").alias("cell"), "a", "b"), "pair-cells")
+    common.discard(texts)
+    return out
+
+
+def _segments(h: np.ndarray, pos: np.ndarray, of: np.ndarray, x: np.ndarray, y: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(pairs, segments) of the pairs of texts x, y, in parts; h, pos, of: seeds, their places and texts.
+
+    A pair's matches are all its shared seeds; one that a text repeats has its first place in either text matched with every place in the other.
+    """
+    known, h = np.unique(h, return_inverse=True)
+    order = np.lexsort((pos, h, of))
+    h, pos, of = h[order], pos[order], of[order]
+    once = np.append(True, (h[1:] != h[:-1]) | (of[1:] != of[:-1]) | (pos[1:] != pos[:-1]))  # rows that repeat a document
+    h, pos, key = h[once], pos[once], of[once] * len(known) + h[once]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    size, h, key = np.diff(np.append(first, len(key))), h[first], key[first]
+    begin = np.searchsorted(key, x * len(known))
+    tried = np.searchsorted(key, (x + 1) * len(known)) - begin
+    for part in _parts(tried):
+        pair, k = _spread(tried[part])
+        i = begin[part][pair] + k
+        wanted = y[part][pair] * len(known) + h[i]
+        j = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
+        hit = key[j] == wanted
+        pair, i, j = part[pair[hit]], i[hit], j[hit]
+        n = size[i] + size[j] - 1
+        cut = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])) if len(pair) else pair
+        for some in _parts(np.add.reduceat(n, cut)) if len(cut) else ():
+            own = slice(cut[some[0]], cut[some[-1] + 1] if some[-1] + 1 < len(cut) else len(n))
+            m, k = _spread(n[own])
+            i0, j0, nj, p = first[i[own]][m], first[j[own]][m], size[j[own]][m], pair[own][m]
+            a, b = pos[i0 + np.maximum(k - nj + 1, 0)], pos[j0 + np.where(k < nj, k, 0)]
+            order = np.lexsort((b, a - b, p))
+            a, b, p = a[order], b[order], p[order]
+            at = np.flatnonzero(np.append(True, (p[1:] != p[:-1]) | ((a - b)[1:] != (a - b)[:-1]) | (np.diff(b) > K + W)))
+            last = np.append(at[1:], len(a)) - 1
+            yield p[at], np.stack([a[at], b[at], b[last] - b[at] + K], axis=1)
+
+
+def _parts(n: np.ndarray) -> list[np.ndarray]:
+    """Numbers of neighbouring counts that make TRIED or so together."""
+    return [x for x in np.split(np.arange(len(n)), np.unique(np.searchsorted(np.cumsum(n), np.arange(TRIED, int(n.sum()), TRIED)))) if len(x)]
+
+
+def _paired(one: DataFrame, own: DataFrame, cells: DataFrame) -> DataFrame:
+    """Reported passages, as of ``_aligned``, of all chains of each pair; own: h, tk, at of shared seeds; cells: cell, a, b; one: tk, text. Stored."""
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, first = text.words(batch.column("text"))
+            h32 = (h >> np.uint64(32)).astype("<u4")
+            said = [h32[s:z].tobytes() for s, z in zip(first[:-1].tolist(), first[1:].tolist())]
+            seeds, places = [], []
+            for h, at in zip(batch.column("hs"), batch.column("ats")):
+                seeds.append(np.repeat(h.values.to_numpy(), np.diff(at.values.offsets.to_numpy())).tobytes())
+                places.append(at.values.flatten().to_numpy().astype("<i4").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("tk"), *(pa.array(x, pa.binary()) for x in (said, seeds, places))], names=["tk", "words", "seeds", "places"])
+
+    def found(texts: dict[int, tuple], a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+        tks = np.array(sorted(texts), np.int64)
+        held = [texts[t] for t in tks.tolist()]
+        w, h, pos = (np.frombuffer(b"".join(x[i] for x in held), t) for i, t in enumerate(("<u4", "<i8", "<i4")))
+        size = np.array([len(x[0]) // 4 for x in held])
+        begin = np.cumsum(size) - size
+        x, y = np.searchsorted(tks, a), np.searchsorted(tks, b)
+        for pair, segments in _segments(h, pos.astype(np.int64), np.repeat(np.arange(len(tks)), [len(x[2]) // 4 for x in held]), x, y):
+            pair, sizes, segments = many_chains(pair, segments)
+            u, v = x[pair], y[pair]
+            x0, x1, y0, y1, same = many_aligned(w, begin[u], begin[v], size[u], size[v], sizes, segments)
+            fit = (np.minimum(x1 - x0, y1 - y0) >= MIN_WORDS) & (same >= IDENTITY)
+            cols = [c[fit] for c in (b[pair], y0, y1, a[pair], x0, x1)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*cols, [round(x, 6) for x in same[fit].tolist()]], KINDS)], names=PASSAGE.split())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts: dict[int, tuple] = {}
+        met: list[tuple[np.ndarray, np.ndarray]] = []
+        size = pairs = 0
+        for batch in batches:
+            cell, b = batch.column("cell").to_numpy(), batch.column("b")
+            cut = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+            for s, z in zip(cut.tolist(), [*cut[1:].tolist(), len(cell)]):
+                # Texts of a cell come before its pairs.
+                n = b.slice(s, z - s).null_count
+                if n and met and (size >= CELL_BYTES or pairs >= CELL_PAIRS):
+                    yield from found(texts, *(np.concatenate(c) for c in zip(*met)))
+                    texts, met, size, pairs = {}, [], 0, 0
+                own = batch.slice(s, n)
+                for tk, *data in zip(*(own.column(c).to_pylist() for c in ("a", "words", "seeds", "places"))):
+                    if tk not in texts:
+                        texts[tk] = tuple(data)
+                        size += sum(map(len, data))
+                if z > s + n:
+                    met.append((batch.column("a").slice(s + n, z - s - n).to_numpy(), b.slice(s + n, z - s - n).to_numpy()))
+                    pairs += z - s - n
+        if met:
+            yield from found(texts, *(np.concatenate(c) for c in zip(*met)))
+
+    seeds = own.groupBy("tk").agg(F.collect_list(F.struct("h", "at")).alias("s")).select("tk", F.col("s.h").alias("hs"), F.col("s.at").alias("ats"))
+    where = common.stored(cells.select(F.explode(F.array("a", "b")).alias("tk"), "cell").distinct(), "cell-texts")
+    needed = where.select("tk").distinct()
+    said = common.stored(one.join(seeds.join(needed, "tk"), "tk").select("tk", "text", "hs", "ats").mapInArrow(words, "tk long, words binary, seeds binary, places binary"), "paired-words")
+    rows = where.join(said, "tk").select("cell", F.col("tk").alias("a"), F.lit(None).cast("long").alias("b"), "words", "seeds", "places")
+    rows = rows.unionByName(cells, allowMissingColumns=True)
+    tasks = max(int(one.sparkSession.conf.get("spark.sql.shuffle.partitions")), cells.count() // CELL_PAIRS)
+    out = rows.repartition(tasks, "cell").sortWithinPartitions("cell", "b", "a").mapInArrow(run, SPANS)
+    out = common.stored(out, "paired")
+    common.discard(where, said)
+    return out
 
 
 def passages(docs: DataFrame) -> DataFrame:
@@ -630,22 +988,30 @@ def passages(docs: DataFrame) -> DataFrame:
     lead = common.sized(reps.select(F.col("tk").alias("lead"), "rep"))
     one = own.join(lead, (F.col("tk") == F.col("lead")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("tk", "text")
     found = common.stored(seeds(one), "seeds")
-    shared = common.stored(found.groupBy("h").agg(F.countDistinct("tk").alias("texts")).where("texts > 1"), "shared-seeds")
-    met, copied = matches(one, found, shared)
-    marks = common.stored(found.join(shared.select("h"), "h").select("tk", "pos"), "marks")
-    common.discard(found, shared)
-    wanted = common.stored(_pair_chains(met).unionByName(_copied(copied)).withColumn("cid", F.monotonically_increasing_id()), "chains")
-    common.discard(met, copied)
-    aligned = _aligned(one, wanted)
+    shared = common.stored(found.groupBy("h").agg(F.min("tk").alias("x"), F.max("tk").alias("y")).where("x < y").select("h"), "shared-seeds")
+    marks = common.stored(found.join(common.sized(shared), "h"), "marks")
+    common.discard(found)
+    own_seeds = common.stored(marks.groupBy("h", "tk").agg(F.sort_array(F.collect_list("pos")).alias("at")), "shared-places")
+    wide = common.stored(own_seeds.groupBy("h").agg(F.count("*").alias("texts")).where(F.col("texts") > PAIRED), "wide-seeds")
+    common.discard(shared)
+    pairs, copied = text_pairs(one, own_seeds, wide)
+    cells = _pair_cells(pairs, copies.groupBy("tk").agg(F.max("size").alias("size")))
+    common.discard(pairs)
+    common.release(spark)
+    aligned = _paired(one, own_seeds, cells)
+    common.discard(own_seeds, wide, cells)
+    wanted = common.stored(_copied(copied).withColumn("cid", F.monotonically_increasing_id()), "chains")
+    aligned = aligned.unionByName(_aligned(one, wanted))
+    common.discard(copied)
     common.release(spark)
 
     # Exact passages that are not reported (both texts repeat their seeds) are matched by whole runs.
-    areas = _areas(marks, aligned)
+    areas = _areas(marks.select("tk", "pos"), aligned)
     common.discard(marks)
     if not areas.where("left").isEmpty():
         left = _left_over(one, areas)
         common.release(spark)
-        more = common.stored(_pair_chains(left, exact=True).withColumn("cid", F.monotonically_increasing_id()), "chains")
+        more = common.stored(_exact_chains(left).withColumn("cid", F.monotonically_increasing_id()), "chains")
         aligned = aligned.unionByName(_aligned(one, more))
     # Texts that many passages name meet their documents' ids by size-checked or salted joins.
     shown = aligned

@@ -342,6 +342,75 @@ def test_copies_of_a_passage_do_not_make_all_pairs(spark, monkeypatch):
     assert all(max(p) < 20 or min(p) >= 20 for p in got)
 
 
+def test_pairs_go_together_as_one_by_one(monkeypatch):
+    """Matches, chains and alignments of many pairs at once are those of each pair by itself, also where texts repeat lines."""
+    monkeypatch.setattr(passages, "TRIED", 500)
+    monkeypatch.setattr(passages, "GAPS", 7)
+    r = np.random.default_rng(12)
+    base, lines = r.integers(1, 9999, 260), [r.integers(1, 9999, 11) for _ in range(4)]
+    texts = []
+    for i in range(14):
+        t = base[r.integers(0, 60) : r.integers(180, 260)].tolist()
+        for at in sorted(r.integers(0, len(t), 8).tolist(), reverse=True):
+            t[at : at + int(r.integers(0, 3))] = r.integers(10000, 99999, int(r.integers(0, 3))).tolist()
+        for _ in range(int(r.integers(0, 9)) if i % 2 else 0):
+            at = int(r.integers(0, len(t)))
+            t[at:at] = lines[int(r.integers(0, 4))].tolist()
+        texts.append(np.array(t, np.uint32))
+    seeds = []
+    for t in texts:
+        h = text.kmers(t.astype(np.uint64), passages.K)
+        at = passages.winnow(h)
+        seeds.append((h[at].view(np.int64), at))
+    size = np.array([len(t) for t in texts])
+    w, begin = np.concatenate(texts), np.cumsum(size) - size
+    x, y = (np.array(v) for v in zip(*((i, j) for j in range(14) for i in range(j))))
+    got, met = {}, {}
+    for pair, segments in passages._segments(np.concatenate([h for h, _ in seeds]), np.concatenate([at for _, at in seeds]), np.repeat(np.arange(14), [len(at) for _, at in seeds]), x, y):
+        for p in np.unique(pair).tolist():
+            met[p] = sorted(segments[pair == p].tolist())
+        of, sizes, kept = passages.many_chains(pair, segments)
+        spans = passages.many_aligned(w, begin[x[of]], begin[y[of]], size[x[of]], size[y[of]], sizes, kept)
+        for p, c, *span in zip(of.tolist(), np.split(kept, np.cumsum(sizes)[:-1]), *(v.tolist() for v in spans)):
+            got.setdefault(p, []).append((c.tolist(), *span))
+    several = 0
+    for p, (i, j) in enumerate(zip(x, y)):
+        matches = set()
+        for h in np.intersect1d(seeds[i][0], seeds[j][0]):
+            a, b = (seeds[k][1][seeds[k][0] == h].tolist() for k in (i, j))
+            matches |= {(a[0], v) for v in b} | {(v, b[0]) for v in a}
+        segments = passages.diagonals(*np.array(sorted(matches), np.int64).reshape(-1, 2).T) if matches else np.zeros((0, 3), np.int64)
+        assert met.get(p, []) == sorted(segments.tolist())
+        wanted = []
+        for c in passages.chains(segments, least=passages.LEAST_SPAN) if len(segments) else []:
+            la, lb = (max(0, int(v) - passages.MARGIN) for v in c[0, :2])
+            x0, x1, y0, y1, same = passages.align(texts[i][la : c[-1, 0] + c[-1, 2] + passages.MARGIN], texts[j][lb : c[-1, 1] + c[-1, 2] + passages.MARGIN], c - np.array([la, lb, 0]))
+            wanted.append((c.tolist(), x0 + la, x1 + la, y0 + lb, y1 + lb, same))
+        several += len(wanted) > 1
+        assert sorted(got.get(p, [])) == sorted(wanted)
+    assert len(got) > 60 and several > 2
+
+
+def test_texts_of_pairs_are_dealt_by_blocks(spark, monkeypatch):
+    """A family of near copies in cells of a few pairs gives the rows that it gives in one cell, and its texts aren't sent with each pair."""
+    whole = prose(160, 7000).split()
+    texts = {}
+    for i in range(24):
+        p = list(whole)
+        for at in (10 + 5 * i, (70 + 11 * i) % 150):
+            p[at] = f"new{i}n{at}"
+        texts[i] = " ".join(p)
+    docs = make(spark, [(i, t, "s") for i, t in texts.items()])
+    sent, stored = [], common.stored
+    monkeypatch.setattr(common, "stored", lambda df, label, *more: (lambda out: (sent.append(out.count()) if label == "cell-texts" else None, out)[1])(stored(df, label, *more)))
+    all_rows = sorted(map(tuple, passages.passages(docs).collect()))
+    assert {frozenset((r[0], r[3])) for r in all_rows} == {frozenset((i, j)) for i in texts for j in texts if i < j}
+    monkeypatch.setattr(passages, "SIDE", 4)
+    monkeypatch.setattr(passages, "CELL_PAIRS", 5)
+    assert sorted(map(tuple, passages.passages(docs).collect())) == all_rows
+    assert sent[0] == 24 < sent[1] < 24 * 23 / 2
+
+
 def test_every_shared_run_is_reported(spark):
     """Texts that overlap in part, in all orders of their keys, against brute force."""
     n = passages.MIN_WORDS
