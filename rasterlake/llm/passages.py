@@ -45,13 +45,13 @@ K, W, MIN_WORDS, IDENTITY, MAX_GAP, GAP_COST = 8, 12, 50, 0.8, 40, 0.1
 #: Chains with fewer words between their outer seeds can't reach MIN_WORDS; requests for slices of one text that travel together.
 LEAST_SPAN, TOGETHER = MIN_WORDS - 2 * (W - 1), 128
 MARGIN, BROADCAST_CHAINS = K + W, 200_000
-#: Matches or links that are tried together, and gaps that are aligned together; texts and bytes of text on one side of a cell of pairs; pairs and bytes that go through a task's memory together.
-TRIED, GAPS, SIDE, SIDE_BYTES, CELL_PAIRS, CELL_BYTES = 1 << 18, 4096, 256, 8 << 20, 16384, 16 << 20
+#: Matches or links that are tried together, gaps that are aligned together, and keys of a cell that meet together; texts and bytes of text on one side of a cell of pairs; pairs and bytes that go through a task's memory together.
+TRIED, GAPS, KEYS, SIDE, SIDE_BYTES, CELL_PAIRS, CELL_BYTES = 1 << 18, 4096, 1024, 256, 8 << 20, 16384, 16 << 20
 #: The columns of reported passages.
 PASSAGE = "b start end a other_start other_end identity"
 KINDS = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.float64())
 SPANS = "b long, start int, end int, a long, other_start int, other_end int, identity double"
-#: Texts of a seed up to which it makes pairs by itself; words between the starts of neighbouring matches of a chain at most; rows of a block of a key's texts.
+#: Texts of a seed up to which it makes pairs by itself; words between the starts of neighbouring matches of a chain at most; texts of a block that meets others.
 PAIRED, REACH, BLOCK = 32, MAX_GAP + K, 512
 
 
@@ -235,6 +235,7 @@ def _best_first(i: list[int], j: list[int], ends: list[float], starts: list[floa
         behind[y].append(x)
         ahead[x].append(y)
     left, found = [True] * len(n), []
+    value = [s + e for s, e in zip(score, ends)]  # to those that follow
     order = [(-s, k) for k, s in enumerate(score)]
     heapq.heapify(order)
     while order:
@@ -244,19 +245,22 @@ def _best_first(i: list[int], j: list[int], ends: list[float], starts: list[floa
         chain = []
         while k >= 0:
             chain.append(k)
-            left[k] = False
+            left[k], value[k] = False, -np.inf
             k = before[k]
         found.append((s, chain[0], chain[::-1]))
         again = [y for x in chain for y in ahead[x] if left[y] and before[y] == x]
         heapq.heapify(again)
         while again:
             y = heapq.heappop(again)
-            value, _, x = max(((score[x] + ends[x], leaf[x], x) for x in behind[y] if left[x]), default=(-np.inf, -1, -1))
-            fits = x >= 0 and value - starts[y] > 0
-            own = n[y] + (value - starts[y]) if fits else float(n[y])
+            best, x = -np.inf, -1
+            for k in behind[y]:
+                if value[k] >= best and (value[k] > best or x < 0 or leaf[k] > leaf[x]):
+                    best, x = value[k], k
+            fits = best - starts[y] > 0
+            own = n[y] + (best - starts[y]) if fits else float(n[y])
             before[y] = x if fits else -1
             if own != score[y]:
-                score[y] = own
+                score[y], value[y] = own, own + ends[y]
                 heapq.heappush(order, (-own, y))
                 for z in ahead[y]:
                     if left[z] and before[z] == y:
@@ -813,14 +817,61 @@ def _copied(rows: DataFrame) -> DataFrame:
     return rows.select("a", "apos", "b", "bpos", "n").mapInArrow(run, "a long, b long, a0 int, a1 int, b0 int, b1 int, segments binary")
 
 
+def _blocks(texts: DataFrame, size: int) -> DataFrame:
+    """(tk, block): texts of one ``least`` text are dealt into blocks of ``size`` or so, or of SIDE_BYTES if they tell their sizes; texts: tk, least."""
+    count = F.count("*") / size
+    own = texts.groupBy("least").agg(F.ceil(F.greatest(count, F.sum("size") / SIDE_BYTES) if "size" in texts.columns else count).alias("blocks"))
+    return texts.join(own, "least").select("tk", F.xxhash64("least", F.pmod(F.xxhash64("tk"), F.col("blocks"))).alias("block"))
+
+
 def _all_pairs(keyed: DataFrame, keys: list[str]) -> DataFrame:
-    """(a, b): texts that meet under a key, a < b, distinct; a key's texts are dealt over tasks in blocks. keyed: keys, tk."""
-    size = keyed.groupBy(*keys).agg(F.count("*").alias("c")).where("c > 1").select(*keys, F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
-    dealt = keyed.join(size, keys).withColumn("own", F.pmod(F.xxhash64("tk"), F.col("blocks")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    x = dealt.select(*keys, F.col("own").alias("i"), every.alias("j"), F.col("tk").alias("a"))
-    y = dealt.select(*keys, every.alias("i"), F.col("own").alias("j"), F.col("tk").alias("b"))
-    return x.join(y, [*keys, "i", "j"]).where("a < b").select("a", "b").distinct()
+    """(a, b): texts that meet under a key, a < b. Stored. keyed: keys, tk.
+
+    Texts that meet one text are dealt into blocks, and two blocks that share keys meet in one place, with the texts of
+    these keys; so a pair is made once for KEYS of its keys, not once for each.
+    """
+    keyed = keyed.select(F.xxhash64(*keys).alias("k"), "tk").distinct()
+    size = common.stored(keyed.groupBy("k").agg(F.count("*").alias("c"), F.min("tk").alias("least")).where("c > 1"), "pair-keys")
+    kept = common.stored(common.skew_join(keyed, size, "k", "c"), "keyed-texts")
+    block = common.stored(_blocks(kept.groupBy("tk").agg(F.min("least").alias("least")), BLOCK), "text-blocks")
+    # A key's texts of one block are one row.
+    own = common.stored(kept.join(block, "tk").groupBy("k", "block").agg(F.collect_list("tk").alias("tks")), "block-keys")
+    x, y = (own.select("k", F.col("block").alias(b), F.col("tks").alias(t)) for b, t in (("x", "xs"), ("y", "ys")))
+    met = x.join(y, "k").where("x < y OR x = y AND size(xs) > 1").select(F.xxhash64("x", "y").alias("cell"), "k", "xs", F.when(F.col("x") < F.col("y"), F.col("ys")).alias("ys"))
+
+    def found(xs: list, ys: list) -> tuple[np.ndarray, np.ndarray]:
+        def table(some: list) -> tuple[np.ndarray, np.ndarray]:
+            tks, at = np.unique(np.concatenate(some), return_inverse=True)
+            out = np.zeros((len(some), len(tks)), np.float32)
+            out[np.repeat(np.arange(len(some)), [len(v) for v in some]), at] = 1
+            return tks, out
+
+        tx, u = table(xs)
+        ty, v = table([x if y is None else y for x, y in zip(xs, ys)])
+        i, j = np.nonzero(u.T @ v)
+        a, b = tx[i], ty[j]
+        if ys[0] is None:
+            a, b = a[a < b], b[a < b]
+        return np.minimum(a, b), np.maximum(a, b)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, xs, ys = None, [], []
+        for batch in batches:
+            out = [(np.zeros(0, np.int64),) * 2]
+            for cell, x, y in zip(batch.column("cell").to_pylist(), batch.column("xs"), batch.column("ys")):
+                if xs and (cell != held or len(xs) >= KEYS):
+                    out.append(found(xs, ys))
+                    xs, ys = [], []
+                held = cell
+                xs.append(x.values.to_numpy())
+                ys.append(y.values.to_numpy() if y.is_valid else None)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["a", "b"])
+        if xs:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in found(xs, ys)], names=["a", "b"])
+
+    out = common.stored(met.repartition("cell").sortWithinPartitions("cell").select("cell", "xs", "ys").mapInArrow(run, "a long, b long"), "keyed-pairs")
+    common.discard(size, kept, block, own)
+    return out
 
 
 def text_pairs(one: DataFrame, own: DataFrame, many: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -861,12 +912,9 @@ def _pair_cells(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
     Texts are put together by the least text that each meets, as most of a family meet one, and dealt into
     blocks; a cell has the pairs of two blocks. sizes: tk, size.
     """
-    ends = F.explode(F.array(F.struct(F.col("a").alias("tk"), F.col("a").alias("least")), F.struct(F.col("b").alias("tk"), F.col("a").alias("least")))).alias("e")
-    texts = pairs.select(ends).groupBy("e.tk").agg(F.min("e.least").alias("least"))
-    texts = common.stored(texts.join(sizes, "tk"), "paired-texts")
-    blocks = texts.groupBy("least").agg(F.ceil(F.greatest(F.count("*") / SIDE, F.sum("size") / SIDE_BYTES)).alias("blocks"))
-    dealt = texts.join(blocks, "least").select("tk", F.struct("least", F.pmod(F.xxhash64("tk"), F.col("blocks"))).alias("block"))
-    x, y = (dealt.select(F.col("tk").alias(t), F.col("block").alias(f"{t}_block")) for t in ("a", "b"))
+    texts = pairs.groupBy(F.col("b").alias("tk")).agg(F.min("a").alias("least")).unionByName(pairs.select(F.col("a").alias("tk"), F.col("a").alias("least")).distinct())
+    texts = common.stored(texts.groupBy("tk").agg(F.min("least").alias("least")).join(sizes, "tk"), "paired-texts")
+    x, y = (_blocks(texts, SIDE).select(F.col("tk").alias(t), F.col("block").alias(f"{t}_block")) for t in ("a", "b"))
     out = common.stored(pairs.join(x, "a").join(y, "b").select(F.xxhash64("a_block", "b_block").alias("cell"), "a", "b"), "pair-cells")
     common.discard(texts)
     return out
